@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions.text import is_blank, millis
-from confab.llm import bpe, quantiles, runs, split
+from confab.llm import bpe, pii, quantiles, runs, split
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,4 +65,14 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(p6_ids(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p6_ids, p6_decoded)}
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with placeholders, and what they stand for."""
+    return pii.find_personal(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = p8_clean(spark, folder).select("doc_id", F.explode(F.array_distinct("found")).alias("f"))
+    return found.select("doc_id", "f.kind", "f.found")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p6_ids, p6_decoded, p8_found, p8_clean)}
