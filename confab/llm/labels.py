@@ -68,11 +68,13 @@ class Roster:
             return None
         if self.exact.get(key) is not None:
             return self.exact[key]
-        # a slip of one letter; digits must agree
+        # a slip of one letter; digits must agree; a letter left out is likelier than another one
         digits, letters = re.sub(r"\D", "", key), re.sub(r"\d", "", key)
-        near = {i for k, i in self.exact.items() if i is not None and re.sub(r"\D", "", k) == digits and _near(letters, re.sub(r"\d", "", k))}
+        near = {i: len(k) > len(key) for k, i in self.exact.items() if i is not None and re.sub(r"\D", "", k) == digits and _near(letters, re.sub(r"\d", "", k))}
+        if len(near) > 1 and sum(near.values()) == 1:
+            near = {i: short for i, short in near.items() if short}
         if len(near) == 1:
-            return near.pop()
+            return next(iter(near))
         # part of a full name, its other part left out or given by its initial
         part = set()
         for i, name in self.words.items():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions.text import is_blank, millis
-from confab.llm import bpe, pii, quantiles, runs, split
+from confab.llm import bpe, pii, quantiles, runs, split, transcript
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,21 @@ def p4_merged_months(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merged(kept, ["model"]), ["model"], QS)
 
 
+def _cleaned(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    return transcript.clean_blocks(table(spark, folder, "blocks"), table(spark, folder, "tracks"), with_text)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    c = _cleaned(spark, folder, False).where("idx is not null")
+    kinds = F.array(*(F.when(on, F.lit(k)) for k, on in (("time", F.col("time")), ("filler", F.col("filler")), ("sound", F.col("sound")), ("label", F.col("label")), ("turn", F.col("turn_block") == F.col("block_no")))))
+    return c.select("call_id", "block_no", F.explode(F.array_compact(kinds)).alias("kind"), "idx")
+
+
+def p5_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean turns in time order, each with its track's name."""
+    return transcript.turns(_cleaned(spark, folder, True))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -75,4 +90,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "f.kind", "f.found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p6_ids, p6_decoded, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p5_found, p5_turns, p6_ids, p6_decoded, p8_found, p8_clean)}
