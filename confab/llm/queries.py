@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions.text import is_blank, millis
-from confab.llm import bpe, pii, quantiles, runs, split, transcript
+from confab.llm import bpe, leaks, pii, quantiles, runs, split, transcript
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +80,21 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(p6_ids(spark, folder))
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the items that leaked into it, and how many of its passages."""
+    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks with words mixed in or a few changed: 24 words, nine tenths of them in common."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return leaks.leaked(docs, items, width=24, share=0.9, least_cosine=0.98, skip_unknown=True)
+
+
 def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Texts with placeholders, and what they stand for."""
     return pii.find_personal(table(spark, folder, "documents"))
@@ -90,4 +105,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "f.kind", "f.found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p5_found, p5_turns, p6_ids, p6_decoded, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p5_found, p5_turns, p6_ids, p6_decoded, p7_found, p7_leaks, p7_near, p8_found, p8_clean)}
