@@ -1,13 +1,92 @@
 """SQL for DuckDB that gives the same rows as the query of that name."""
 
+_WS = r"[\s\x0b\x{85}\p{Z}]"
+_NOT_BLANK = r"regexp_matches({}, '[^\s\x0b\x{{85}}\p{{Z}}]')"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+_WORDS = "array_to_string(list_transform(words, lambda w, i: CASE WHEN i > 1 AND coalesce(w.lead_space, true) THEN ' ' || w.text ELSE w.text END), '')"
+_SEG = f"""
+  seg AS (
+    SELECT call_id, seq, any_value(speaker) AS speaker, any_value(CAST(round(start * 1000) AS BIGINT)) AS start_ms, any_value(CAST(round("end" * 1000) AS BIGINT)) AS end_ms,
+      any_value(CASE WHEN len(words) > 0 THEN {_trim(_WORDS)} ELSE {_trim("text")} END) AS text, max(energy) AS energy
+    FROM segments WHERE {_NOT_BLANK.format("text")} GROUP BY call_id, seq)"""
+
+
+def _blocks(seg: str = "seg") -> str:
+    return f"""
+  many AS (SELECT call_id, count(DISTINCT speaker) > 1 AS many FROM {seg} GROUP BY 1),
+  lagged AS (
+    SELECT s.*, many, lag(speaker) OVER w AS prev, lag(seq) OVER w AS prev_seq, max(end_ms) OVER (PARTITION BY call_id ORDER BY start_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM {seg} s JOIN many USING (call_id) WINDOW w AS (PARTITION BY call_id ORDER BY start_ms, seq)),
+  numbered AS (
+    SELECT *, CAST(sum(CASE WHEN prev_seq IS NULL OR (many AND speaker <> prev) OR (NOT many AND start_ms - reach > 800) THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY start_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block_no
+    FROM lagged),
+  blk AS (
+    SELECT call_id, block_no, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(energy) AS energy, count(*) AS segments, string_agg(text, ' ' ORDER BY start_ms, seq) AS text
+    FROM numbered GROUP BY call_id, block_no),
+  flagged AS (SELECT *, coalesce(start_ms < lag(end_ms) OVER (PARTITION BY call_id ORDER BY start_ms, block_no), false) AS interrupting FROM blk)"""
+
+
+_BLK = f"WITH {_SEG}, {_blocks()}"
+_STAMP = "CASE WHEN t >= 3600 THEN printf('%02d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%02d:%02d', t // 60, t % 60) END"
+_PERIODS = r"""
+  s AS (
+    SELECT DISTINCT call_id, CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e FROM segments
+    WHERE "end" > start AND regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]')),
+  m AS (SELECT *, max(e) OVER (PARTITION BY call_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE e > s),
+  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
+  period AS (SELECT call_id, min(s) AS start_ms, max(e) AS end_ms FROM i GROUP BY call_id, island)"""
+
 SQL = {
-    "p1_found": r"""
-        WITH s AS (
-          SELECT DISTINCT call_id, CAST(round(start * 1000) AS BIGINT) AS s, CAST(round("end" * 1000) AS BIGINT) AS e FROM segments
-          WHERE "end" > start AND regexp_matches(text, '[^\s\x0b\x{85}\p{Z}]')),
-        m AS (SELECT *, max(e) OVER (PARTITION BY call_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE e > s),
-        i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
-        SELECT call_id, 'period' AS kind, min(s) AS start_ms, max(e) AS end_ms FROM i GROUP BY call_id, island
+    "p1_found": f"""WITH {_PERIODS}
+        SELECT call_id, 'period' AS kind, start_ms, end_ms FROM period
         UNION ALL
         SELECT call_id, 'gap' AS kind, reach AS start_ms, s AS end_ms FROM i WHERE s > reach AND s - reach <= 1800000""",
+    "p1_interrupting": """
+        WITH b AS (SELECT call_id, block_no, min(CAST(round(start * 1000) AS BIGINT)) AS start_ms, max(CAST(round("end" * 1000) AS BIGINT)) AS end_ms, max(interrupting) AS stored FROM blocks GROUP BY ALL)
+        SELECT call_id, block_no, stored, coalesce(start_ms < lag(end_ms) OVER (PARTITION BY call_id ORDER BY start_ms, block_no), false) AS interrupting FROM b""",
+    "turn_blocks": f"{_BLK} SELECT * FROM blk",
+    "turn_interruptions": f"{_BLK} SELECT call_id, block_no, speaker, start_ms, end_ms, interrupting FROM flagged",
+    "pause_blocks": f"WITH {_SEG}, own AS (SELECT * REPLACE (call_id || '/' || speaker AS call_id) FROM seg), {_blocks('own')} SELECT call_id, block_no, start_ms, end_ms, segments FROM blk",
+    "turn_markdown": f"""{_BLK},
+        said AS (SELECT *, CAST(greatest(0, round_even(start_ms / 1000.0, 0)) AS BIGINT) AS t FROM flagged)
+        SELECT call_id, CASE WHEN count(DISTINCT speaker) > 1
+            THEN string_agg('**' || speaker || '** [' || {_STAMP} || ']' || CASE WHEN interrupting THEN ' (interrupting)' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY start_ms, block_no)
+            ELSE string_agg(text, chr(10) || chr(10) ORDER BY start_ms, block_no) END || chr(10) AS text
+        FROM said GROUP BY call_id""",
+    "lane_payload": f"""{_BLK},
+        f AS (SELECT call_id, speaker, row_number() OVER (PARTITION BY call_id ORDER BY min(block_no)) AS r FROM blk GROUP BY 1, 2)
+        SELECT call_id, block_no, speaker, CASE WHEN r % 2 = 1 THEN 'a' ELSE 'b' END AS lane FROM blk JOIN f USING (call_id, speaker)""",
+    "batch5": f"""{_BLK} SELECT call_id, (block_no - 1) // 5 AS batch, CAST(count(*) AS INT) AS n, string_agg({_trim("text")}, '|' ORDER BY block_no) AS texts FROM blk GROUP BY 1, 2""",
+    "context_window": f"""{_BLK}
+        SELECT call_id, block_no, coalesce(array_to_string(list(text) OVER (PARTITION BY call_id ORDER BY block_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS before,
+          coalesce(array_to_string(list(text) OVER (PARTITION BY call_id ORDER BY block_no ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|'), '') AS after FROM blk""",
+    "region_pack": f"""WITH RECURSIVE {_PERIODS},
+        n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY start_ms) AS k FROM period),
+        walk AS (
+          SELECT call_id, k, start_ms AS a, end_ms AS z, true AS opens FROM n WHERE k = 1
+          UNION ALL
+          SELECT n.call_id, n.k, CASE WHEN n.start_ms - z <= 1000 AND n.end_ms - a <= 28000 THEN a ELSE n.start_ms END, n.end_ms, NOT (n.start_ms - z <= 1000 AND n.end_ms - a <= 28000)
+          FROM walk JOIN n ON n.call_id = walk.call_id AND n.k = walk.k + 1)
+        SELECT call_id, a AS start_ms, max(z) AS end_ms FROM walk GROUP BY call_id, a""",
+    "line_pack": r"""WITH RECURSIVE
+        l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS lines FROM documents WHERE length(text) > 0),
+        walk AS (
+          SELECT doc_id, 1 AS k, lines, lines[1] AS buf, CAST(NULL AS VARCHAR) AS out FROM l
+          UNION ALL
+          SELECT doc_id, k + 1, lines, CASE WHEN length(buf) > 0 AND length(buf) + length(lines[k + 1]) + 1 > 1600 THEN lines[k + 1] WHEN length(buf) > 0 THEN buf || chr(10) || lines[k + 1] ELSE lines[k + 1] END,
+            CASE WHEN length(buf) > 0 AND length(buf) + length(lines[k + 1]) + 1 > 1600 THEN buf END
+          FROM walk WHERE k < len(lines)),
+        o AS (SELECT doc_id, k, out AS chunk FROM walk WHERE out IS NOT NULL UNION ALL SELECT doc_id, k + 1, buf FROM walk WHERE k = len(lines) AND length(buf) > 0)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk_no, chunk FROM o""",
+    "echo_candidates": f"""{_BLK},
+        b AS (SELECT *, length({_trim("text")}) AS n FROM blk WHERE length({_trim("text")}) >= 12)
+        SELECT a.call_id, a.block_no AS a_no, b.block_no AS b_no,
+          CASE WHEN a.energy <> b.energy THEN a.energy < b.energy WHEN a.n <> b.n THEN a.n < b.n ELSE a.start_ms >= b.start_ms END AS a_loses
+        FROM b a JOIN b ON a.call_id = b.call_id AND (a.start_ms, a.end_ms, a.block_no) < (b.start_ms, b.end_ms, b.block_no) AND a.speaker <> b.speaker AND b.start_ms - a.end_ms <= 1500
+          AND greatest(a.start_ms, b.start_ms) - least(a.end_ms, b.end_ms) <= 1500""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions.text import is_blank, millis
-from confab.operators import intervals
+from confab.operators import echo, intervals, turns
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,5 +25,72 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("call_id", "kind", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
-FLAGSHIP = p1_found
+def p1_interrupting(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with the stored flag and the one that their times give."""
+    b = table(spark, folder, "blocks").select("call_id", "block_no", millis("start").alias("start_ms"), millis("end").alias("end_ms"), F.col("interrupting").alias("stored"))
+    b = b.groupBy("call_id", "block_no").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("stored").alias("stored"))
+    return turns.flag_interruptions(b).select("call_id", "block_no", "stored", "interrupting")
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.distinct_segments(table(spark, folder, "segments"))
+
+
+def turn_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.merge_turns(_segments(spark, folder))
+
+
+def turn_interruptions(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.flag_interruptions(turn_blocks(spark, folder)).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
+
+
+def pause_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each label of a call as a recording of its own: blocks end at pauses."""
+    s = _segments(spark, folder).withColumn("call_id", F.concat_ws("/", "call_id", "speaker"))
+    return turns.merge_turns(s).select("call_id", "block_no", "start_ms", "end_ms", "segments")
+
+
+def turn_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.markdown(turns.flag_interruptions(turn_blocks(spark, folder)))
+
+
+def lane_payload(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.lanes(turn_blocks(spark, folder)).select("call_id", "block_no", "speaker", "lane")
+
+
+def batch5(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.batches(turn_blocks(spark, folder)).select("call_id", "batch", F.size("texts").alias("n"), F.array_join("texts", "|").alias("texts"))
+
+
+def context_window(spark: SparkSession, folder: str) -> DataFrame:
+    c = turns.context(turn_blocks(spark, folder))
+    return c.select("call_id", "block_no", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
+
+
+def region_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Periods of speech packed for a recogniser: chunks of up to 28 s across gaps of up to 1 s."""
+    periods = p1_found(spark, folder).where("kind = 'period'").select("call_id", "start_ms", "end_ms")
+    return turns.pack_regions(periods, 28_000, 1_000)
+
+
+def line_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.pack_lines(table(spark, folder, "documents"), "doc_id", limit=1600)
+
+
+def echo_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    c = echo.candidates(turn_blocks(spark, folder))
+    return c.select("call_id", F.col("a_block_no").alias("a_no"), F.col("b_block_no").alias("b_no"), echo.loser_is_a().alias("a_loses"))
+
+
+def echo_drop(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks without echoes, flags computed again."""
+    return turns.flag_interruptions(echo.drop_echoes(turn_blocks(spark, folder))).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
+
+
+FLAGSHIP = turn_markdown
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_interrupting, turn_blocks, turn_interruptions, pause_blocks, turn_markdown, lane_payload, batch5, context_window, region_pack, line_pack, echo_candidates, echo_drop,
+    )
+}
