@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confab.functions.text import is_blank, millis
-from confab.operators import echo, intervals, turns
+from confab.functions import formats
+from confab.functions.text import is_blank, match_key, millis, utrim
+from confab.operators import catalog, commitlog, echo, edits, evaluate, history, intervals, signals, turns, words
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,10 +88,280 @@ def echo_drop(spark: SparkSession, folder: str) -> DataFrame:
     return turns.flag_interruptions(echo.drop_echoes(turn_blocks(spark, folder))).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
 
 
+# ---- words ----
+
+
+def _worded(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments that have words, each once."""
+    s = table(spark, folder, "segments").where(F.size("words") > 0)
+    return s.select(F.col("call_id").alias("key"), "seq", "start", "end", "text", "words").dropDuplicates(["key", "seq"])
+
+
+def _words(spark: SparkSession, folder: str) -> DataFrame:
+    w = _worded(spark, folder).select("key", F.col("seq").alias("_s"), F.posexplode("words").alias("_k", "w"))
+    return w.select("key", (F.col("_s") * 1000 + F.col("_k")).alias("seq"), millis("w.start").alias("start_ms"), millis("w.end").alias("end_ms"), utrim("w.text").alias("text"), F.coalesce("w.lead_space", F.lit(True)).alias("lead_space"))
+
+
+def spacing_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Words again from a stream of word and spacing tokens made of them."""
+    w = _words(spark, folder)
+    word = w.select("key", (F.col("seq") * 2 + 1).alias("seq"), F.lit("word").alias("type"), "text", "start_ms", "end_ms")
+    space = w.select("key", (F.col("seq") * 2).alias("seq"), F.lit("spacing").alias("type"), F.when(F.col("lead_space"), " ").otherwise("").alias("text"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
+    return words.spaced_words(word.unionByName(space)).select("key", "seq", "text", "start_ms", "end_ms", "lead_space")
+
+
+def word_coalesce(spark: SparkSession, folder: str) -> DataFrame:
+    return words.coalesce_words(_words(spark, folder))
+
+
+def token_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words again from sub-word tokens of two characters and the rest."""
+    w = _words(spark, folder).where(F.char_length("text") > 0)
+    head = w.select("key", (F.col("seq") * 2).alias("seq"), F.concat(F.lit(" "), F.substring("text", 1, 2)).alias("text"), "start_ms", "end_ms")
+    tail = w.where(F.char_length("text") > 2).select("key", (F.col("seq") * 2 + 1).alias("seq"), F.substr("text", F.lit(3)).alias("text"), "start_ms", "end_ms")
+    return words.token_words(head.unionByName(tail)).select("key", "seq", "text", "start_ms", "end_ms")
+
+
+def word_bucket(spark: SparkSession, folder: str) -> DataFrame:
+    from confab.operators.ordered import with_order
+
+    numbered = with_order(_words(spark, folder).withColumn("one", F.lit(1).cast("long")), "key", ["seq"], words.ROWS, total={"n": "one"})
+    own = words.bucket_words(_worded(spark, folder), numbered.withColumn("word_no", F.col("n") - 1))
+    return own.select("key", "seq", F.array_join("words", " ").alias("words"))
+
+
+def segment_times(spark: SparkSession, folder: str) -> DataFrame:
+    s = _worded(spark, folder)
+    a, z = words.word_times(F.col("words"), F.col("start"), F.col("end"))
+    moved = words.offset_words(F.col("words"), F.lit(10.0))
+    return s.select("key", "seq", a.alias("first"), z.alias("last"), F.element_at(moved, 1)["start"].alias("moved"))
+
+
+def realign(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of segments against their normalised text."""
+    s = _worded(spark, folder)
+    return s.select("key", "seq", F.explode(words.realign("words", match_key("text"))).alias("w")).select("key", "seq", "w.*")
+
+
+# ---- history ----
+
+
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    return history.migrated(table(spark, folder, "transcriptions")).dropDuplicates(["id"])
+
+
+def eta_by_model_language(spark: SparkSession, folder: str) -> DataFrame:
+    h = _history(spark, folder)
+    asked = h.select("model", "language").distinct().withColumn("duration", F.lit(600.0)).withColumn("tracks", F.lit(2))
+    return history.estimate(asked, h).select("model", "language", F.round("seconds", 4).alias("seconds"))
+
+
+def history_latest200(spark: SparkSession, folder: str) -> DataFrame:
+    return history.grid(history.latest(_history(spark, folder), 200))
+
+
+def recent_success60(spark: SparkSession, folder: str) -> DataFrame:
+    return history.recent(_history(spark, folder)).select("id", "model", "output_path")
+
+
+def latest_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return history.latest_turns(_history(spark, folder))
+
+
+def stored_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of turns in each stored JSON; null where it is cut off."""
+    h = _history(spark, folder).where("turns_json is not null")
+    return h.select("id", F.size(history.parsed_turns("turns_json")).alias("turns")).withColumn("turns", F.when(F.col("turns") >= 0, F.col("turns")))
+
+
+def resumable_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return history.resumable(_history(spark, folder), ("stopped", "error")).select("id", "status", "started_at")
+
+
+def committed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments as a log: labels of even length are finished, the first label is in work, five chunks of it done."""
+    log = table(spark, folder, "segments").select(F.col("call_id").alias("key"), F.lower("speaker").alias("unit"), F.floor(millis("start") / 30000).cast("int").alias("chunk"), "seq").distinct()
+    points = log.groupBy("key").agg(F.collect_set(F.when(F.char_length("unit") % 2 == 0, F.col("unit"))).alias("completed_units"), F.min("unit").alias("partial_unit"), F.lit(5).alias("partial_done_chunks"))
+    return commitlog.committed(log, points)
+
+
+def format_all(spark: SparkSession, folder: str) -> DataFrame:
+    h, e, d = _history(spark, folder), F.col("elapsed_seconds"), F.col("audio_duration_seconds")
+    return h.select(
+        "id", formats.timestamp(e).alias("stamp"), formats.elapsed(e).alias("spent"), formats.timecode(d).alias("code"), formats.minutes_left(e).alias("left"), formats.duration(d).alias("length"),
+        formats.month_day("started_at").alias("day"), F.round(formats.polish_seconds(d), 6).alias("polish"),
+    )
+
+
+# ---- evaluation ----
+
+
+def bench_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    h = _history(spark, folder)
+    return evaluate.metrics(h, "audio_duration_seconds", "elapsed_seconds").select("id", (F.col("rtf").isNull()).alias("no_rtf"), "rtf")
+
+
+def judge_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    j = evaluate.judged(_history(spark, folder), ["model"], ["elapsed_seconds"], ["audio_duration_seconds"])
+    return j.withColumn("audio_duration_seconds_mean", F.round("audio_duration_seconds_mean", 4))
+
+
+def gated_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Models per language by how often they succeed; gated if one run in ten is an error."""
+    h = _history(spark, folder).withColumn("language", F.coalesce("language", F.lit("auto")))
+    v = h.groupBy("language", F.col("model").alias("name")).agg(F.avg((F.col("status") == "success").cast("double")).alias("good"), F.avg((F.col("status") == "error").cast("double")).alias("bad"))
+    r = evaluate.ranked(v.withColumn("seq", F.col("name")), ["language"], F.col("bad") > 0.1, "good", evaluate.quality("good", 1 - F.col("bad")))
+    return r.select("language", "name", "gated", "place", F.round("quality", 6).alias("quality"))
+
+
+def majority_vote(spark: SparkSession, folder: str) -> DataFrame:
+    """The language most runs of one recording were made with."""
+    return edits.vote(_history(spark, folder), ["source_path"], "language", "id")
+
+
+def rating_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    h = _history(spark, folder)
+    runs = h.select(F.col("model").alias("id"), F.lit(None).cast("int").alias("rating"), F.lit("").alias("notes")).distinct()
+    given = h.select(F.col("model").alias("id"), (F.col("id") % 7).cast("int").alias("rating"), F.col("language").alias("notes"), F.col("id").alias("seq"))
+    return evaluate.rate(runs, given)
+
+
+# ---- edited texts ----
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block's text and, as if it were its edit, that of the next block."""
+    b = table(spark, folder, "blocks").groupBy("call_id", "block_no").agg(F.min("text").alias("raw"))
+    n = b.select(F.col("call_id").alias("_c"), (F.col("block_no") - 1).alias("_n"), F.col("raw").alias("edited"))
+    return b.join(n, (F.col("call_id") == F.col("_c")) & (F.col("block_no") == F.col("_n"))).drop("_c", "_n")
+
+
+def norm_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "blocks").select("call_id", "block_no", match_key("text").alias("norm")).distinct()
+
+
+def fold_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "blocks").select("call_id", "block_no", "text").distinct().select("call_id", "block_no", edits.fold("text").alias("folded"))
+
+
+def containment_accept(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.accept(_pairs(spark, folder)).select("call_id", "block_no", (F.col("accepted") == F.col("raw")).alias("kept"), "accepted")
+
+
+def drift_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    d = edits.drift(_pairs(spark, folder))
+    return d.select("call_id", "block_no", F.round("length_ratio", 6).alias("length_ratio"), F.round("retention", 6).alias("retention"), F.array_join("novel_words", " ").alias("novel_words"), F.array_join("novel_numbers", " ").alias("novel_numbers"))
+
+
+def drift_report(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.drift_report(_pairs(spark, folder), "call_id")
+
+
+def repetition_5gram(spark: SparkSession, folder: str) -> DataFrame:
+    n, share = edits.repetition(F.col("text"))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", n.alias("words"), F.round(share, 6).alias("repeated"))
+
+
+def phrase_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.array_join(edits.phrase_hits(F.col("text")), "|").alias("hits"))
+
+
+def compression_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", edits.compression("text").alias("ratio"))
+
+
+def edit_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select("call_id", "block_no", edits.gate_edits("raw", "edited").alias("text"))
+
+
+# ---- signals ----
+
+
+def _tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as tracks, three to a call, and a fourth that is the sum of the first two."""
+    v = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("call_id"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.col("embedding").cast("array<double>").alias("samples"))
+    a, b = v.where("idx = 0").select("call_id", F.col("samples").alias("x")), v.where("idx = 1").select("call_id", F.col("samples").alias("y"))
+    mix = a.join(b, "call_id").select("call_id", F.lit(3).alias("idx"), F.zip_with("x", "y", lambda p, q: p + q).alias("samples"))
+    return v.unionByName(mix)
+
+
+def track_levels(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tracks(spark, folder)
+    on = signals.active(F.col("samples"), 8, 4, 0.9)
+    return t.select("call_id", "idx", F.round(signals.rms(F.col("samples")), 6).alias("rms"), F.size(F.filter(on, lambda x: x)).alias("active"), F.size(on).alias("windows"))
+
+
+def pair_corr_gain(spark: SparkSession, folder: str) -> DataFrame:
+    p, a, b = signals.pairs(_tracks(spark, folder)), F.col("a"), F.col("b")
+    inside = signals.containment(signals.active(a, 8, 4, 0.9), signals.active(b, 8, 4, 0.9))
+    return p.select("call_id", "a_idx", "b_idx", F.round(signals.correlation(a, b), 6).alias("corr"), F.round(signals.gain(a, b), 6).alias("gain"), F.round(inside, 6).alias("inside"))
+
+
+def envelope(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tracks(spark, folder)
+    return t.select("call_id", "idx", F.posexplode(signals.envelope(F.col("samples"), 16)).alias("bucket", "level")).withColumn("level", F.round("level", 6))
+
+
+def shared_voice(spark: SparkSession, folder: str) -> DataFrame:
+    return signals.shared_voices(signals.pair_stats(_tracks(spark, folder), 32, 16, 8, 4))
+
+
+def resolve_plan(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tracks(spark, folder)
+    return signals.resolve(t, shared_voice(spark, folder))
+
+
+def track_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return signals.classify(_tracks(spark, folder), 8, 4)
+
+
+def isolate_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """The fourth track of each call without the first."""
+    t = _tracks(spark, folder)
+    m, r = t.where("idx = 3").select("call_id", F.col("samples").alias("m")), t.where("idx = 0").select("call_id", F.col("samples").alias("r"))
+    left = m.join(r, "call_id").withColumn("rest", signals.isolate("m", F.array("r")))
+    return left.select("call_id", F.round(signals.rms(F.col("rest")), 6).alias("rms"))
+
+
+def first_speech(spark: SparkSession, folder: str) -> DataFrame:
+    t = _tracks(spark, folder)
+    return t.select("call_id", "idx", F.round(signals.first_speech(F.transform("samples", lambda x: F.abs(x))), 6).alias("at"))
+
+
+# ---- catalogue ----
+
+
+def track_names(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.named_tracks(table(spark, folder, "tracks")).select("call_id", "idx", "position", "several", "name", formats.unit_key("idx").alias("unit"))
+
+
+def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    stem, suffix = catalog.file_parts(F.col("source_path"))
+    return _history(spark, folder).select("id", stem.alias("stem"), suffix.alias("suffix"), catalog.family(F.col("model")).alias("family"))
+
+
+def name_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    """Names for the transcripts of all runs where those of every tenth run exist already."""
+    h = _history(spark, folder)
+    stem, _ = catalog.file_parts(F.col("source_path"))
+    w = h.select(F.regexp_extract("source_path", r"^(.*)/", 1).alias("folder"), stem.alias("stem"), F.lit(".md").alias("suffix"), F.col("id").alias("seq"))
+    taken = w.where("seq % 10 = 0").select("folder", F.concat("stem", "suffix").alias("name")).distinct()
+    return catalog.free_names(w, taken).select("seq", "folder", "name")
+
+
+def front_matter(spark: SparkSession, folder: str) -> DataFrame:
+    h = _history(spark, folder).where("elapsed_seconds is not null")
+    return h.select("id", catalog.front_matter(F.col("source_path"), F.col("model"), F.col("language"), F.col("started_at"), F.col("elapsed_seconds")).alias("head"))
+
+
 FLAGSHIP = turn_markdown
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_interrupting, turn_blocks, turn_interruptions, pause_blocks, turn_markdown, lane_payload, batch5, context_window, region_pack, line_pack, echo_candidates, echo_drop,
+        spacing_tokens, word_coalesce, token_words, word_bucket, segment_times, realign, eta_by_model_language, history_latest200, recent_success60, latest_turns, stored_turns, resumable_jobs,
+        committed_log, format_all, bench_metrics, judge_aggregate, gated_rank, majority_vote, rating_upsert, norm_text, fold_text, containment_accept, drift_metrics, drift_report, repetition_5gram,
+        phrase_hits, compression_ratio, edit_gate, track_levels, pair_corr_gain, envelope, shared_voice, resolve_plan, track_roles, isolate_residual, first_speech, track_names, file_catalog,
+        name_suffix, front_matter,
     )
 }
