@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confab.functions.text import match_key, utrim
+from confab.operators.ordered import with_order
+from confab.session import checkpointed
 
 MAX_GAP_MS, SIMILARITY, MIN_CHARS = 1500, 0.60, 12
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings, in this order; 0 if one is empty (TXT-2)."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+def similar(threshold: float):
+    """UDF: whether the Ratcliff-Obershelp ratio of two strings, in this order, reaches the threshold (TXT-2).
+
+    Empty strings are like nothing. Two upper bounds of the ratio, by length and by
+    letters, spare most pairs the comparison itself.
+    """
+
+    def one(x: str | None, y: str | None) -> bool:
+        if not x or not y:
+            return False
+        m = SequenceMatcher(None, x, y)
+        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+    return F.pandas_udf(lambda a, b: pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
 
 
 def candidates(blocks: DataFrame, max_gap: int = MAX_GAP_MS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -48,8 +60,10 @@ def echo_pairs(blocks: DataFrame, threshold: float = SIMILARITY, **limits: int)
 
     Cheap conditions come first; the text comparison runs on what they leave.
     """
-    c = candidates(blocks, **limits).withColumn("ratio", similarity(match_key("a_text"), match_key("b_text")))
-    return c.where(F.col("ratio") >= threshold).select("call_id", F.struct("a_start_ms", "a_end_ms", "a_block_no").alias("a"), F.struct("b_start_ms", "b_end_ms", "b_block_no").alias("b"), loser_is_a().alias("a_loses"))
+    c = candidates(blocks, **limits).withColumn("a_key", match_key("a_text")).withColumn("b_key", match_key("b_text"))
+    a, b = F.char_length("a_key"), F.char_length("b_key")
+    c = c.where(2 * F.least(a, b) >= threshold * (a + b)).withColumn("same", similar(threshold)("a_key", "b_key"))
+    return c.where("same").select("call_id", F.struct("a_start_ms", "a_end_ms", "a_block_no").alias("a"), F.struct("b_start_ms", "b_end_ms", "b_block_no").alias("b"), loser_is_a().alias("a_loses"))
 
 
 def drop_echoes(blocks: DataFrame, threshold: float = SIMILARITY, **limits: int) -> DataFrame:
@@ -59,9 +73,8 @@ def drop_echoes(blocks: DataFrame, threshold: float = SIMILARITY, **limits: int)
     only interact through shared blocks close in time, so they are settled within
     runs of pairs that overlap in time, not within whole calls.
     """
-    from confab.operators.ordered import with_order
-
-    pairs = echo_pairs(blocks, threshold, **limits).withColumn("start_ms", F.col("a.a_start_ms")).withColumn("until", F.greatest(F.col("a.a_end_ms"), F.col("b.b_end_ms"), F.col("b.b_start_ms")))
+    # written once: what follows reads the few pairs several times
+    pairs = checkpointed(echo_pairs(blocks, threshold, **limits)).withColumn("start_ms", F.col("a.a_start_ms")).withColumn("until", F.greatest(F.col("a.a_end_ms"), F.col("b.b_end_ms"), F.col("b.b_start_ms")))
     pairs = pairs.withColumn("a_no", F.col("a.a_block_no")).withColumn("b_no", F.col("b.b_block_no"))
     p = with_order(pairs, "call_id", ["start_ms", "a_no", "b_no"], reach={"reach": "until"})
     p = p.withColumn("opens", F.coalesce((F.col("start_ms") > F.col("reach")).cast("long"), F.lit(1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import formats
 from confab.functions.text import is_blank, match_key, millis, utrim
+from confab.session import spread
 from confab.operators import catalog, commitlog, echo, edits, evaluate, history, intervals, signals, turns, words
 
 
@@ -259,7 +260,7 @@ def drift_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def repetition_5gram(spark: SparkSession, folder: str) -> DataFrame:
     n, share = edits.repetition(F.col("text"))
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", n.alias("words"), F.round(share, 6).alias("repeated"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text").where("text is not null")).select("doc_id", n.alias("words"), F.round(share, 6).alias("repeated"))
 
 
 def phrase_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,9 +293,10 @@ def track_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pair_corr_gain(spark: SparkSession, folder: str) -> DataFrame:
-    p, a, b = signals.pairs(_tracks(spark, folder)), F.col("a"), F.col("b")
-    inside = signals.containment(signals.active(a, 8, 4, 0.9), signals.active(b, 8, 4, 0.9))
-    return p.select("call_id", "a_idx", "b_idx", F.round(signals.correlation(a, b), 6).alias("corr"), F.round(signals.gain(a, b), 6).alias("gain"), F.round(inside, 6).alias("inside"))
+    t = _tracks(spark, folder).withColumn("on", signals.active(F.col("samples"), 8, 4, 0.9))  # once a track, not once a pair
+    a, b = t.select("call_id", F.col("idx").alias("a_idx"), F.col("samples").alias("a"), F.col("on").alias("x")), t.select(F.col("call_id").alias("c"), F.col("idx").alias("b_idx"), F.col("samples").alias("b"), F.col("on").alias("y"))
+    p = a.join(b, (F.col("call_id") == F.col("c")) & (F.col("a_idx") < F.col("b_idx")))
+    return p.select("call_id", "a_idx", "b_idx", F.round(signals.correlation(F.col("a"), F.col("b")), 6).alias("corr"), F.round(signals.gain(F.col("a"), F.col("b")), 6).alias("gain"), F.round(signals.containment(F.col("x"), F.col("y")), 6).alias("inside"))
 
 
 def envelope(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,6 +16,9 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.sql.adaptive.enabled": "true",
+        # small tables still get all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        "spark.sql.files.openCostInBytes": "128k",
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
@@ -52,3 +55,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores.
+
+    For work that is heavy for its bytes, on an input that comes in fewer pieces than
+    that (one small file). Larger inputs are left as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
