@@ -21,6 +21,7 @@ from confab.llm.calls import Rosters, heads, ordered_with_tracks
 from confab.llm.labels import fold
 from confab.llm.peg import Grammar, Node
 from confab.operators import rangescan
+from confab.session import checkpointed, spread
 
 GRAMMAR = Grammar(
     r"""
@@ -196,7 +197,8 @@ def clean_blocks(blocks: DataFrame, tracks: DataFrame, with_text: bool = True) -
     rows = blocks.where(F.col("call_id").isNotNull() & F.col("block_no").isNotNull() & F.col("start").isNotNull()).select(
         "call_id", millis("start").alias("start"), F.col("block_no").cast("long").alias("row"), F.col("speaker").alias("label"), millis(F.coalesce("end", "start")).alias("end"), "text"
     )
-    parsed = rows.mapInArrow(parse, "call_id string, start long, row long, label string, end long, flags int, tag string, text string, untagged string, said int")
+    # written once: the range shuffle reads its input twice (it samples it first)
+    parsed = checkpointed(spread(rows).mapInArrow(parse, "call_id string, start long, row long, label string, end long, flags int, tag string, text string, untagged string, said int"))
     ordered = ordered_with_tracks(parsed, tracks)
     begin = heads(ordered, tracks)
 
