@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from confab.llm import labels
 from confab.session import checkpoint_dir
 
-WIDTH, RANK, BITS, SEED = 12, 24, 20, 7
+WIDTH, RANK, BITS, SEED = 12, 16, 16, 7
 #: Items go to the executors in blocks of at most so many words; each block is a pass of its own.
 BLOCK_WORDS = 2_000_000
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
@@ -101,10 +101,10 @@ def _ends(known: np.ndarray, width: int) -> np.ndarray:
 
 
 def _known_stretches(ids: np.ndarray, width: int, skip_unknown: bool) -> np.ndarray:
-    """The ids without what no passage can hold; -1 where stretches are apart."""
+    """The ids without what no passage can hold; -1 where stretches are apart and at the end."""
     if skip_unknown:
         out = ids[ids >= 0]
-        return out if len(out) >= width else out[:0]
+        return np.append(out, np.int32(-1)) if len(out) >= width else out[:0]
     starts = _ends(ids >= 0, width)
     if not len(starts):
         return ids[:0]
@@ -114,7 +114,7 @@ def _known_stretches(ids: np.ndarray, width: int, skip_unknown: bool) -> np.ndar
     keep = np.cumsum(keep[:-1]) > 0
     gap = keep & ~np.concatenate([[False], keep[:-1]])
     out = np.where(keep, ids, -1)
-    return out[keep | np.concatenate([gap[1:], [False]])]
+    return np.append(out[keep | np.concatenate([gap[1:], [False]])], np.int32(-1))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def _latent(rows: DataFrame, idf: np.ndarray, width: int, rank: int, seed: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighted = (idf[:, None] * omega).astype(np.float32)
-        total = np.zeros((wide, size))
+        total = np.zeros((size, wide))
         for b in batches:
             t = _tiles(b.column(1), width)
             for i in range(0, len(t), 20_000):
@@ -172,12 +172,13 @@ def _latent(rows: DataFrame, idf: np.ndarray, width: int, rank: int, seed: int)
                 sketch = weighted[part[:, 0]].copy()
                 for j in range(1, width):
                     sketch += weighted[part[:, j]]
-                flat = part.ravel()
-                for c in range(wide):
-                    total[c] += np.bincount(flat, np.repeat(sketch[:, c], width), size)
-        total *= idf
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[:, at].T.tolist(), pa.list_(pa.float64()))], ["word", "y"])
+                order = np.argsort(part, axis=None, kind="stable")
+                flat = part.ravel()[order]
+                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                total[flat[first]] += np.add.reduceat(sketch[order // width], first, axis=0)
+        total *= idf[:, None]
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["word", "y"])
 
     sums = F.array(*(F.sum(F.col("y")[c]) for c in range(wide))).alias("y")
     y = np.zeros((size, wide))
@@ -202,6 +203,7 @@ class Search:
         vectors = latent[items.passages].sum(axis=1)
         self.center = np.median(vectors, axis=0).astype(np.int64)
         self.bits = min(bits, latent.shape[1])
+        self.narrow = np.ascontiguousarray(latent[:, : self.bits].T.astype(np.int32))
         cells = self._cells(vectors)
         self.order = np.argsort(cells, kind="stable")
         self.start = np.searchsorted(cells[self.order], np.arange((1 << self.bits) + 1))
@@ -221,10 +223,12 @@ class Search:
         starts = _ends(ids >= 0, width)
         if not len(starts):
             return starts, starts
-        sums = np.zeros((len(ids) + 1, self.latent.shape[1]), np.int64)
-        np.cumsum(self.latent[ids], axis=0, out=sums[1:])  # the vectors of unknown words (-1) cancel out
-        vectors = sums[starts + width] - sums[starts]
-        cell = self._cells(vectors)
+        # whole numbers wrap around alike in every sum, so that differences are exact; unknown words cancel out
+        cell = np.zeros(len(starts), np.int64)
+        for c in range(self.bits):
+            sums = np.cumsum(self.narrow[c][ids], dtype=np.int32)
+            sums = np.concatenate([[np.int32(0)], sums])
+            cell |= ((sums[starts + width] - sums[starts]) > self.center[c]).astype(np.int64) << c
         hit = np.flatnonzero(self.full[cell])
         a, z = self.start[cell[hit]], self.start[cell[hit] + 1]
         n = z - a
@@ -233,7 +237,7 @@ class Search:
         keep_place, keep_other = [], []
         for i in range(0, len(place), 200_000):
             p, o = place[i : i + 200_000], other[i : i + 200_000]
-            v = vectors[p].astype(float)
+            v = self.latent[ids[starts[p][:, None] + np.arange(width)]].sum(axis=1).astype(float)
             cosine = np.einsum("ij,ij->i", v, self.unit[o]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
             near = cosine >= self.least
             keep_place.append(p[near]), keep_other.append(o[near])
@@ -312,22 +316,17 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
             need = int(np.ceil(share * width - 1e-9))
             for b in batches:
                 flat, offsets = _lists(b.column(1))
-                found: dict[tuple[int, int], int] = {}
-                for i, (a, z) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    x = flat[a:z]
-                    at, other = search.candidates(x)
-                    if not len(at):
-                        continue
-                    same = (x[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
-                    if need < width:
-                        for k in np.flatnonzero(~same):
-                            same[k] = common(x[at[k] : at[k] + width], own.passages[other[k]]) >= need
-                    seen: dict[int, set[int]] = {}
-                    for p, o in zip(at[same].tolist(), other[same].tolist()):
-                        for item in own.owners[o]:
-                            seen.setdefault(item, set()).add(p)
-                    for item, places in seen.items():
-                        found[i, item] = len(places)
+                at, other = search.candidates(flat)  # all rows at once: they end in -1, so no passage spans two
+                same = (flat[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
+                if need < width:
+                    for k in np.flatnonzero(~same):
+                        same[k] = common(flat[at[k] : at[k] + width], own.passages[other[k]]) >= need
+                row = np.searchsorted(offsets, at[same], side="right") - 1
+                seen: dict[tuple[int, int], set[int]] = {}
+                for i, p, o in zip(row.tolist(), at[same].tolist(), other[same].tolist()):
+                    for item in own.owners[o]:
+                        seen.setdefault((i, item), set()).add(p)
+                found = {key: len(places) for key, places in seen.items()}
                 if found:
                     key = b.column(0).take(pa.array([i for i, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, pa.array([m for _, m in found]), pa.array(list(found.values()), pa.int64())], ["doc_id", "item_id", "passages"])
