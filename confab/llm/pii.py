@@ -165,6 +165,7 @@ _LOCAL = re.compile(rf"(?:[\w+-]+(?:{_DOT}|{_H}(?:{_JOINS}){_H}|[(\[](?:{_JOINS}
 _DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", _I)
 
 _NUMBER = re.compile(rf"[(+\d][+(\d]*(?:(?:{_H}?[/.\-–]{_H}?|{_H}?\){_H}?[/\-–]?{_H}?|{_H}?[/\-–]?{_H}?\(|{_H})\d+)*")
+_CARD = re.compile(rf"\w*(?:[- ]?(?:id|nr|no|nummer|number))?\.?{_H}?:?{_H}?((?=[A-Z]*\d)(?=\d*[A-Z])[A-Z\d]{{8,12}})\b", _I)
 _QQ = re.compile(rf"QQ(?:{_H}?\d\d){{3}}{_H}?[A-D]\b", _I)
 _ID_CUE = re.compile(_a(r"(?:rodn\w+[^\S\r\n]+čísl\w+|\brč|\br\. ?č\.|\bssn|social security(?: number| no\.?)?|national insurance(?: number| no\.?)?|\bid[ -]?(?:number|no\.?|nr\.?|číslo)|identi\w+[^\S\r\n]+(?:number|čísl\w+|nummer)|\bnino|steuer\w*(?:[- ]?(?:id|nr|nummer|identifikationsnummer))?\.?|sozialversicherung\w*|versicherten\w*|ausweis\w*|číslo (?:pojištěnce|op|občanského průkazu)|op č\.|personal\w*nummer|\btax id)\W*(?:\w{1,6}\W+)?$"), _I)
 _ORDER_CUE = re.compile(_a(r"(?:\b(?:č|no|nr|nummer|ticket|zakázk\w*|zákazk\w*|faktur\w*|invoice|vorgang|celkem|celkom|total|insgesamt|server|verze|verzia|build|version|order|desk)\b)\.?\W*$"), _I)
@@ -184,7 +185,7 @@ _STREET_EN = re.compile(
 _HOUSE = re.compile(rf"(?<={_L}|\.)(?:{_H}(?:{_a('č')}\.{_H}?p\.|{_a('čp')}\.|{_a('č')}\.|nr\.|no\.))?{_H}?\d{{1,4}}(?:/\d{{1,4}})?(?:[a-z]\b|{_H}[b-h]\b(?!['’]))?(?![\d/:]|[.–-]\d|{_H}?\d)", _I)
 _STREET_PREFIX = _a(r"(?:ulice|ulica|ulici|ul\.|nám\.|náměstí|námestie|třída|trieda|tř\.|nábřeží)")
 _CUE_STREET = re.compile(
-    rf"^.*(?:{_a('adres[ayue]')}(?:sse)?:?|\badress\w*:?|\banschrift:?|\bwohnt(?:{_H}jetzt)?(?:{_H}(?:in|an)(?:{_H}der)?)?|\bwohnhaft|\blieferung{_H}an|{_a('doručit')}{_H}na|\bu{_H}domu|\bpri{_H}dome|{_a('bydl[ií]|býva|bydliště|bydlisko')}(?:{_H}(?:na|v))?:?|\bvor{_H}dem{_H}haus|\blives{_H}at|\bdeliver{_H}to|\bwaits{_H}outside|\baddress:?){_H}((?:{_STREET_PREFIX}{_H})?(?:{_L}+\.?{_H}?){{1,4}})$",
+    rf"^.*(?:{_a('adres[ayue]')}(?:sse)?:?|\badress\w*:?|\banschrift:?|\bwohnt(?:{_H}jetzt)?(?:{_H}(?:in|an)(?:{_H}der)?)?|\bwohnhaft|\blieferung{_H}an|{_a('doručiť')}{_H}na|\bu{_H}domu|\bpri{_H}dome|(?:{_a('bydlí|býva|bydliště|bydlisko')})(?:{_H}(?:na|v))?:?|\bvor{_H}dem{_H}haus|\blives{_H}at|\bdeliver{_H}to|\bwaits{_H}outside|\baddress:?){_H}((?:{_STREET_PREFIX}{_H})?(?:{_L}+\.?{_H}?){{1,4}})$",
     _I,
 )
 _OWN_STREET = re.compile(rf"((?:(?:an|in){_H}der{_H})?{_L}*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer|ring|steig)|{_STREET_PREFIX}{_H}(?:{_L}+{_H}?){{1,3}}|{_L}+{_H}{_a('nábřeží|náměstí|třída|nábrežie|námestie')})$", _I)
@@ -193,6 +194,7 @@ _NO_STREET = re.compile(_a(r"^(?:v|ve|na|o|um|at|in|im|a|und|and)$"), _I)
 
 _AFTER = re.compile(rf"{_H}(?:{_L}\.{_H}?){{0,2}}({_L}{{2,}})")
 _GIVEN_AFTER = re.compile(rf",?{_H}({_L}{{2,}})")
+_SURNAME_BEFORE = re.compile(rf"(?<!\w)({_L}{{3,}}),{_H}$")
 _INITIAL = re.compile(rf"{_H}[^\W\d_a-z]\.(?=\W|$)")
 _INITIAL_AFTER = re.compile(rf"(?:,{_H}{_L}|{_H}[^\W\d_a-z])\.(?=\W|$)")
 _INITIALS_BEFORE = re.compile(rf"(?<![\w.])(?:{_L}\.{_H}?){{1,3}}$")
@@ -201,6 +203,7 @@ _INITIALS_BEFORE = re.compile(rf"(?<![\w.])(?:{_L}\.{_H}?){{1,3}}$")
 _TRIGGERS = {
     "email": "@|(at|[at|zavináč|zavinac|klammeraffe| dot |\xa0dot\xa0|(ät",
     "qq": "qq",
+    "card": "steuer|ausweis|průkaz|prukaz|preukaz|id number|id card|passport",
     "digit": "nula|jedna|jeden|dva|tři|tri|čtyři|ctyri|štyri|styri|pět|pet|päť|pat|šest|sest|šesť|sedm|sedem|osm|osem|devět|devet|deväť|devat|"
     "zero|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|funf|sechs|sieben|acht|neun",
     "street": "road|street|lane|close|drive|avenue|way|court|square|terrace|crescent|place|gardens|grove|mews|hill|row|walk|rd|st|ln|dr|ave|cl|ct|sq",
@@ -259,7 +262,7 @@ class Finder:
                 taken[start:end] = b"\1" * (end - start)
                 spans.append((start, end, kind))
 
-        hits: dict[str, list[tuple[int, int]]] = {"email": [], "qq": [], "digit": [], "street": [], "house": [], "name": []}
+        hits: dict[str, list[tuple[int, int]]] = {"email": [], "qq": [], "card": [], "digit": [], "street": [], "house": [], "name": []}
         for last, (size, kinds) in self.triggers.iter(low):
             for k in kinds:
                 hits[k].append((last + 1 - size, last + 1))
@@ -271,6 +274,9 @@ class Finder:
         for a, _ in hits["qq"]:
             if m := _QQ.match(t, a):
                 take(m.start(), m.end(), "idnum")
+        for _, z in hits["card"]:
+            if m := _CARD.match(t, z):
+                take(m.start(1), m.end(1), "idnum")
         for m in _NUMBER.finditer(t):
             self._number(t, m, take)
         self._dictated(low, t, hits["digit"], take)
@@ -378,6 +384,10 @@ class Finder:
                 m = _AFTER.match(t, z)
                 if m and (size := self._surname(t, low, m.start(1), m.end(1), a)):
                     start, end = a, m.start(1) + size
+                elif m := _SURNAME_BEFORE.search(t, max(done, a - 40), a):  # an unknown surname in front, set off by a comma
+                    f = fold(m.group(1))
+                    if len(f) > 5 and f[-4:] in self.ending and (m.group(1)[0].isupper() or not t[a].isupper()):
+                        start, end = m.start(1), z
             if start < 0 and r & 2:
                 m = _GIVEN_AFTER.match(t, z)
                 if m and self._role(low[m.start(1) : m.end(1)]) & 1 and not (_AFTER.match(t, m.end(1)) and self._surname(t, low, *_AFTER.match(t, m.end(1)).span(1), m.start(1)) and "," not in t[z : m.start(1)]):
