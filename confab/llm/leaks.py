@@ -39,6 +39,8 @@ from confab.session import checkpoint_dir
 WIDTH, RANK, BITS, SEED = 12, 16, 16, 7
 #: Items go to the executors in blocks of at most so many words; each block is a pass of its own.
 BLOCK_WORDS = 2_000_000
+#: Ids searched at once, which bounds a task's memory.
+SLICE = 100_000
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 
 
@@ -167,8 +169,8 @@ def _latent(rows: DataFrame, idf: np.ndarray, width: int, rank: int, seed: int)
         total = np.zeros((size, wide))
         for b in batches:
             t = _tiles(b.column(1), width)
-            for i in range(0, len(t), 20_000):
-                part = t[i : i + 20_000]
+            for i in range(0, len(t), 10_000):
+                part = t[i : i + 10_000]
                 sketch = weighted[part[:, 0]].copy()
                 for j in range(1, width):
                     sketch += weighted[part[:, j]]
@@ -235,8 +237,8 @@ class Search:
         place = np.repeat(hit, n)
         other = self.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
         keep_place, keep_other = [], []
-        for i in range(0, len(place), 200_000):
-            p, o = place[i : i + 200_000], other[i : i + 200_000]
+        for i in range(0, len(place), 20_000):
+            p, o = place[i : i + 20_000], other[i : i + 20_000]
             v = self.latent[ids[starts[p][:, None] + np.arange(width)]].sum(axis=1).astype(float)
             cosine = np.einsum("ij,ij->i", v, self.unit[o]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
             near = cosine >= self.least
@@ -315,18 +317,23 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
             search = Search(own, latent, bits, least_cosine)
             need = int(np.ceil(share * width - 1e-9))
             for b in batches:
-                flat, offsets = _lists(b.column(1))
-                at, other = search.candidates(flat)  # all rows at once: they end in -1, so no passage spans two
-                same = (flat[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
-                if need < width:
-                    for k in np.flatnonzero(~same):
-                        same[k] = common(flat[at[k] : at[k] + width], own.passages[other[k]]) >= need
-                row = np.searchsorted(offsets, at[same], side="right") - 1
-                seen: dict[tuple[int, int], set[int]] = {}
-                for i, p, o in zip(row.tolist(), at[same].tolist(), other[same].tolist()):
-                    for item in own.owners[o]:
-                        seen.setdefault((i, item), set()).add(p)
-                found = {key: len(places) for key, places in seen.items()}
+                every, offsets = _lists(b.column(1))
+                found: dict[tuple[int, int], int] = {}
+                # some rows at once, as many as SLICE ids: rows end in -1, so no passage spans two
+                cuts = np.unique(np.searchsorted(offsets, np.arange(0, len(every) + SLICE, SLICE), side="left").clip(0, len(offsets) - 1))
+                for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    flat = every[offsets[u] : offsets[v]]
+                    at, other = search.candidates(flat)
+                    same = (flat[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
+                    if need < width:
+                        for k in np.flatnonzero(~same):
+                            same[k] = common(flat[at[k] : at[k] + width], own.passages[other[k]]) >= need
+                    row = np.searchsorted(offsets, at[same] + offsets[u], side="right") - 1
+                    seen: dict[tuple[int, int], set[int]] = {}
+                    for i, p, o in zip(row.tolist(), at[same].tolist(), other[same].tolist()):
+                        for item in own.owners[o]:
+                            seen.setdefault((i, item), set()).add(p)
+                    found |= {key: len(places) for key, places in seen.items()}
                 if found:
                     key = b.column(0).take(pa.array([i for i, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, pa.array([m for _, m in found]), pa.array(list(found.values()), pa.int64())], ["doc_id", "item_id", "passages"])
