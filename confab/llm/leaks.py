@@ -10,14 +10,17 @@ Latent semantic retrieval over passages of `width` words:
    vectors (a single pass, by the Nystroem form of the sketch);
 4. every word gets a latent vector in whole numbers; a passage's vector is the sum of
    its words' vectors, so two passages of the same words have exactly the same one,
-   and cosine 1. Candidates are the passages of items in the same cell of sign bits
-   whose cosine reaches a threshold;
+   and cosine 1. Candidates are the passages of items whose cosine reaches a
+   threshold: for equal passages those in the same cell of sign bits, for near ones
+   those of every item that shares as many runs of words as the next step takes
+   at least, in no cells;
 5. candidates are compared word by word: the longest common subsequence must be as
    long as asked for.
 
 Passages are taken at every word of a document. A document that holds `width` words
 of an item in a row thus has a passage with cosine 1 to one of the item's, in the
-same cell: none is lost for exact leaks.
+same cell: none is lost for exact leaks. For near ones the rows are those of a
+comparison of every passage with every other (same cosine, same subsequence).
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ WIDTH, RANK, BITS, SEED = 12, 16, 16, 7
 BLOCK_WORDS = 2_000_000
 #: Ids searched at once, which bounds a task's memory.
 SLICE = 100_000
+#: Pairs of a place and an item with the same run of words that are looked at at once.
+PAIRS = 1_000_000
 _WORDS = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 
 
@@ -71,6 +76,8 @@ class Items:
                 grams.setdefault(tuple(ids[i : i + width]), set()).add(item)
         self.passages = np.array(list(grams), np.int32).reshape(len(grams), width)
         self.owners = [sorted(x) for x in grams.values()]
+        #: Texts, each once, that have passages.
+        self.texts = [np.array(t, np.int32) for t in dict.fromkeys(tuple(self.vocabulary[w] for w in words(text)) for _, text in rows) if len(t) >= width]
 
 
 class Ids(dict):
@@ -246,6 +253,117 @@ class Search:
         return starts[np.concatenate(keep_place or [hit])], np.concatenate(keep_other or [hit])
 
 
+def _runs(ids: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the `k` words at each place."""
+    n = max(len(ids) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = (out ^ (ids[j : j + n].astype(np.int64) + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _spans(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """a, a + 1, ... of `n` numbers each, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+
+
+class Near:
+    """The items' passages by runs of words, for passages with at least `need` words in common in the same order.
+
+    Such passages drop d = width - need words each, so what they have in common is at
+    most 2 d + 1 runs without a gap in either, and of runs of k words at least
+    need - (2 d + 1)(k - 1). A passage and an item with fewer can't match, whatever
+    their cosine; all others are compared. Equal hashes only add comparisons.
+    """
+
+    def __init__(self, items: Items, latent: np.ndarray, least_cosine: float, need: int):
+        self.items, self.latent, self.least, self.need = items, latent, least_cosine, need
+        width = items.width
+        pieces = 2 * (width - need) + 1
+        self.k = max(k for k in range(1, width + 1) if k == 1 or need - pieces * (k - 1) >= k)
+        self.least_runs = need - pieces * (self.k - 1)
+        number = {tuple(p): i for i, p in enumerate(items.passages.tolist())}
+        own = [np.unique([number[tuple(w)] for w in np.lib.stride_tricks.sliding_window_view(t, width).tolist()]) for t in items.texts]
+        self.passages = np.concatenate(own)
+        self.first = np.cumsum([0, *map(len, own)])
+        hashes = [np.unique(_runs(t, self.k)) for t in items.texts]
+        text = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        every = np.concatenate(hashes)
+        order = np.argsort(every, kind="stable")
+        self.texts = text[order]
+        self.runs, self.start = np.unique(every[order], return_index=True)
+        self.start = np.append(self.start, len(every))
+        v = latent[items.passages].sum(axis=1).astype(float)
+        self.unit = v / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+
+    def _pairs(self, at: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, text) of the passages with enough runs, from (place of a run, text), each once."""
+        order = np.lexsort((at, texts))
+        at, texts, far = at[order], texts[order], self.least_runs - 1
+        a, z = at[: len(at) - far], at[far:]
+        reach = self.items.width - self.k
+        ok = np.flatnonzero((z - a <= reach) & (texts[: len(at) - far] == texts[far:]))
+        start = _spans(z[ok] - reach, a[ok] - z[ok] + reach + 1)
+        text = np.repeat(texts[ok], a[ok] - z[ok] + reach + 1)
+        key = np.unique(text * (1 << 40) + start + self.items.width)
+        return (key & ((1 << 40) - 1)) - self.items.width, key >> 40
+
+    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start of a passage in ids, item passage) of all pairs that reach the cosine and the common words."""
+        width, none = self.items.width, np.empty(0, np.int64)
+        whole = np.zeros(len(ids) + 1, bool)
+        whole[_ends(ids >= 0, width)] = True
+        hashes = _runs(ids, self.k)
+        place = np.searchsorted(self.runs, hashes).clip(0, len(self.runs) - 1)
+        hit = np.flatnonzero(self.runs[place] == hashes)
+        n = self.start[place[hit] + 1] - self.start[place[hit]]
+        # places in parts of about PAIRS pairs; each part also sees the runs that its first passages hold
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), PAIRS)), len(hit)))
+        found = []
+        for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            low = hit[u] - (width - self.k) if u else -width
+            high = hit[v] - (width - self.k) if v < len(hit) else len(ids)
+            part = slice(np.searchsorted(hit, low), v)
+            at = np.repeat(hit[part], n[part])
+            start, text = self._pairs(at, self.texts[_spans(self.start[place[hit[part]]], n[part])])
+            keep = (start >= max(low, 0)) & (start < high)
+            start, text = start[keep], text[keep]
+            start, text = start[whole[start]], text[whole[start]]
+            for i in range(0, len(start), 2_000):
+                s, t = start[i : i + 2_000], text[i : i + 2_000]
+                m = self.first[t + 1] - self.first[t]
+                found.append(self._compare(ids, np.repeat(s, m), self.passages[_spans(self.first[t], m)]))
+        if not found:
+            return none, none
+        # a passage may stand in several texts
+        p, o = (np.concatenate(x) for x in zip(*found))
+        key = np.unique(p * len(self.items.passages) + o)
+        return key // len(self.items.passages), key % len(self.items.passages)
+
+    def _compare(self, ids: np.ndarray, p: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep_p, keep_o = [p[:0]], [o[:0]]
+        for i in range(0, len(p), 20_000):
+            a, b = p[i : i + 20_000], o[i : i + 20_000]
+            w = ids[a[:, None] + np.arange(self.items.width)]
+            v = self.latent[w].sum(axis=1).astype(float)
+            size = np.linalg.norm(v, axis=1)
+            near = np.einsum("ij,ij->i", v, self.unit[b]) >= self.least * size
+            near[near] = commons(w[near], self.items.passages[b[near]]) >= self.need
+            keep_p.append(a[near]), keep_o.append(b[near])
+        return np.concatenate(keep_p), np.concatenate(keep_o)
+
+
+def commons(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`common` of each two rows."""
+    row = np.zeros((len(a), b.shape[1] + 1), np.int16)
+    for j in range(a.shape[1]):
+        match = row[:, :-1] + (b == a[:, j : j + 1])
+        np.maximum(row[:, 1:], match, out=row[:, 1:])
+        np.maximum.accumulate(row, axis=1, out=row)
+    return row[:, -1]
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence."""
     row = np.zeros(len(b) + 1, np.int64)
@@ -260,11 +378,10 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
 
     `documents`: doc_id, text. `items`: item_id, ref_text. A document matches an item
     if a passage of `width` consecutive words has at least share * width words in
-    common with one of the item's, in the same order, after a latent cosine of
-    `least_cosine` within one cell. With share 1 and a cosine of 1 these are exactly
-    the pairs that have `width` words in a row in common. With smaller values near
-    copies are found too, but not all (those in a neighbouring cell are missed). With
-    `skip_unknown`, words that no item has are passed over, so that leaks with words
+    common with one of the item's, in the same order, and a latent cosine of at least
+    `least_cosine`. With share 1 these are exactly the pairs that have `width` words
+    in a row in common. With smaller values near copies are found too: all that a
+    comparison of every two passages finds. With `skip_unknown`, words that no item has are passed over, so that leaks with words
     mixed in are found.
 
     Words are runs of letters and digits, without case and accents. Null and empty
@@ -314,8 +431,8 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
         latent = _latent(rows, idf, width, rank, seed)
 
         def match(batches: Iterator[pa.RecordBatch], own=own, latent=latent) -> Iterator[pa.RecordBatch]:
-            search = Search(own, latent, bits, least_cosine)
             need = int(np.ceil(share * width - 1e-9))
+            search = Search(own, latent, bits, least_cosine) if need == width else Near(own, latent, least_cosine, need)
             for b in batches:
                 every, offsets = _lists(b.column(1))
                 found: dict[tuple[int, int], int] = {}
@@ -324,10 +441,7 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
                 for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     flat = every[offsets[u] : offsets[v]]
                     at, other = search.candidates(flat)
-                    same = (flat[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
-                    if need < width:
-                        for k in np.flatnonzero(~same):
-                            same[k] = common(flat[at[k] : at[k] + width], own.passages[other[k]]) >= need
+                    same = np.ones(len(at), bool) if need < width else (flat[at[:, None] + np.arange(width)] == own.passages[other]).all(axis=1)
                     row = np.searchsorted(offsets, at[same] + offsets[u], side="right") - 1
                     seen: dict[tuple[int, int], set[int]] = {}
                     for i, p, o in zip(row.tolist(), at[same].tolist(), other[same].tolist()):

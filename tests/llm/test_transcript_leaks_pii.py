@@ -84,6 +84,59 @@ def test_leaks_are_exact(spark):
     assert leaks.leaked(df.limit(0), it).collect() == [] and leaks.leaked(df, it.limit(0)).collect() == []
 
 
+def test_near_leaks_against_brute_force(spark):
+    """Every passage with every other: no pair may be missing, nor extra, whatever cell it falls in."""
+    rnd = random.Random(5)
+    vocab = [f"slovo{i}" for i in range(300)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(40))) for i in range(30)]
+    docs = []
+    for d in range(80):
+        src = rnd.choice(items)[1].split()
+        at = rnd.randrange(16)
+        leak = src[at : at + 24]
+        for k in rnd.sample(range(24), d % 4):  # up to three changed words; two may be, and words of no item don't count
+            leak[k] = rnd.choice(vocab)
+        if d % 5 == 0:
+            leak.insert(rnd.randrange(1, 23), "nikde")
+        docs.append((d, " ".join([*rnd.choices(vocab, k=20), *leak, *rnd.choices(vocab, k=20)])))
+    want, known = {}, {w for _, r in items for w in leaks.words(r)}
+    for d, t in docs:
+        w = [x for x in leaks.words(t) if x in known]
+        for i, r in items:
+            v = leaks.words(r)
+            for k in range(len(w) - 23):
+                own = set(w[k : k + 24])
+                if any(sum(x in own for x in v[j : j + 24]) >= 22 and _longest(w[k : k + 24], v[j : j + 24]) >= 22 for j in range(17)):
+                    want[d, i] = want.get((d, i), 0) + 1
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, ref_text string")
+    for least, recall in ((-1.0, 1.0), (0.98, 0.9)):
+        got = {(r.doc_id, r.item_id): r.passages for r in leaks.leaked(df, it, width=24, share=0.9, least_cosine=least, skip_unknown=True).collect()}
+        assert set(got) <= set(want) and len(got) >= recall * len(want)
+        assert least > 0 or got == want
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_near_leaks_in_parts(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(6)
+    own = leaks.Items([(i, " ".join(str(rnd.randrange(50)) for _ in range(40))) for i in range(20)], 12)
+    ids = np.concatenate([np.append(np.roll(own.texts[i % 20], i), -1) for i in range(60)]).astype(np.int32)
+    near = leaks.Near(own, np.ones((50, 4), np.int64), 0.5, 10)
+    whole = near.candidates(ids)
+    monkeypatch.setattr(leaks, "PAIRS", 7)
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, near.candidates(ids)))
+
+
 def test_common_subsequence():
     import numpy as np
 
