@@ -17,51 +17,54 @@ WORD = "struct<start:double,end:double,text:string,lead_space:boolean>"
 SEGMENT_GAP_MS = 600
 #: Rows of a chunk where the order is a running number.
 ROWS = 100_000
+#: Segments of a chunk where the order is (segment, position in it).
+SEGMENTS = 100
 
 
-def spaced_words(tokens: DataFrame) -> DataFrame:
+def spaced_words(tokens: DataFrame, order: tuple[str, ...] = ("seq",), width: int = ROWS) -> DataFrame:
     """Words of a token stream with lead_space from the spacing tokens between them (GRP-5).
 
     `tokens`: key, seq, type, text, start_ms, end_ms. Only tokens of type 'word' with
     both times are words; a non-empty 'spacing' since the word before gives the blank;
-    tokens of other types neither give nor clear one.
+    tokens of other types neither give nor clear one. `order`: the columns that tokens
+    are ordered by, `width`: the stretch of the first that is a chunk.
     """
     t = tokens.withColumn("is_word", ((F.col("type") == "word") & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()).cast("long")).fillna({"is_word": 0})
-    t = with_order(t, "key", ["seq"], ROWS, total={"upto": "is_word"})
+    t = with_order(t, "key", [*order], width, total={"upto": "is_word"})
     own = F.col("is_word") == 1
     g = t.groupBy("key", (F.col("upto") - F.col("is_word")).alias("word_no")).agg(
         F.max((F.col("type") == "spacing") & (F.coalesce(F.char_length("text"), F.lit(0)) > 0)).alias("lead_space"),
-        F.max(F.when(own, F.struct("seq", "start_ms", "end_ms", "text"))).alias("w"),
+        F.max(F.when(own, F.struct(*order, "start_ms", "end_ms", "text"))).alias("w"),
     )
-    return g.where("w is not null").select("key", "w.seq", "w.start_ms", "w.end_ms", "w.text", F.coalesce("lead_space", F.lit(False)).alias("lead_space"))
+    return g.where("w is not null").select("key", *(f"w.{c}" for c in order), "w.start_ms", "w.end_ms", "w.text", F.coalesce("lead_space", F.lit(False)).alias("lead_space"))
 
 
-def coalesce_words(words: DataFrame, gap_ms: int = SEGMENT_GAP_MS) -> DataFrame:
+def coalesce_words(words: DataFrame, gap_ms: int = SEGMENT_GAP_MS, order: tuple[str, ...] = ("seq",), width: int = ROWS) -> DataFrame:
     """Words to segments: a new one after a pause over `gap_ms` or a sentence's end (GRP-4).
 
-    `words`: key, seq, start_ms, end_ms, text, lead_space. Returns key, segment_no, start_ms, end_ms, words, text.
+    `words`: key, seq, start_ms, end_ms, text, lead_space; `order` and `width` as above. Returns key, segment_no, start_ms, end_ms, words, text.
     """
-    w = with_order(words, "key", ["seq"], ROWS, lag={"prev_end": "end_ms", "prev_text": "text"})
+    w = with_order(words, "key", [*order], width, lag={"prev_end": "end_ms", "prev_text": "text"})
     opens = F.col("prev_text").isNull() | (F.col("start_ms") - F.col("prev_end") > gap_ms) | F.col("prev_text").rlike(r"(?U)[.!?]\s*$")
-    w = with_order(w.withColumn("opens", opens.cast("long")), "key", ["seq"], ROWS, total={"segment_no": "opens"})
-    parts = F.array_sort(F.collect_list(F.struct("seq", "text", "lead_space", "end_ms")))
+    w = with_order(w.withColumn("opens", opens.cast("long")), "key", [*order], width, total={"segment_no": "opens"})
+    parts = F.array_sort(F.collect_list(F.struct(*order, "text", "lead_space", "end_ms")))
     text = F.array_join(F.transform("p", lambda x, i: F.when((i > 0) & x["lead_space"], F.concat(F.lit(" "), x["text"])).otherwise(x["text"])), "")
-    g = w.groupBy("key", "segment_no").agg(F.min(F.struct("seq", "start_ms"))["start_ms"].alias("start_ms"), parts.alias("p"))
+    g = w.groupBy("key", "segment_no").agg(F.min(F.struct(*order, "start_ms"))["start_ms"].alias("start_ms"), parts.alias("p"))
     return g.select("key", "segment_no", "start_ms", F.element_at("p", -1)["end_ms"].alias("end_ms"), F.size("p").alias("words"), utrim(text).alias("text"))
 
 
-def token_words(tokens: DataFrame) -> DataFrame:
+def token_words(tokens: DataFrame, order: tuple[str, ...] = ("seq",), width: int = ROWS) -> DataFrame:
     """Sub-word tokens to words: a token that begins with a blank begins a word (GRP-6).
 
-    `tokens`: key, seq, text, start_ms, end_ms.
+    `tokens`: key, seq, text, start_ms, end_ms; `order` and `width` as above.
     """
     t = tokens.withColumn("opens", F.startswith("text", F.lit(" ")).cast("long"))
-    t = with_order(t, "key", ["seq"], ROWS, total={"word_no": "opens"})
-    parts = F.array_sort(F.collect_list(F.struct("seq", "text", "start_ms", "end_ms")))
+    t = with_order(t, "key", [*order], width, total={"word_no": "opens"})
+    parts = F.array_sort(F.collect_list(F.struct(*order, "text", "start_ms", "end_ms")))
     g = t.groupBy("key", "word_no").agg(parts.alias("p"))
     first, last = F.element_at("p", 1), F.element_at("p", -1)
     text = utrim(F.array_join(F.transform("p", lambda x: x["text"]), ""))
-    return g.select("key", first["seq"].alias("seq"), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), text.alias("text"), F.startswith(first["text"], F.lit(" ")).alias("lead_space"))
+    return g.select("key", *(first[c].alias(c) for c in order), first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"), text.alias("text"), F.startswith(first["text"], F.lit(" ")).alias("lead_space"))
 
 
 def bucket_words(segments: DataFrame, words: DataFrame) -> DataFrame:

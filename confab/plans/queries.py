@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions import formats
@@ -98,35 +98,44 @@ def _worded(spark: SparkSession, folder: str) -> DataFrame:
     return s.select(F.col("call_id").alias("key"), "seq", "start", "end", "text", "words").dropDuplicates(["key", "seq"])
 
 
+#: Words are ordered by their segment and their place in it, however many it has.
+_ORDER = ("seq", "pos")
+
+
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    w = _worded(spark, folder).select("key", F.col("seq").alias("_s"), F.posexplode("words").alias("_k", "w"))
-    return w.select("key", (F.col("_s") * 1000 + F.col("_k")).alias("seq"), millis("w.start").alias("start_ms"), millis("w.end").alias("end_ms"), utrim("w.text").alias("text"), F.coalesce("w.lead_space", F.lit(True)).alias("lead_space"))
+    w = _worded(spark, folder).select("key", "seq", F.posexplode("words").alias("pos", "w"))
+    return w.select("key", "seq", F.col("pos").cast("long").alias("pos"), millis("w.start").alias("start_ms"), millis("w.end").alias("end_ms"), utrim("w.text").alias("text"), F.coalesce("w.lead_space", F.lit(True)).alias("lead_space"))
+
+
+def _token_no() -> Column:
+    """The number of a token (two a word), as the SQL has it; no order: it runs into the next segment's after 1000 words."""
+    return (F.col("seq") * 2000 + F.col("pos")).alias("seq")
 
 
 def spacing_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Words again from a stream of word and spacing tokens made of them."""
     w = _words(spark, folder)
-    word = w.select("key", (F.col("seq") * 2 + 1).alias("seq"), F.lit("word").alias("type"), "text", "start_ms", "end_ms")
-    space = w.select("key", (F.col("seq") * 2).alias("seq"), F.lit("spacing").alias("type"), F.when(F.col("lead_space"), " ").otherwise("").alias("text"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
-    return words.spaced_words(word.unionByName(space)).select("key", "seq", "text", "start_ms", "end_ms", "lead_space")
+    word = w.select("key", "seq", (F.col("pos") * 2 + 1).alias("pos"), F.lit("word").alias("type"), "text", "start_ms", "end_ms")
+    space = w.select("key", "seq", (F.col("pos") * 2).alias("pos"), F.lit("spacing").alias("type"), F.when(F.col("lead_space"), " ").otherwise("").alias("text"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"))
+    return words.spaced_words(word.unionByName(space), _ORDER, words.SEGMENTS).select("key", _token_no(), "text", "start_ms", "end_ms", "lead_space")
 
 
 def word_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    return words.coalesce_words(_words(spark, folder))
+    return words.coalesce_words(_words(spark, folder), order=_ORDER, width=words.SEGMENTS)
 
 
 def token_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words again from sub-word tokens of two characters and the rest."""
     w = _words(spark, folder).where(F.char_length("text") > 0)
-    head = w.select("key", (F.col("seq") * 2).alias("seq"), F.concat(F.lit(" "), F.substring("text", 1, 2)).alias("text"), "start_ms", "end_ms")
-    tail = w.where(F.char_length("text") > 2).select("key", (F.col("seq") * 2 + 1).alias("seq"), F.substr("text", F.lit(3)).alias("text"), "start_ms", "end_ms")
-    return words.token_words(head.unionByName(tail)).select("key", "seq", "text", "start_ms", "end_ms")
+    head = w.select("key", "seq", (F.col("pos") * 2).alias("pos"), F.concat(F.lit(" "), F.substring("text", 1, 2)).alias("text"), "start_ms", "end_ms")
+    tail = w.where(F.char_length("text") > 2).select("key", "seq", (F.col("pos") * 2 + 1).alias("pos"), F.substr("text", F.lit(3)).alias("text"), "start_ms", "end_ms")
+    return words.token_words(head.unionByName(tail), _ORDER, words.SEGMENTS).select("key", _token_no(), "text", "start_ms", "end_ms")
 
 
 def word_bucket(spark: SparkSession, folder: str) -> DataFrame:
     from confab.operators.ordered import with_order
 
-    numbered = with_order(_words(spark, folder).withColumn("one", F.lit(1).cast("long")), "key", ["seq"], words.ROWS, total={"n": "one"})
+    numbered = with_order(_words(spark, folder).withColumn("one", F.lit(1).cast("long")), "key", [*_ORDER], words.SEGMENTS, total={"n": "one"})
     own = words.bucket_words(_worded(spark, folder), numbered.withColumn("word_no", F.col("n") - 1))
     return own.select("key", "seq", F.array_join("words", " ").alias("words"))
 

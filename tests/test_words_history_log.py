@@ -30,6 +30,21 @@ def test_words_by_count(spark):
     assert {r.seq: r.words for r in words.bucket_words(s, w).collect()} == {0: ["ahoj"], 1: ["jak", "sa"], 3: ["mas"]}
 
 
+def test_segments_of_over_a_thousand_words(spark, tmp_path):
+    from confab.plans import queries
+
+    said = {0: [f"a{i}" for i in range(1203)], 1: ["b0", "b1", "b2"], 2: ["c0", "c1"]}
+    rows = [("k", n, 1000.0 * n, 1000.0 * n + 900, " ".join(ws), [(1000.0 * n + i / 2, 1000.0 * n + i / 2 + 0.4, w, True) for i, w in enumerate(ws)]) for n, ws in said.items()]
+    df = spark.createDataFrame(rows, f"call_id string, seq long, start double, end double, text string, words array<{words.WORD}>")
+    df.write.parquet(f"{tmp_path}/segments.parquet")
+    every = sorted(w for ws in said.values() for w in ws)
+    assert {r.seq: r.words for r in queries.word_bucket(spark, str(tmp_path)).collect()} == {n: " ".join(ws) for n, ws in said.items()}
+    assert [r.text for r in queries.word_coalesce(spark, str(tmp_path)).orderBy("segment_no").collect()] == [" ".join(said[n]) for n in said]
+    assert sorted(r.text for r in queries.token_words(spark, str(tmp_path)).collect()) == every
+    got = queries.spacing_tokens(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == every and all(r.lead_space for r in got)
+
+
 def test_retime():
     w = lambda t, s, e: {"start": s, "end": e, "text": t, "lead_space": True}
     got = words.retime([w("Um,", 0.0, 0.2), w("I", 0.3, 0.5), w("think", 0.6, 0.9), w("so.", 1.0, 1.2)], "I think so.")
