@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confab.llm import labels
+from confab.session import checkpointed
 
 
 @lru_cache(1 << 17)
@@ -36,9 +37,8 @@ def fold(word: str) -> str:
 
 #: Bits above which a term counts as a name word, and an ending as one of surnames.
 TERM_BITS, ENDING_BITS = 2.0, 6.0
-#: A name word needs this share of all anchors: no more than 1 / LEAST_SHARE
-#: terms can reach it, which bounds the word list that goes to the executors.
-LEAST_SHARE = 1e-5
+#: Up to so many name words go to the executors as one list; of more, each text gets those that it has.
+LIST_TERMS = 300_000
 KINDS = ("email", "phone", "idnum", "address", "name")
 
 _H = r"[^\S\r\n]"  # white space within a line
@@ -119,25 +119,20 @@ def disclosure(counts: DataFrame) -> DataFrame:
     counts = counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("times", "as_first", "as_last")), F.collect_list("spelling").alias("spellings"))
     total = counts.agg(F.sum(F.when(words, F.col("times"))).alias("all"), F.sum(F.when(words, F.col("as_first"))).alias("anchors"))
     c = counts.where("as_first + as_last > 0").join(F.broadcast(total))  # one row of totals
-    enough = F.col("anchors") * LEAST_SHARE
 
     def bits(n: str):
         return F.log2(F.col(n) / F.col("times") / (F.col("anchors") / F.col("all")))
 
-    given = (F.col("as_first") >= enough) & words & (F.col("as_first") * 3 >= F.col("as_last"))
-    surname = (F.col("as_last") >= enough) & (~words | (F.col("as_last") * 3 >= F.col("as_first")))
+    given = (F.col("as_first") > 0) & words & (F.col("as_first") * 3 >= F.col("as_last"))
+    surname = (F.col("as_last") > 0) & (~words | (F.col("as_last") * 3 >= F.col("as_first")))
     roles = F.array(*(F.when(which, F.struct(F.lit(role).alias("role"), bits(n).alias("bits"))) for which, role, n in ((given, "given", "as_first"), (surname, "surname", "as_last"))))
     out = c.select("term", "spellings", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("term", "r.role", "r.bits", "spellings")
     return out.where(F.col("bits") >= F.when(F.col("term").startswith("-"), ENDING_BITS).otherwise(TERM_BITS))
 
 
-def name_words(df: DataFrame, text: str = "text") -> dict[str, dict[str, list[str]]]:
-    """{'given', 'surname', 'ending'} to {term: spellings}: the name words of a corpus.
-
-    At most 3 / LEAST_SHARE terms, each with the few spellings that fold to it.
-    """
+def _by_role(rows: Iterable) -> dict[str, dict[str, list[str]]]:
     out: dict[str, dict[str, list[str]]] = {"given": {}, "surname": {}, "ending": {}}
-    for r in disclosure(term_counts(df, text)).collect():
+    for r in rows:
         if r["term"].startswith("-"):
             out["ending"][r["term"][1:]] = []
         else:
@@ -145,6 +140,40 @@ def name_words(df: DataFrame, text: str = "text") -> dict[str, dict[str, list[st
     return out
 
 
+def name_words(df: DataFrame, text: str = "text") -> dict[str, dict[str, list[str]]]:
+    """{'given', 'surname', 'ending'} to {term: spellings}: all name words of a corpus, each with the few spellings that fold to it."""
+    return _by_role(disclosure(term_counts(df, text)).collect())
+
+
+def _terms(text: str) -> set[str]:
+    """All that `Finder` may look up for a text: its folded words, without an s at the end too, and their endings."""
+    out: set[str] = set()
+    low = composed(text)[0].lower()
+    for w in set(_WORD.findall(low)) | set("".join(c if c.isalpha() else " " for c in low).split()):
+        for f in {fold(w), fold(w[:-1])} if w.endswith("s") else {fold(w)}:
+            out.add(f)
+            if len(f) > 5:
+                out.add("-" + f[-4:])
+    return out
+
+
+def _own_names(df: DataFrame, text: str, names: DataFrame) -> DataFrame:
+    """text_id (a digest) and ``names`` (of all name words those that the text has), for texts that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, terms = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = _terms(t)
+                ids += [i] * len(own)
+                terms += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.string())], ["text_id", "term"])
+
+    texts = df.select(F.sha2(F.col(text), 256).alias("text_id"), F.col(text)).where(F.col(text) != "")
+    terms = texts.mapInArrow(run, "text_id string, term string")
+    return terms.join(names, "term").groupBy("text_id").agg(F.collect_set(F.struct("term", "role", "spellings")).alias("names"))
+
+
 # ---- written forms ----
 
 
@@ -429,15 +458,25 @@ def find_personal(df: DataFrame, key: str = "doc_id", text: str = "text", names:
     null. Other columns are not read.
 
     Plan: one pass that counts terms (pre-aggregated, one shuffle of the vocabulary),
-    one map over the texts; the texts are never shuffled. The name words sent to the
-    executors are bounded by LEAST_SHARE.
+    one map over the texts, which are not shuffled. With more than LIST_TERMS name
+    words the list is joined to the words of the texts, and what each text has of it
+    to the text (which shuffles them); the rows are the same.
     """
-    names = names if names is not None else name_words(df, text)
+    rows = df.select(key, text)
+    if names is None:
+        every = checkpointed(disclosure(term_counts(df, text)).select("term", "role", "spellings"))
+        if every.count() > LIST_TERMS:
+            own = _own_names(df, text, every)
+            rows = df.select(key, text, F.sha2(F.col(text), 256).alias("text_id")).join(own, "text_id", "left").select(key, text, "names")
+        else:
+            names = _by_role(every.collect())  # LIST_TERMS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(names)
+        finder = None if names is None else Finder(names)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("found", pa.string())]))
         for b in batches:
+            if names is None:
+                finder = Finder(_by_role(n for own in b.column(2).to_pylist() for n in own or ()))
             clean, found = [], []
             for t in b.column(1).to_pylist():
                 spans, parts, at = finder.find(t), [], 0
@@ -448,4 +487,4 @@ def find_personal(df: DataFrame, key: str = "doc_id", text: str = "text", names:
                 found.append([{"kind": k, "found": t[a:z]} for a, z, k in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.string()), pa.array(found, kind)], [key, "clean", "found"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, clean string, found array<struct<kind:string,found:string>>")
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, clean string, found array<struct<kind:string,found:string>>")

@@ -195,3 +195,20 @@ def test_names_from_the_corpus(spark):
     assert got[3][1] == ["Jiří Novotný", "Petr Hruška", "Jiří Hruška", "Petr Hruška"]
     assert got[3][0].startswith("**[NAME]** [00:03]\nDobrý den, volal [NAME] a [NAME].") and "\nJiří to ví nejlépe. po obědě" in got[3][0]
     assert pii.find_personal(df.limit(0)).collect() == []
+
+
+def test_rare_names_of_a_large_corpus(spark):
+    """One anchor makes a name word, whatever the size of the corpus."""
+    counts = [("petr", "petr", 400_000, 300_000, 0), ("hruska", "hruška", 400_000, 0, 299_999), ("vzacny", "vzácný", 1, 0, 1), ("po", "po", 9_000_000, 0, 0)]
+    df = spark.createDataFrame(counts, "term string, spelling string, times long, as_first long, as_last long")
+    assert {(r.term, r.role) for r in pii.disclosure(df).collect()} == {("petr", "given"), ("hruska", "surname"), ("vzacny", "surname")}
+
+
+def test_a_long_list_of_names_is_joined(spark, monkeypatch):
+    rows = [(i, f"**Jiří Novotný{i % 7}x** [00:0{i % 10}]\n**Nora Weiß** [00:01]\nvolal Petr Hruška, NORA WEISS's stůl a Jiří Hruška²; Novotný, J.\n**Petr Hruška** [00:30]\nPetr Bezruška i Jiří Malecek." + " po obědě nikdo nenašel starou mapu" * 9) for i in range(20)]
+    rows += [(90, None), (91, ""), (92, "nikdo"), (None, rows[3][1]), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(pii.find_personal(df).collect(), key=str)
+    monkeypatch.setattr(pii, "LIST_TERMS", 0)
+    got = sorted(pii.find_personal(df).collect(), key=str)
+    assert got == want and sum(len(r.found) for r in got if r.found) > 60
