@@ -3,11 +3,11 @@
 Latent semantic retrieval over passages of `width` words:
 
 1. documents become rows of ids of the items' words; what can hold no passage of
-   known words is dropped, the rest is written once;
+   known words is dropped after steps 2 and 3, the rest is written once;
 2. document frequencies of the words over all passages of the corpus;
 3. a randomised decomposition of the TF-IDF matrix of all passages: each partition
    adds up A'A times a random matrix, whose sum gives the leading right singular
-   vectors (a single pass, by the Nystroem form of the sketch);
+   vectors (in the same single pass, by the Nystroem form of the sketch);
 4. every word gets a latent vector in whole numbers; a passage's vector is the sum of
    its words' vectors, so two passages of the same words have exactly the same one,
    and cosine 1. Candidates are the passages of items whose cosine reaches a
@@ -130,69 +130,74 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
 
 
-def _tiles(column: pa.Array, width: int) -> np.ndarray:
-    """The corpus' passages for the statistics: side by side, of known words."""
-    flat, offsets = _lists(column)
-    out = []
-    for a, z in zip(offsets[:-1], offsets[1:]):
-        ids = flat[a:z]
-        cuts = np.concatenate([[-1], np.flatnonzero(ids < 0), [len(ids)]])
-        for i, j in zip(cuts[:-1] + 1, cuts[1:]):
-            if n := (j - i) // width:
-                out.append(ids[i : i + n * width].reshape(n, width))
-    return np.concatenate(out) if out else np.empty((0, width), np.int32)
-
-
-def _idf(rows: DataFrame, size: int, width: int) -> np.ndarray:
-    """Inverse document frequency of each word over all passages of the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(size, np.int64), 0
-        for b in batches:
-            t = np.sort(_tiles(b.column(1), width), axis=1)
-            n += len(t)
-            first = np.ones(t.shape, bool)
-            first[:, 1:] = t[:, 1:] != t[:, :-1]
-            df += np.bincount(t[first], minlength=size)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["word", "df"])
-
-    counts = rows.mapInArrow(run, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()  # the items' vocabulary at most
-    df = np.zeros(size)
-    n = next((r["df"] for r in counts if r["word"] < 0), 0)
-    for r in counts:
-        if r["word"] >= 0:
-            df[r["word"]] = r["df"]
-    return np.log((1 + n) / (1 + df)) + 1
-
-
-def _latent(rows: DataFrame, idf: np.ndarray, width: int, rank: int, seed: int) -> np.ndarray:
-    """A whole-number latent vector for each word."""
-    size, wide = len(idf), min(rank + 8, len(idf))
-    omega = np.random.default_rng(seed).standard_normal((size, wide))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = (idf[:, None] * omega).astype(np.float32)
-        total = np.zeros((size, wide))
-        for b in batches:
-            t = _tiles(b.column(1), width)
-            for i in range(0, len(t), 10_000):
-                part = t[i : i + 10_000]
-                sketch = weighted[part[:, 0]].copy()
-                for j in range(1, width):
-                    sketch += weighted[part[:, j]]
-                order = np.argsort(part, axis=None, kind="stable")
-                flat = part.ravel()[order]
-                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                total[flat[first]] += np.add.reduceat(sketch[order // width], first, axis=0)
-        total *= idf[:, None]
-        at = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["word", "y"])
+class Statistics:
+    """Document frequencies of the items' words, and T'T times a random matrix, over passages side by side.
+
+    T counts the items' words in the passages of whole texts (other words are in the
+    passages, but no columns; a text's last passage may be shorter).
+    """
+
+    def __init__(self, size: int, width: int, wide: int, seed: int):
+        self.size, self.width, self.passages, self.held, self.many = size, width, 0, [], 0
+        self.omega = np.append(_omega(size, wide, seed), np.zeros((1, wide), np.float32), axis=0)
+        self.df, self.y = np.zeros(size + 1, np.int64), np.zeros((size + 1, wide))
+
+    def add(self, ids: np.ndarray) -> None:
+        if not len(ids):
+            return
+        self.passages += -(-len(ids) // self.width)
+        for i in range(0, len(ids), 10_000 * self.width):
+            part = ids[i : i + 10_000 * self.width]
+            self.held += [part, np.full(-len(part) % self.width, -1, np.int32)]
+            self.many += len(part)
+            if self.many >= 10_000 * self.width:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        flat = np.concatenate(self.held)
+        flat[flat < 0] = self.size
+        part = flat.reshape(-1, self.width)
+        sketch = self.omega[part[:, 0]].copy()
+        for j in range(1, self.width):
+            sketch += self.omega[part[:, j]]
+        order = np.argsort(flat, kind="stable")
+        order = order[: np.count_nonzero(flat < self.size)]
+        flat, passage = flat[order], order // self.width
+        if len(flat):
+            other = flat[1:] != flat[:-1]
+            first = np.flatnonzero(np.concatenate([[True], other]))
+            self.df += np.bincount(flat[np.concatenate([[True], other | (passage[1:] != passage[:-1])])], minlength=self.size + 1)
+            self.y[flat[first]] += np.add.reduceat(sketch[passage], first, axis=0)
+        self.held, self.many = [], 0
+
+
+def _omega(size: int, wide: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
 
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+
+
+def _summed(rows: DataFrame, size: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequency of each word over all passages of the corpus, and T'T times the random matrix."""
     sums = F.array(*(F.sum(F.col("y")[c]) for c in range(wide))).alias("y")
-    y = np.zeros((size, wide))
-    for r in rows.mapInArrow(run, "word int, y array<double>").groupBy("word").agg(sums).collect():  # the items' vocabulary at most
-        y[r["word"]] = r["y"]
+    df, y, n = np.zeros(size), np.zeros((size, wide)), 0
+    for r in rows.groupBy("word").agg(F.sum("df").alias("df"), sums).collect():  # the items' vocabulary at most
+        if r["word"] < 0:
+            n = r["df"]
+        else:
+            df[r["word"]], y[r["word"]] = r["df"], r["y"]
+    return np.log((1 + n) / (1 + df)) + 1, y
+
+
+def _latent(y: np.ndarray, idf: np.ndarray, rank: int, seed: int) -> np.ndarray:
+    """A whole-number latent vector for each word."""
+    # A = T D with the weights D: D (T'T Omega) is A'A times the random matrix D^-1 Omega, so one pass does for both
+    omega = _omega(*y.shape, seed) / idf[:, None]
+    y = idf[:, None] * y
     # A'A ~ Y (Omega'Y)^-1 Y': its leading eigenvectors are the right singular vectors
     shift = np.finfo(float).eps * np.linalg.norm(y) + 1e-9
     y = y + shift * omega
@@ -411,24 +416,37 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
         if not len(own.passages):
             continue
 
-        def ids(batches: Iterator[pa.RecordBatch], vocabulary=own.vocabulary) -> Iterator[pa.RecordBatch]:
-            number = Ids(vocabulary)
+        wide = min(rank + 8, len(own.vocabulary))
+
+        def ids(batches: Iterator[pa.RecordBatch], vocabulary=own.vocabulary, wide=wide) -> Iterator[pa.RecordBatch]:
+            number, seen = Ids(vocabulary), Statistics(len(vocabulary), width, wide, seed)
+            names, key = ["doc_id", "ids", "word", "df", "y"], pa.null()
             for b in batches:
                 rows, lists, ends = [], [], [0]
                 for i, t in enumerate(b.column(1).to_pylist()):
-                    x = _known_stretches(number.of(t), width, skip_unknown) if t else ()
+                    x = number.of(t) if t else ()
+                    seen.add(x)
+                    x = _known_stretches(x, width, skip_unknown) if t else ()
                     if len(x):
                         rows.append(i)
                         lists.append(x)
                         ends.append(ends[-1] + len(x))
                 flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))], ["doc_id", "ids"])
+                key = b.column(0).type
+                none = (pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))), *none], names)
+            seen.flush()
+            if seen.passages:
+                at = np.flatnonzero(seen.df)
+                counts = pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen.df[at], seen.passages)), pa.array([*seen.y[at].tolist(), None], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at) + 1, key), pa.nulls(len(at) + 1, pa.list_(pa.int32())), *counts], names)
 
         place = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4()}"
-        documents.select("doc_id", "text").mapInArrow(ids, f"doc_id {kind}, ids array<int>").write.parquet(place)
-        rows = spark.read.parquet(place)
-        idf = _idf(rows, len(own.vocabulary), width)
-        latent = _latent(rows, idf, width, rank, seed)
+        documents.select("doc_id", "text").mapInArrow(ids, f"doc_id {kind}, ids array<int>, word int, df long, y array<double>").write.parquet(place)
+        written = spark.read.parquet(place)
+        rows = written.where("ids is not null").select("doc_id", "ids")
+        idf, y = _summed(written.where("word is not null").select("word", "df", "y"), len(own.vocabulary), wide)
+        latent = _latent(y, idf, rank, seed)
 
         def match(batches: Iterator[pa.RecordBatch], own=own, latent=latent) -> Iterator[pa.RecordBatch]:
             need = int(np.ceil(share * width - 1e-9))

@@ -125,6 +125,18 @@ def _longest(a, b):
     return row[-1]
 
 
+def test_frequencies_of_the_whole_corpus(spark, monkeypatch):
+    """A word that is frequent outside of stretches of item words is not rare."""
+    import numpy as np
+
+    seen, latent = [], leaks._latent
+    monkeypatch.setattr(leaks, "_latent", lambda rows, idf, *more: seen.append(idf) or latent(rows, idf, *more))
+    docs = [(i, " ".join(["ano", "jine"] * 9)) for i in range(50)] + [(99, "a b c d e f g h i j k l ano")]  # 18 words: a passage of 12 and one of 6
+    got = leaks.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, "a b c d e f g h i j k l ano")], "item_id long, ref_text string"))
+    assert [(r.doc_id, r.passages) for r in got.collect()] == [(99, 2)]
+    assert np.allclose(seen[0], [np.log(103 / 2) + 1] * 12 + [np.log(103 / 102) + 1])
+
+
 def test_near_leaks_in_parts(monkeypatch):
     import numpy as np
 
