@@ -253,7 +253,8 @@ class Search:
             p, o = place[i : i + 20_000], other[i : i + 20_000]
             v = self.latent[ids[starts[p][:, None] + np.arange(width)]].sum(axis=1).astype(float)
             cosine = np.einsum("ij,ij->i", v, self.unit[o]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
-            near = cosine >= self.least
+            # equal words count whatever is left of their vectors by rounding
+            near = (cosine >= self.least) | (ids[starts[p][:, None] + np.arange(width)] == self.items.passages[o]).all(axis=1)
             keep_place.append(p[near]), keep_other.append(o[near])
         return starts[np.concatenate(keep_place or [hit])], np.concatenate(keep_other or [hit])
 

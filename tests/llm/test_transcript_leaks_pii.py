@@ -137,6 +137,14 @@ def test_frequencies_of_the_whole_corpus(spark, monkeypatch):
     assert np.allclose(seen[0], [np.log(103 / 2) + 1] * 12 + [np.log(103 / 102) + 1])
 
 
+def test_equal_passages_without_vectors():
+    import numpy as np
+
+    own = leaks.Items([(0, " ".join("abcdefghijkl"))], 12)
+    at, other = leaks.Search(own, np.zeros((12, 4), np.int64), 4, 1 - 1e-9).candidates(np.append(own.passages[0], np.int32(-1)))
+    assert at.tolist() == [0] and other.tolist() == [0]
+
+
 def test_near_leaks_in_parts(monkeypatch):
     import numpy as np
 
