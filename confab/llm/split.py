@@ -58,28 +58,31 @@ def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tupl
 
     Minimises the sum of the cuts' penalties and of the pieces' squared shortfalls
     from an even share, over all cuts whose pieces, each with `overlap` characters
-    of the piece before, stay within `limit`. Boundaries coarser than the unit that
-    fits stay allowed; finer ones come in only where the overlap leaves a unit too
-    little room, and hard cuts only if even words don't fit.
+    of the piece before, stay within `limit`; a single unit may take the overlap's
+    room. Boundaries coarser than the unit that fits stay allowed; finer ones come in
+    only within what exceeds `limit`, and hard cuts only if even words do.
     """
     n, unit = len(text), coarsest(text, limit)
     if n <= limit:
         return [], unit
-    room = limit - overlap  # of a piece without its overlap
+    room = limit - overlap  # of a piece without its full overlap
     pos, kind = boundaries(text)
-    for finest in range(unit, 4):
-        if finest < 3:
-            at, cost = pos[kind <= finest], np.array(PENALTY)[kind[kind <= finest]]
-            gaps = np.diff(np.concatenate([[0], at, [n]]))
-            if gaps[0] > limit or (gaps[1:] > room).any():
+    cuts_at = dict(zip(pos[kind <= unit].tolist(), kind[kind <= unit].tolist()))
+    for finest in range(unit, 4):  # finer boundaries only within units over the limit
+        bounds = [0, *sorted(cuts_at), n]
+        for a, z in zip(bounds[:-1], bounds[1:]):
+            if z - a <= limit:
                 continue
-        else:  # any position; those on a grid and at boundaries are enough to stay within the limit
-            grid = np.setdiff1d(np.arange(room // 2, n, room // 2), pos)
-            at = np.concatenate([pos, grid])
-            cost = np.concatenate([np.array(PENALTY)[kind], np.full(len(grid), PENALTY[3])])
-            by = np.argsort(at, kind="stable")
-            at, cost = at[by], cost[by]
-        break
+            end = a + len(text[a:z].rstrip())
+            if a < end < z and end - a <= limit and z - end <= limit:  # only the white space after it is too much
+                cuts_at[end] = min(finest, 2)
+            elif finest < 3:
+                inner = (pos > a) & (pos < z) & (kind == finest + 1)
+                cuts_at |= dict(zip(pos[inner].tolist(), kind[inner].tolist()))
+            else:  # any position; those on a grid are enough to stay within the limit
+                cuts_at |= dict.fromkeys(range(a + room // 2, z, room // 2), 3)
+    at = np.array(sorted(cuts_at), np.int64)
+    cost = np.array(PENALTY)[[cuts_at[i] for i in at.tolist()]]
     ends = np.concatenate([[0], at, [n]])
     cost = np.concatenate([[0.0], cost, [0.0]])
     even = n / -(-(n - overlap) // room)
@@ -90,6 +93,7 @@ def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tupl
         i = np.searchsorted(ends, ends[j] - room)
         if ends[j] <= limit:
             i = 0
+        i = min(i, j - 1)  # a unit that leaves too little room for the overlap stands alone
         size = ends[j] - ends[i:j]
         total = best[i:j] + (1 - size / even) ** 2 * 2
         k = int(np.argmin(total))

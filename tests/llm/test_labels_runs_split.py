@@ -70,3 +70,19 @@ def test_split_table(spark):
     assert {(r.call_id, r.block_no, r.cut, r.n_pieces) for r in got} == {("c", 1, "word", 2), (None, 4, "none", 2)}
     with pytest.raises(ValueError):
         split.split_texts(df, ["call_id"], overlap=900)
+
+
+def test_units_without_room_for_the_overlap():
+    from confab.llm import split
+
+    for size in (1481, 1550, 1599, 1600):
+        word = "x" * size
+        text = "ano ne " * 100 + word + " " + "tak jo " * 300
+        cuts, unit = split.cut_positions(text)
+        assert unit == 2 and not any(700 < c < 700 + size for c in cuts)
+        parts, _ = split.pieces(text)
+        assert all(z - a <= 1600 for a, z, _ in parts) and "".join(text[a + o : z] for a, z, o in parts) == text
+        line = ("slovo " * 300)[: size - 1] + "x"
+        text = "a\n" * 50 + line + "\n" + "b\n" * 900
+        cuts, unit = split.cut_positions(text)
+        assert unit == 0 and not any(100 < c < 100 + size for c in cuts)
