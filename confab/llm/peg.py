@@ -17,12 +17,21 @@ Node = tuple[str, int, int, list]
 #: A parser takes (text, position, nodes to add to) and returns the position after, or -1.
 Parser = Callable[[str, int, list], int]
 
+DEPTH = 30
 _TOKEN = re.compile(r"\s*(?:/((?:\\.|[^/\\])+)/|'((?:\\.|[^'\\])*)'|(\w+)|(<-|[()!?*+/]))")
 
 
 class Grammar:
-    def __init__(self, rules: str, flags: int = re.IGNORECASE):
-        self.flags, self.rules = flags, {}
+    """`brackets`: rules that hold themselves, by their two signs ('()').
+
+    Where such a rule has failed it is not tried again, and it is not tried at signs without a partner or more
+    than DEPTH deep, so that unclosed brackets cost linear and not exponential time.
+    """
+
+    def __init__(self, rules: str, flags: int = re.IGNORECASE, brackets: dict[str, str] | None = None):
+        self.flags, self.rules, self.brackets, self.failed = flags, {}, brackets or {}, set()
+        self.once = set(self.brackets.values())
+        self.signs = re.compile("[" + re.escape("".join(self.brackets)) + "]")
         for line in re.split(r"\n(?=\s*\w+\s*<-)", rules.strip()):
             name, _, body = line.strip().partition("<-")
             # a slash between blanks is a choice, any other opens a regex
@@ -117,7 +126,7 @@ class Grammar:
             self.at += 1
             return inner
         if kind == "name":
-            return lambda t, i, out: self.rules[v](t, i, out)
+            return self._rule(v)
         match = re.compile(v if kind == "regex" else re.escape(v), self.flags).match
 
         def parse(t: str, i: int, out: list) -> int:
@@ -126,6 +135,26 @@ class Grammar:
 
         return parse
 
+    def _rule(self, name: str) -> Parser:
+        if name in self.once:
+
+            def parse(t: str, i: int, out: list) -> int:
+                if (name, i) in self.failed:
+                    return -1
+                if (j := self.rules[name](t, i, out)) < 0:
+                    self.failed.add((name, i))
+                return j
+
+            return parse
+        rule: Parser | None = None
+
+        def parse_first(t: str, i: int, out: list) -> int:  # the rule may be defined further down
+            nonlocal rule
+            rule = rule or self.rules[name]
+            return rule(t, i, out)
+
+        return parse_first
+
     def _node(self, name: str, body: Parser) -> Parser:
         if name[0] == "_":
             return body
@@ -139,7 +168,29 @@ class Grammar:
 
         return parse
 
+    def _unpaired(self, text: str) -> None:
+        open_: dict[str, list[int]] = {b[1]: [] for b in self.brackets}
+        rule = {b[0]: (b[1], name) for b, name in self.brackets.items()}
+        depth = 0
+        for m in self.signs.finditer(text):
+            sign = m.group()
+            if sign in open_:
+                if open_[sign]:
+                    open_[sign].pop()
+                    depth -= 1
+                continue
+            closer, name = rule[sign]
+            open_[closer].append(m.start())
+            depth += 1
+            if depth > DEPTH:
+                self.failed.add((name, m.start()))
+        for b, name in self.brackets.items():
+            self.failed.update((name, i) for i in open_[b[1]])
+
     def parse(self, rule: str, text: str) -> Node | None:
         """The tree of the longest start of the text that the rule matches."""
         out: list = []
+        self.failed.clear()
+        if self.brackets:
+            self._unpaired(text)
         return out[0] if self.rules[rule](text, 0, out) >= 0 and out else None

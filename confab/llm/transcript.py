@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from confab.llm.peg import Grammar, Node
 from confab.operators import rangescan
 from confab.session import checkpointed, spread
 
+#: A stretch that can hold nothing but speech: signs that open nothing, and words that are no hesitation.
+_PLAIN = r"(?:[^\w\[<(){*♪♫♬♩]++|(?<![\w'’])(?!e+h|[eé]{2}|é|e?h+m|m{2}|e+m|u+[hm]|e+r+m*\b|[äö]+h?m)[^\W\d_]++(?!\w)|(?<=['’])[^\W\d_]++(?!\w))++"
 GRAMMAR = Grammar(
     r"""
     Block     <- _Lead* Tag? _Item*
@@ -38,22 +42,25 @@ GRAMMAR = Grammar(
     _Long     <- /\d{1,4}:\d\d:\d\d(?:[.,]\d{1,3})?/ !/[\d:]/
     _After    <- /[^\S\r\n]+[-–](?=\s|$)/
     Tag       <- /[-–•][^\S\r\n]+/? (/\*\*/ Name /:?\*\*:?/ / Name /:(?=\s|$)|[^\S\r\n]*>>+/)
-    Name      <- /[^\W_][^\r\n:*<>\[\]{}|♪.!?]{0,60}?(?=:?\*\*|:(?:\s|$)|[^\S\r\n]*>>)/
+    Name      <- /[^\W_][^\r\n:*<>\[\]{}|♪.!?]*?(?=:?\*\*|:(?:\s|$)|(?<![^\S\r\n])[^\S\r\n]*+>>)/
     Sound     <- _Double / _Square / _Angle / _Curly / _Starred / _Heard / /[♪♫♬♩]+/
-    _Double   <- '((' (!'))' /(?s:.)/)* '))'
+    _Double   <- /\(\((?s:.)*?\)\)/
     _Square   <- '[' !/\s*(?:speaker|track)\s*\d/ (_Square / /[^\[\]\r\n]/)+ ']'
     _Angle    <- '<' !/\s*\// (_Angle / /[^<>\r\n]/)+ '>'
     _Curly    <- '{' (_Curly / /[^{}\r\n]/)+ '}'
-    _Starred  <- /\*(?![*\s])[^*\r\n]{1,40}\*(?!\*)/
+    _Starred  <- /\*(?![*\s])[^*\r\n]+\*(?!\*)/
     _Heard    <- '(' Heard ')'
-    Heard     <- /[^()\[\]<>{}\r\n]{1,60}(?=\))/
+    Heard     <- /[^()\[\]<>{}\r\n]+(?=\))/
     Aside     <- '(' (!')' _Item)* ')'
     Hesitation <- /(?<![\w'’])(?:e+h*m+|[eé]{2,}h*m*|é+h*m*|e+h+|h+m+|m{2,}|u+h+m*|u+m+|e+r+m*|[äö]+h+m*|[äö]+m+)(?![\w'’])/
     _Word     <- /\w+/
     _Space    <- /\s+/
-    _Plain    <- /(?:[ ,]|(?<!\w)(?!e+h|[eé]{2}|é|h+m|m{2}|u+[hm]|e+[rm]|[äö]+[hm])[^\W\d_]+(?=[ ,]))+/
+    _Plain    <- /"""
+    + _PLAIN
+    + r"""/
     _Any      <- /(?s:.)/
-    """
+    """,
+    brackets={"()": "Aside", "[]": "_Square", "<>": "_Angle", "{}": "_Curly"},
 )
 
 #: Stems (without accents) of what is heard but not said, in four languages.
@@ -71,16 +78,25 @@ _FREQUENT = {
     "cs": "jsme jsem se na v ve po při za pod s do kvůli ale protože takže aby jenže ačkoli nikdo někdo před během mezi ke bez ze u pro sme som pri kvôli lebo nikto niekto pred medzi ku cez o počas vlani včera tedy prostě vlastně zase potom asi to je ano jo projekt tým zákazník".split(),
 }
 _LANGUAGE = {w: lang for lang, words in _FREQUENT.items() for w in words}
+_FOLDED = {fold(w) for w in _LANGUAGE}
 
 TIME, FILLER, SOUND, LABEL = 1, 2, 4, 8
 
 
+_NEAR = re.compile(r"[^\W\d_]+")
+
+
 def _language_near(text: str, start: int, end: int, sound: str) -> str:
-    """Language of the words around a place, the nearer ones first; '' if they don't tell."""
-    left = re.findall(r"[^\W\d_]+", text[max(0, start - 90) : start].lower())[-8:]
-    right = re.findall(r"[^\W\d_]+", text[end : end + 90].lower())[:8]
+    """Language of the eight words on either side of a place, the nearer ones first; '' if they don't tell."""
+    size, left = 128, []
+    while True:  # as many characters as hold eight words and a begun one
+        left = _NEAR.findall(text[max(0, start - size) : start].lower())
+        if len(left) > 8 or size >= start:
+            break
+        size *= 4
+    right = [m.group().lower() for m in islice(_NEAR.finditer(text, end), 8)]
     score: dict[str, float] = {}
-    for words in (left[::-1], right):
+    for words in (left[:-9:-1], right):
         for i, w in enumerate(words):
             if w != sound and (lang := _LANGUAGE.get(w)):
                 score[lang] = score.get(lang, 0) + 1 / (2 + i)
@@ -88,9 +104,23 @@ def _language_near(text: str, start: int, end: int, sound: str) -> str:
     return next((k for k, v in score.items() if v == best), "")
 
 
+_SOUND_WORD = re.compile("(?:" + "|".join(SOUNDS) + ")")
+_ONLY_HESITATION = re.compile(r"(?:e+h*m+|e+h*|h+m+|m{2,}|u+h*m*|e+r+m*|[ao]+h*m+)\Z")
+#: Words that point at something said before, besides those of _LANGUAGE.
+_POINTING = set("ten ta to ti ty tento tato toto tyto ktery ktera ktere ktory ktora ktore this that these those which my your his her their he she they dieser diese dieses jener mein dein sein ihr welche ok".split())
+
+
 def _is_sound(text: str) -> bool:
-    words = [w for w in re.findall(r"[^\W\d_]+", fold(text))]
-    return any(w.startswith(s) for w in words for s in SOUNDS) and len(words) <= 5
+    """Whether a remark in round brackets or stars tells what was heard.
+
+    Told by form: a remark names a sound at its beginning, or is a bare phrase without
+    any article, pronoun, preposition or conjunction ("dog barking"); what points back
+    at something or joins phrases was said. Hesitations alone are said, too.
+    """
+    words = [w for w in _NEAR.findall(fold(text)) if not _ONLY_HESITATION.match(w)]
+    if any(_SOUND_WORD.match(w) for w in words[:3]):
+        return True
+    return bool(words) and not any(w in _POINTING or w in _FOLDED for w in words)
 
 
 class Utterance:
@@ -137,16 +167,30 @@ class Utterance:
             for c in children:
                 self._node(c)
 
-    def clean(self, without_tag: bool) -> str:
-        """The text without what was found; white space collapsed."""
-        out, at = [], 0
-        for a, z in sorted([*self.cut, *([self.tag_span] if without_tag else [])]):
+    def _left(self, without_tag: bool) -> Iterator[str]:
+        """The stretches of the text that stay."""
+        at = 0
+        for a, z in sorted([*self.cut, self.tag_span] if without_tag and self.tag else self.cut):
             if a >= at:
-                out += [self.text[at:a], " "]
+                yield self.text[at:a]
             at = max(at, z)
-        out.append(self.text[at:])
-        text = re.sub(r"\s+", " ", "".join(out)).strip()
-        return re.sub(r" (?=[,.;!?…])|^[-–,;\s]+(?=\w)|\(\s*\)", "", text).strip()
+        yield self.text[at:]
+
+    def clean(self, without_tag: bool) -> str:
+        """The text without what was found; white space collapsed."""
+        return _tidy(" ".join(self._left(without_tag)))
+
+    def said(self, without_tag: bool) -> bool:
+        """Whether a letter or digit is left."""
+        return any(map(_ALNUM.search, self._left(without_tag)))
+
+
+_ALNUM, _SPACES, _LOOSE = re.compile(r"[^\W_]"), re.compile(r"\s+"), re.compile(r" (?=[,.;!?…])|^[-–,;\s]+(?=\w)|\(\s*\)")
+_NOTHING = re.compile(f"{_PLAIN}\\Z", re.IGNORECASE)
+
+
+def _tidy(text: str) -> str:
+    return _LOOSE.sub("", _SPACES.sub(" ", text).strip()).strip()
 
 
 def _moved(node: Node, by: int) -> Node:
@@ -181,16 +225,16 @@ def clean_blocks(blocks: DataFrame, tracks: DataFrame, with_text: bool = True) -
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = {"flags": [], "tag": [], "text": [], "untagged": [], "said": []}
+            flags, tags, tagged, untagged, said = (c.append for c in cols.values())
             for t in b.column(5).to_pylist():
-                u = Utterance(t or "")
-                plain = u.clean(False) if u.tag or with_text else None
-                bare = u.clean(True)
-                cols["flags"].append(u.flags)
-                cols["tag"].append(u.tag)
-                cols["untagged"].append(bare if with_text else None)
-                cols["text"].append(plain if with_text and u.tag else None)
+                if not t or (":" not in t and ">>" not in t and _NOTHING.match(t)):  # speech only, without a tag
+                    flags(0), tags(None), tagged(None), untagged(_tidy(t or "") if with_text else None), said(3 if t and _ALNUM.search(t) else 0)
+                    continue
+                u = Utterance(t)
+                flags(u.flags), tags(u.tag), untagged(u.clean(True) if with_text else None), tagged(u.clean(False) if with_text and u.tag else None)
                 # said with the tag taken off, said with it left
-                cols["said"].append(any(c.isalnum() for c in bare) + 2 * any(c.isalnum() for c in (plain or bare)))
+                bare = u.said(True)
+                said(bare + 2 * (bare or bool(u.tag and u.said(False))))
             types = {"flags": pa.int32(), "said": pa.int32()}
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), *(pa.array(v, types.get(k, pa.string())) for k, v in cols.items())], ["call_id", "start", "row", "label", "end", *cols])
 
@@ -202,50 +246,48 @@ def clean_blocks(blocks: DataFrame, tracks: DataFrame, with_text: bool = True) -
     ordered = ordered_with_tracks(parsed, tracks)
     begin = heads(ordered, tracks)
 
-    def each(batches: Iterator[pa.RecordBatch], state: tuple | None) -> Iterator[tuple[list[dict], tuple | None]]:
-        """Rows of each batch and the state after: (call, track key, opening block) of the last block that counts."""
+    def each(batches: Iterator[pa.RecordBatch], state: tuple | None) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """Of each batch its blocks' rows: (place in it, call, idx, name, whether bare, label clean, opening block, track key).
+
+        The state is (call, track key, opening block) of the last block that counts.
+        """
         rosters, last = Rosters(begin.get(TaskContext.get().partitionId(), {})), None
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                call = r["call_id"]
-                if r["kind"] == 0:
-                    rosters.add(call, r["row"], r["label"])
+            cols = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("call_id", "kind", "row", "label", "tag", "said"))
+            for i, (call, kind, row, label, tag, said) in enumerate(zip(*cols)):
+                if kind == 0:
+                    rosters.add(call, row, label)
                     continue
-                if (call, r["row"]) == last:
+                if (call, row) == last:
                     continue
-                last = (call, r["row"])
+                last = (call, row)
                 roster = rosters.at(call)
-                by_tag = roster.find(r["tag"]) if r["tag"] else None
-                idx = roster.find(r["label"])
+                by_tag = roster.find(tag) if tag else None
+                idx = roster.find(label)
                 idx = by_tag if idx is None else idx
                 name = roster.names[idx] if idx is not None else None
-                key = idx if idx is not None else roster.key(r["label"])
+                key = idx if idx is not None else roster.key(label)
                 bare = by_tag is not None
-                said = r["said"] & (1 if bare else 2)
                 opens = None
-                if said:
-                    opens = state[2] if state and state[0] == call and state[1] == key else r["row"]
+                if said & (1 if bare else 2):
+                    opens = state[2] if state and state[0] == call and state[1] == key else row
                     state = (call, key, opens)
-                f = r["flags"]
-                out.append(
-                    {"call_id": call, "block_no": r["row"], "idx": idx, "name": name, "start_ms": r["start"], "end_ms": r["end"], "text": r["untagged"] if bare or r["text"] is None else r["text"]}
-                    | {"time": bool(f & TIME), "filler": bool(f & FILLER), "sound": bool(f & SOUND), "label": bare or r["label"] != name, "turn_block": opens, "key": key}
-                )
-            yield out, state
+                out.append((i, call, idx, name, bare, bare or label != name, opens, key))
+            yield b, out
 
     def summary(batches: Iterator[pa.RecordBatch]):
         """First call; last call and, of its blocks that count, whether they have one track, and the last state."""
         first = call = state = None
         keys: set[int] = set()
-        for out, _ in each(batches, None):
-            for r in out:
-                first = first or r["call_id"]
-                if r["call_id"] != call:
-                    call, keys, state = r["call_id"], set(), None
-                if r["turn_block"] is not None:
-                    keys.add(r["key"])
-                    state = (call, r["key"], r["turn_block"])
+        for _, out in each(batches, None):
+            for _, of, _, _, _, _, opens, key in out:
+                first = first or of
+                if of != call:
+                    call, keys, state = of, set(), None
+                if opens is not None:
+                    keys.add(key)
+                    state = (call, key, opens)
         return first and (first, call, len(keys) == 1, state)
 
     around, state = {}, None
@@ -258,8 +300,14 @@ def clean_blocks(blocks: DataFrame, tracks: DataFrame, with_text: bool = True) -
     schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _SCHEMA.split(", "))])
 
     def scan(batches: Iterator[pa.RecordBatch], before: tuple | None, _: object) -> Iterator[pa.RecordBatch]:
-        for out, _ in each(batches, before):
-            yield pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "key"} for r in out], schema=schema)
+        for b, out in each(batches, before):
+            at, _, idx, name, bare, label, opens, _ = zip(*out) if out else [()] * 8
+            b = b.take(pa.array(at, pa.int64()))
+            col = lambda c: b.column(b.schema.get_field_index(c))
+            text, flags = pc.coalesce(pc.if_else(pa.array(bare, pa.bool_()), None, col("text")), col("untagged")), col("flags")
+            on = [pc.greater(pc.bit_wise_and(flags, f), 0) for f in (TIME, FILLER, SOUND)]
+            cols = [col("call_id"), col("row"), pa.array(idx, pa.int32()), pa.array(name, pa.string()), col("start"), col("end"), text, *on, pa.array(label, pa.bool_()), pa.array(opens, pa.int32())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return rangescan.rescan(ordered, scan, around, _SCHEMA)
 

@@ -24,6 +24,11 @@ TR = "call_id string, idx int, title string"
         ("*kašel* přesně tak: ano <noise> {typing}", SOUND, None, "přesně tak: ano"),
         ("", 0, None, ""),
         ("((", 0, None, "(("),
+        ("We saw (dog barking) nothing (rain) (sirens outside) here (wind howling)", SOUND, None, "We saw nothing here"),
+        ("So (audience laughs and claps for a while, then it goes on and on until nobody can hear what is said) yes", SOUND, None, "So yes"),
+        ("yes *" + "loud music " * 9 + "* no [" + "static " * 40 + "] on", SOUND, None, "yes no on"),
+        ("(a street that nobody of us had ever seen before, as we said) yes (hm)", FILLER, None, "(a street that nobody of us had ever seen before, as we said) yes"),
+        ("Very" + " Long" * 30 + ": hello", 0, "Very" + " Long" * 30, "hello"),
     ],
 )
 def test_grammar(text, flags, tag, clean):
@@ -31,6 +36,15 @@ def test_grammar(text, flags, tag, clean):
     assert (u.flags, u.tag, u.clean(True)) == (flags, tag, clean)
 
 
+def test_plain_and_hostile_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for t in ("a, " * 50_000, "a" * 100_000, " " * 100_000, "(" * 2_000, "[a" * 500, "e" * 100_000 + "m", "- " * 50_000, "*" * 50_000):
+        Utterance(t).clean(True)
+    assert time.time() - began < 20
+
+
 def test_turns_across_partitions(small_batches):
     rnd = random.Random(4)
     tracks = [(c, i, n) for c in "ab" for i, n in ((0, "Eva"), (2, None))]
