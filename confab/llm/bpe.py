@@ -2,10 +2,11 @@
 
 A text is split by the vocabulary's pattern; within a part, merges apply in rank
 order. For a list of merges there is a number of bytes, the sufficient lookahead,
-beyond which what follows cannot change a token any more. A long part is thus
+beyond which what follows cannot change a token any more. A part is thus
 encoded window by window: tokens that end at least that far before the window's
 end are stable and are emitted, and the rest is encoded again with what follows.
-Memory is that of one window, whatever the length of the part.
+Texts are taken in windows too, and so are parts that fill one, so that memory
+besides text and ids is that of one window, whatever the length of either.
 
 Why the lookahead is enough: a change after a position can only undo a merge (u, v)
 through a merge of higher priority that takes the last piece of v, or what v's own
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import array
 import base64
+import heapq
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -78,6 +80,29 @@ def merge(part: bytes, ranks: dict[bytes, int], below: int | None = None) -> lis
     return word
 
 
+def merge_long(part: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """As `merge`, with a heap of the neighbours' ranks: n log n instead of n squared steps."""
+    n = len(part)
+    word: list[bytes | None] = [part[i : i + 1] for i in range(n)]
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(part[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = right[i]
+        if word[i] is None or j >= n or ranks.get(word[i] + word[j]) != rank:
+            continue  # one of the two is another word by now
+        word[i], word[j] = word[i] + word[j], None
+        right[i] = k = right[j]
+        if k < n:
+            left[k] = i
+            if (r := ranks.get(word[i] + word[k])) is not None:
+                heapq.heappush(heap, (r, i))
+        if (k := left[i]) >= 0 and (r := ranks.get(word[k] + word[i])) is not None:
+            heapq.heappush(heap, (r, k))
+    return [w for w in word if w is not None]
+
+
 def merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     """The merge list behind the ranks, in order of priority."""
     out = []
@@ -117,6 +142,7 @@ class Encoder:
 
         self.ranks, self.ahead = read_ranks(path), ahead
         self.split = regex.compile(PATTERN)
+        self.kinds = [regex.compile(k) for k in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
         self.unsure = re.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
         encoder = self
 
@@ -147,43 +173,97 @@ class Encoder:
         self.parts, self.known, self.spaced = Parts(), Known(""), Known(" ")
 
     def part(self, data: bytes) -> Iterator[int]:
-        """Ids of one part, emitted as they become stable."""
+        """Ids of one part."""
+        return self._stream(iter((data,)))
+
+    def _stream(self, pieces: Iterator[bytes]) -> Iterator[int]:
+        """Ids of one part that comes in pieces, emitted as they become stable; one window is held."""
         window = max(SHORT, 4 * self.ahead)
-        at = 0
-        if len(data) <= window:
-            yield from map(self.ranks.__getitem__, merge(data, self.ranks))
-            return
-        while at < len(data):
-            piece = data[at : at + window]
-            whole = at + window >= len(data)
-            stop = at + len(piece) - (0 if whole else self.ahead)
-            for token in merge(piece, self.ranks):
-                if not whole and at + len(token) > stop:
+        held, more = b"", True
+        while more or held:
+            while more and len(held) <= window:
+                got = next(pieces, None)
+                if got is None:
+                    more = False
+                else:
+                    held += got
+            at = 0
+            while at < len(held):
+                whole = not more and at + window >= len(held)
+                if not whole and len(held) - at <= window:
                     break
-                yield self.ranks[token]
-                at += len(token)
-
-    def encode(self, text: str | None) -> Iterable[int]:
-        """Ids of a text, without special tokens; none for null and empty texts."""
-        if not text:
-            return ()
-        if self.unsure.search(text):
-            return self._long(text)
-        # a blank is a stable cut of the pattern unless white space stands on both sides of it or ends
-        # the text: what begins with it is split alike whatever stands before
-        first, *rest = text.split(" ")
-        return chain(self.known[first] if first else (), chain.from_iterable(map(self.spaced.__getitem__, rest)))
-
-    def _long(self, text: str) -> Iterator[int]:
-        at, size = 0, CHUNK
-        while at < len(text):
-            chunk, last, begun = text[at : at + size], at + size >= len(text), at
+                piece = held[at : at + window]
+                stop = at + len(piece) - (0 if whole else self.ahead)
+                for token in (merge if len(piece) < 100 else merge_long)(piece, self.ranks):
+                    if not whole and at + len(token) > stop:
+                        break
+                    yield self.ranks[token]
+                    at += len(token)
+            held = held[at:]
+
+    def encode(self, text: str | None) -> Iterator[int]:
+        """Ids of a text, without special tokens; none for null and empty texts.
+
+        The text is taken in windows of CHUNK characters that end at a blank which is a stable cut of the pattern:
+        one with no white space on either side of it. What begins with it is split alike whatever stands before.
+        A window without one goes on part by part up to its end.
+        """
+        at, n = 0, len(text or "")
+        while at < n:
+            end = n
+            if n - at > CHUNK:
+                end = at + CHUNK
+                while (end := text.rfind(" ", at + 1, end)) > 0 and (text[end - 1].isspace() or text[end + 1].isspace()):
+                    pass
+                if end < 0:
+                    at = yield from self._parts(text, at, min(at + CHUNK, n))
+                    continue
+            window = text[at:end] if at or end < n else text
+            if self.unsure.search(window):
+                yield from self._parts(text, at, end, end)
+            else:
+                first, *rest = window.split(" ")
+                yield from chain(self.known[first] if first else (), chain.from_iterable(map(self.spaced.__getitem__, rest)))
+            at = end
+
+    def _parts(self, text: str, at: int, least: int, end: int | None = None) -> Generator[int, None, int]:
+        """Ids of the parts from `at` on up to the first that reaches `least`; returns where it ends.
+
+        `end` is a stable cut, if given. A part is looked for in CHUNK characters; one that fills them is a run of
+        one kind of character and is handed on piece by piece.
+        """
+        end = len(text) if end is None else end
+        while at < least:
+            stop = min(at + CHUNK, end)
+            chunk, begun = text[at:stop], at
             for m in self.split.finditer(chunk):
-                if not last and m.end() > len(chunk) - _UNSTABLE:
+                if stop < end and m.end() > len(chunk) - _UNSTABLE:
                     break
                 yield from self.parts[m.group()]
                 at = begun + m.end()
-            size = CHUNK if at > begun else size * 2  # a part that fills the chunk needs a larger one
+                if at >= least:
+                    return at
+            if at == begun:  # no part ends within the chunk
+                yield from self._stream(self._run(text, at, end))
+                at = self.reached
+        return at
+
+    def _run(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """The bytes of a long run of one kind of character, piece by piece; `reached` is where it ends."""
+        self.reached = at
+        head = at + (text[at] == " " and not self.kinds[0].match(text, at + 1))
+        kind = next(k for k in self.kinds if k.match(text, head))
+        closed = False
+        while not closed:
+            m = kind.match(text, head, min(head + CHUNK, end))
+            head = m.end() if m else head
+            closed = not m or m.end() - m.start() < CHUNK or head == end
+            if kind is self.kinds[0] and head < end:
+                head -= 1  # of white space before something else the last sign belongs to what follows
+            if head > at:
+                self.reached = head
+                yield text[at:head].encode("utf-8", "surrogatepass")
+            at = head
 
 
 class Decoder:

@@ -63,3 +63,30 @@ def test_decoder_on_broken_bytes():
     word = "žluť€😀".encode()
     d.reset()
     assert "".join(d.feed(word[i : i + 1]) for i in range(len(word))) == "žluť€😀"
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 64, 17])
+def test_windows_change_no_ids(chunk, monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    path = bpe.default_path()
+    ref = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    enc, rnd = bpe.Encoder(path, bpe.lookahead(path)), random.Random(5)
+    for _ in range(400):
+        kinds = [" ", "  ", "\n", "a", "é", "Z" * rnd.randint(1, 90), "12" * rnd.randint(1, 40), "'s", " '", "!" * rnd.randint(1, 80), " " * rnd.randint(1, 80), "　", "word ", "日本" * rnd.randint(1, 30), "\x1c"]
+        t = "".join(rnd.choice(kinds) for _ in range(rnd.randint(0, 60)))
+        assert list(enc.encode(t)) == ref.encode_ordinary(t), repr(t)
+
+
+@pytest.mark.parametrize("text", ["ab" * 500_000, " " * 500_000 + "x", "é1!" * 200_000, "slovo " * 500_000])
+def test_memory_is_that_of_a_window(text):
+    import tracemalloc
+
+    path = bpe.default_path()
+    enc = bpe.Encoder(path, bpe.lookahead(path))
+    tracemalloc.start()
+    n = sum(1 for _ in enc.encode(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 3_000_000
