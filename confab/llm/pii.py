@@ -11,7 +11,10 @@ its place in an anchor,
 counted over all documents. Terms whose disclosure exceeds a threshold are name
 words; a given name (or an initial) and a surname beside each other are a name
 wherever they stand, and are replaced. Endings of surnames are scored in the same
-way, for surnames that no anchor shows.
+way, for surnames that no anchor shows. So are words that disclose a street (the last
+word of a name after a house number, behind words like "lives at") and words that
+disclose a phone number (the word before a number with a country code): numbers and
+names of streets beside them are found without further cues.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ def fold(word: str) -> str:
 
 #: Bits above which a term counts as a name word, and an ending as one of surnames.
 TERM_BITS, ENDING_BITS = 2.0, 6.0
+#: The same for words that disclose streets and phone numbers, and how often they must do so.
+CUE_BITS, LEAST_CUES = 6.0, 2
 #: Up to so many name words go to the executors as one list; of more, each text gets those that it has.
 LIST_TERMS = 300_000
 KINDS = ("email", "phone", "idnum", "address", "name")
@@ -50,6 +55,11 @@ _ANCHORS = re.compile(
 )
 
 
+_CODED = re.compile(rf"({_L}+)[.:]?{_H}\(?\+\d")
+_HOUSED = re.compile(rf"\b(?:lives at|deliver to|waits outside|address(?: is)?:?){_H}(?:(?:flat|apartment|apt\.?|unit){_H}\d+\w?,{_H})?\d{{1,4}}[a-z]?{_H}(?:{_L}+['’]?{_L}*{_H}){{1,3}}?({_L}+)(?=[,.;]|{_H}?$)", re.I | re.M)
+_COUNTS = ("times", "as_first", "as_last", "as_street", "as_phone")
+
+
 def composed(text: str) -> tuple[str, list[int] | None]:
     """The text with composed letters, and where each of its characters starts in the original (None: at its own place)."""
     if unicodedata.is_normalized("NFC", text):
@@ -76,22 +86,19 @@ def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times, first, last = Counter(), Counter(), Counter()
+        times, first, last, street, phone = sources = tuple(Counter() for _ in _COUNTS)
 
         def flush() -> pa.RecordBatch:
             rows: dict[tuple[str, str | None], list[int]] = {}
-            for i, source in enumerate((times, first, last)):
+            for i, source in enumerate(sources):
                 for w, n in source.items():
                     f = fold(w)
-                    rows.setdefault((f, w), [0, 0, 0])[i] += n
-                    if len(f) > 5:
-                        rows.setdefault(("-" + f[-4:], None), [0, 0, 0])[i] += n
+                    rows.setdefault((f, w), [0] * len(_COUNTS))[i] += n
+                    if len(f) > 5 and i < 3:
+                        rows.setdefault(("-" + f[-4:], None), [0] * len(_COUNTS))[i] += n
             counts = list(zip(*rows.values()))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *(pa.array(c, pa.int64()) for c in counts)],
-                ["term", "spelling", "times", "as_first", "as_last"],
-            )
-            for c in (times, first, last):
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["term", "spelling", *_COUNTS])
+            for c in sources:
                 c.clear()
             return out
 
@@ -104,34 +111,39 @@ def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
                         a, z = (x for x in m.groups() if x)
                         first[a.lower()] += 1
                         last[z.lower()] += 1
+                    phone.update(w.lower() for w in _CODED.findall(t))
+                    street.update(w.lower() for w in _HOUSED.findall(t))
             if len(times) > 200_000:
                 yield flush()
         if times:
             yield flush()
 
-    counts = df.select(text).mapInArrow(run, "term string, spelling string, times long, as_first long, as_last long")
-    return counts.groupBy("term", "spelling").agg(*(F.sum(c).alias(c) for c in ("times", "as_first", "as_last")))
+    counts = df.select(text).mapInArrow(run, "term string, spelling string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return counts.groupBy("term", "spelling").agg(*(F.sum(c).alias(c) for c in _COUNTS))
 
 
 def disclosure(counts: DataFrame) -> DataFrame:
-    """term, role ('given' or 'surname'), bits, spellings: name words and endings above the thresholds."""
+    """term, role ('given', 'surname', 'street' or 'phone'), bits, spellings: name words, endings and cues above the thresholds."""
     words = ~F.col("term").startswith("-")
-    counts = counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("times", "as_first", "as_last")), F.collect_list("spelling").alias("spellings"))
-    total = counts.agg(F.sum(F.when(words, F.col("times"))).alias("all"), F.sum(F.when(words, F.col("as_first"))).alias("anchors"))
-    c = counts.where("as_first + as_last > 0").join(F.broadcast(total))  # one row of totals
+    counts = counts.groupBy("term").agg(*((F.sum(c) if c in counts.columns else F.lit(0).cast("long")).alias(c) for c in _COUNTS), F.collect_list("spelling").alias("spellings"))
+    alls = (F.sum(F.when(words, F.col(c))).alias(f"all_{c}") for c in ("times", "as_first", "as_street", "as_phone"))
+    c = counts.where("as_first + as_last + as_street + as_phone > 0").join(F.broadcast(counts.agg(*alls)))  # one row of totals
 
-    def bits(n: str):
-        return F.log2(F.col(n) / F.col("times") / (F.col("anchors") / F.col("all")))
+    def bits(n: str, total: str):
+        return F.log2(F.try_divide(F.try_divide(F.col(n), F.col("times")), F.try_divide(F.col(total), F.col("all_times"))))
 
-    given = (F.col("as_first") > 0) & words & (F.col("as_first") * 3 >= F.col("as_last"))
-    surname = (F.col("as_last") > 0) & (~words | (F.col("as_last") * 3 >= F.col("as_first")))
-    roles = F.array(*(F.when(which, F.struct(F.lit(role).alias("role"), bits(n).alias("bits"))) for which, role, n in ((given, "given", "as_first"), (surname, "surname", "as_last"))))
-    out = c.select("term", "spellings", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("term", "r.role", "r.bits", "spellings")
-    return out.where(F.col("bits") >= F.when(F.col("term").startswith("-"), ENDING_BITS).otherwise(TERM_BITS))
+    roles = (
+        ("given", "as_first", "all_as_first", words & (F.col("as_first") * 3 >= F.col("as_last")) & (F.col("as_first") > 0), F.lit(TERM_BITS)),
+        ("surname", "as_last", "all_as_first", (~words | (F.col("as_last") * 3 >= F.col("as_first"))) & (F.col("as_last") > 0), F.when(words, TERM_BITS).otherwise(ENDING_BITS)),
+        ("street", "as_street", "all_as_street", words & (F.col("as_street") >= LEAST_CUES), F.lit(CUE_BITS)),
+        ("phone", "as_phone", "all_as_phone", words & (F.col("as_phone") >= LEAST_CUES), F.lit(CUE_BITS)),
+    )
+    found = F.array(*(F.when(which & (bits(n, total) >= least), F.struct(F.lit(role).alias("role"), bits(n, total).alias("bits"))) for role, n, total, which, least in roles))
+    return c.select("term", "spellings", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("term", "r.role", "r.bits", "spellings")
 
 
 def _by_role(rows: Iterable) -> dict[str, dict[str, list[str]]]:
-    out: dict[str, dict[str, list[str]]] = {"given": {}, "surname": {}, "ending": {}}
+    out: dict[str, dict[str, list[str]]] = {"given": {}, "surname": {}, "ending": {}, "street": {}, "phone": {}}
     for r in rows:
         if r["term"].startswith("-"):
             out["ending"][r["term"][1:]] = []
@@ -141,8 +153,8 @@ def _by_role(rows: Iterable) -> dict[str, dict[str, list[str]]]:
 
 
 def name_words(df: DataFrame, text: str = "text") -> dict[str, dict[str, list[str]]]:
-    """{'given', 'surname', 'ending'} to {term: spellings}: all name words of a corpus, each with the few spellings that fold to it."""
-    return _by_role(disclosure(term_counts(df, text)).collect())
+    """{'given', 'surname', 'ending', 'street', 'phone'} to {term: spellings}: all name words of a corpus, each with the few spellings that fold to it."""
+    return _by_role(disclosure(checkpointed(term_counts(df, text))).collect())
 
 
 def _terms(text: str) -> set[str]:
@@ -190,11 +202,16 @@ _JOINS = _a(r"plus|podtržítko|podčiarkovník|podčiarnik|pomlčka|minus|mínu
 _ATS = _a(r"at|zavináč|klammeraffe|ät")
 _AT = re.compile(rf"{_H}?@{_H}?|{_H}?[(\[]{_H}?(?:{_ATS}){_H}?[)\]]{_H}?|(?<=\w){_H}(?:{_ATS}){_H}(?=\w)", _I)
 _DOT = rf"(?:\.|{_H}?[(\[]{_H}?(?:{_DOTS}){_H}?[)\]]{_H}?|{_H}(?:{_DOTS}){_H})"
+#: No sign or word between two parts of an address is longer.
+LONGEST_JOIN = 40
 _LOCAL = re.compile(rf"(?:[\w+-]+(?:{_DOT}|{_H}(?:{_JOINS}){_H}|[(\[](?:{_JOINS})[)\]]))*[\w+-]+$", _I)
+_TIGHT = re.compile(rf"[\w.+-]+(?:[(\[](?:{_DOTS}|{_JOINS})[)\]][\w.+-]+)*$", _I)
+_DOT_WORD, _BLANK = re.compile(rf"{_H}(?:{_DOTS}){_H}", _I), re.compile(r"\s")
 _DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", _I)
 
 _NUMBER = re.compile(rf"[(+\d][+(\d]*(?:(?:{_H}?[/.\-–]{_H}?|{_H}?\){_H}?[/\-–]?{_H}?|{_H}?[/\-–]?{_H}?\(|{_H})\d+)*")
 _CARD = re.compile(rf"\w*(?:[- ]?(?:id|nr|no|nummer|number))?\.?{_H}?:?{_H}?((?=[A-Z]*\d)(?=\d*[A-Z])[A-Z\d]{{8,12}})\b", _I)
+_LAST_WORD = re.compile(rf"({_L}+)[.:]?{_H}$")
 _QQ = re.compile(rf"QQ(?:{_H}?\d\d){{3}}{_H}?[A-D]\b", _I)
 _ID_CUE = re.compile(_a(r"(?:rodn\w+[^\S\r\n]+čísl\w+|\brč|\br\. ?č\.|\bssn|social security(?: number| no\.?)?|national insurance(?: number| no\.?)?|\bid[ -]?(?:number|no\.?|nr\.?|číslo)|identi\w+[^\S\r\n]+(?:number|čísl\w+|nummer)|\bnino|steuer\w*(?:[- ]?(?:id|nr|nummer|identifikationsnummer))?\.?|sozialversicherung\w*|versicherten\w*|ausweis\w*|číslo (?:pojištěnce|op|občanského průkazu)|op č\.|personal\w*nummer|\btax id)\W*(?:\w{1,6}\W+)?$"), _I)
 _ORDER_CUE = re.compile(_a(r"(?:\b(?:č|no|nr|nummer|ticket|zakázk\w*|zákazk\w*|faktur\w*|invoice|vorgang|celkem|celkom|total|insgesamt|server|verze|verzia|build|version|order|desk)\b)\.?\W*$"), _I)
@@ -211,6 +228,7 @@ _FLAT = rf"(?:(?:flat|apartment|apt\.?|unit){_H}\d+\w?,{_H})?"
 _STREET_EN = re.compile(
     rf"{_FLAT}\b\d{{1,4}}[a-z]?{_H}(?:{_L}+['’]?{_L}*{_H}){{1,3}}?(?:(?:road|street|lane|close|drive|avenue|way|court|square|terrace|crescent|place|gardens|grove|mews|hill|row|walk)\b|(?:rd|st|ln|dr|ave|cl|ct|sq)\b(?:\.(?=[.,;]|{_H}in\b))?)", _I
 )
+_STREET_HEAD = re.compile(rf"{_FLAT}\b\d{{1,4}}[a-z]?{_H}(?:{_L}+['’]?{_L}*{_H}){{1,3}}$", _I)
 _HOUSE = re.compile(rf"(?<={_L}|\.)(?:{_H}(?:{_a('č')}\.{_H}?p\.|{_a('čp')}\.|{_a('č')}\.|nr\.|no\.))?{_H}?\d{{1,4}}(?:/\d{{1,4}})?(?:[a-z]\b|{_H}[b-h]\b(?!['’]))?(?![\d/:]|[.–-]\d|{_H}?\d)", _I)
 _STREET_PREFIX = _a(r"(?:ulice|ulica|ulici|ul\.|nám\.|náměstí|námestie|třída|trieda|tř\.|nábřeží)")
 _CUE_STREET = re.compile(
@@ -218,6 +236,7 @@ _CUE_STREET = re.compile(
     _I,
 )
 _OWN_STREET = re.compile(rf"((?:(?:an|in){_H}der{_H})?{_L}*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer|ring|steig)|{_STREET_PREFIX}{_H}(?:{_L}+{_H}?){{1,3}}|{_L}+{_H}{_a('nábřeží|náměstí|třída|nábrežie|námestie')})$", _I)
+_TOKEN = re.compile(rf"{_H}*\S+")
 _NO_STREET = re.compile(_a(r"^(?:v|ve|na|o|um|at|in|im|a|und|and)$"), _I)
 
 
@@ -230,7 +249,7 @@ _INITIALS_BEFORE = re.compile(rf"(?<![\w.])(?:{_L}\.{_H}?){{1,3}}$")
 
 #: What the automaton looks for besides names: kind of trigger and words (fixed values, small letters).
 _TRIGGERS = {
-    "email": "@|(at|[at|zavináč|zavinac|klammeraffe| dot |\xa0dot\xa0|(ät",
+    "email": "@|(at|[at|(ät|[ät|zavináč|zavinac|klammeraffe| dot |\xa0dot\xa0| punkt | tečka | tecka | bodka | point ",
     "qq": "qq",
     "card": "steuer|ausweis|průkaz|prukaz|preukaz|id number|id card|passport",
     "digit": "nula|jedna|jeden|dva|tři|tri|čtyři|ctyri|štyri|styri|pět|pet|päť|pat|šest|sest|šesť|sedm|sedem|osm|osem|devět|devet|deväť|devat|"
@@ -241,6 +260,35 @@ _TRIGGERS = {
 }
 
 
+def _line(t: str, at: int) -> int:
+    """Where the line of a place begins."""
+    return t.rfind("\n", 0, at) + 1
+
+
+def _back(t: str, begin: int, end: int, tokens: int) -> int:
+    """A place from which `tokens` whole tokens (between white space) lead up to `end`, however long they are; `begin` if there are fewer."""
+    size = 16 * tokens
+    while True:
+        at = max(begin, end - size)
+        if at == begin:
+            return begin
+        parts = t[at:end].split(None, 1)
+        if len(t[at:end].split()) > tokens + 1:
+            return end - len(parts[1]) if len(parts) > 1 else at
+        size *= 4
+
+
+def _up_to(pattern: re.Pattern, t: str, begin: int, end: int) -> tuple[int, re.Match | None]:
+    """A match that ends at `end`, and where the stretch begins that was searched: as much of it as the match can reach into."""
+    size = 128
+    while True:
+        at = max(begin, end - size)
+        m = pattern.search(t[at:end])
+        if at == begin or m is None or m.start() > LONGEST_JOIN:
+            return at, m
+        size *= 4
+
+
 class Finder:
     """Personal information of texts, given the name words of a corpus.
 
@@ -256,10 +304,12 @@ class Finder:
         for kind, words in _TRIGGERS.items():
             for w in words.split("|"):
                 kinds.setdefault(w, set()).add(kind)
-        for terms in (names["given"], names["surname"]):
-            for term, spellings in terms.items():
-                for w in {term, *spellings}:
-                    kinds.setdefault(w, set()).add("name")
+        for kind, roles in (("name", ("given", "surname")), ("learnt", ("street",))):
+            for role in roles:
+                for term, spellings in names.get(role, {}).items():
+                    for w in {term, *spellings}:
+                        kinds.setdefault(w, set()).add(kind)
+        self.phone = set(names.get("phone", ()))
         self.triggers = ahocorasick.Automaton()
         for w, k in kinds.items():
             self.triggers.add_word(w, (len(w), tuple(k)))
@@ -291,15 +341,17 @@ class Finder:
                 taken[start:end] = b"\1" * (end - start)
                 spans.append((start, end, kind))
 
-        hits: dict[str, list[tuple[int, int]]] = {"email": [], "qq": [], "card": [], "digit": [], "street": [], "house": [], "name": []}
+        hits: dict[str, list[tuple[int, int]]] = {"email": [], "qq": [], "card": [], "digit": [], "street": [], "house": [], "name": [], "learnt": []}
         for last, (size, kinds) in self.triggers.iter(low):
             for k in kinds:
                 hits[k].append((last + 1 - size, last + 1))
         done = 0
-        for a, z in hits["email"]:
-            if a >= done and (m := _AT.search(t, max(done, a - 3), z + 40)):
-                done = m.end()
-                self._email(t, m, take)
+        for a, z in hits["email"]:  # each line that has such a sign or word is read once
+            if a >= done:
+                begin, done = max(done, _line(t, a)), t.find("\n", z)
+                done = len(t) if done < 0 else done
+                for m in _AT.finditer(t, begin, done):
+                    self._email(t, m, take)
         for a, _ in hits["qq"]:
             if m := _QQ.match(t, a):
                 take(m.start(), m.end(), "idnum")
@@ -312,14 +364,27 @@ class Finder:
         done = 0
         for a, z in hits["street"]:
             if a and not low[a - 1].isalnum() and not low[z : z + 1].isalnum():
-                begin = max(done, a - 60)
+                begin = max(done, _back(t, _line(t, a), a, 7))
                 for m in _STREET_EN.finditer(t, begin, min(len(t), z + 4)):
                     if m.end() >= z:
                         take(m.start(), m.end(), "address")
                         done = m.end()
+        for a, z in hits["learnt"]:
+            if a and t[a].isupper() and not low[a - 1].isalnum() and not low[z : z + 1].isalnum():
+                begin = _back(t, _line(t, a), a, 6)
+                if m := _STREET_HEAD.search(t[begin:a]):
+                    take(begin + m.start(), z, "address")
         done = -1
         for _, z in hits["house"]:
-            m = _HOUSE.search(t, z - 1, z + 64) if z > done else None
+            if z <= done:
+                continue
+            # the house number follows within four words, which the rule of the street checks
+            end = z
+            for _ in range(6):
+                if not (w := _TOKEN.match(t, end)):
+                    break
+                end = w.end()
+            m = _HOUSE.search(t, z - 1, end)
             if m:
                 done = z
                 self._house(t, m, take)
@@ -328,32 +393,30 @@ class Finder:
         return spans if at is None else [(at[a], at[z], k) for a, z, k in spans]
 
     def _email(self, t: str, m: re.Match, take) -> None:
-        begin = max(t.rfind("\n", 0, m.start()) + 1, m.start() - 120)
-        local = _LOCAL.search(t[begin : m.start()])
+        begin, local = _up_to(_LOCAL, t, _line(t, m.start()), m.start())
         domain = _DOMAIN.match(t, m.end())
         if not local or not domain:
             return
-        if "@" not in m.group() and not re.search(r"[(\[]", m.group()):  # words only: the domain's dots must be words too
-            if not re.search(rf"{_H}(?:{_DOTS}){_H}", domain.group(), _I):
-                return
+        signs = "@" in m.group() or m.group().strip()[0] in "(["
+        if not signs and not _DOT_WORD.search(domain.group()):  # words only: the domain's dots must be words too
+            return
         start = begin + local.start()
-        if "@" in m.group() or m.group().strip()[0] in "([":
+        if signs and _BLANK.search(local.group()):
             # an address with signs takes no words before it but through spelled dots
-            tail = re.search(rf"[\w.+-]+(?:[(\[](?:{_DOTS}|{_JOINS})[)\]][\w.+-]+)*$", t[begin : m.start()], _I)
-            start = min(start, begin + tail.start()) if not re.search(r"\s", local.group()) else start
+            begin, tail = _up_to(_TIGHT, t, _line(t, m.start()), m.start())
+            start = begin + tail.start()
         while t[start] in ".-+":
             start += 1
         take(start, domain.end(), "email")
 
     def _number(self, t: str, m: re.Match, take) -> None:
         s, start, end = m.group(), m.start(), m.end()
-        if len(s) < 8 or t[end : end + 1] == ":" or (start and (t[start - 1].isalnum() or t[start - 1] in "_.,:/@+-")):
+        if len(s) < 7 or t[end : end + 1] == ":" or (start and (t[start - 1].isalnum() or t[start - 1] in "_.,:/@+-")):
             return
         if s[0] == "(" and ")" not in s:
             s, start = s[1:], start + 1
         d = re.sub(r"\D", "", s)
-        before = t[max(0, start - 48) : start]
-        before = before[before.rfind("\n") + 1 :]
+        before = t[_back(t, _line(t, start), start, 6) : start]
         if _ID_CUE.search(before):
             if 8 <= len(d) <= 13:
                 take(start, end, "idnum")
@@ -375,6 +438,9 @@ class Finder:
             ok = shape in ((3, 3, 3), (3, 3, 4), (1, 3, 3, 4), (9,), (10,), (5, 3, 3), (5, 6), (3, 2, 2, 2)) or (d[0] == "0" and 9 <= len(d) <= 12 and len(shape) <= 4)
             if shape == (3, 3, 3) and "." in s and s.count(".") == 3:
                 ok = False
+        if not ok and 7 <= len(d) <= 12 and self.phone:  # no form of its own: the word before it must tell
+            cue = _LAST_WORD.search(before)
+            ok = bool(cue) and fold(cue.group(1)) in self.phone
         if ok:
             take(start, end, "phone")
 
@@ -390,11 +456,11 @@ class Finder:
             if n >= 7:
                 head = re.search(rf"\bplus{_H}$", low[max(0, i - 6) : i])
                 start = i - (len(head.group()) if head else 0)
-                before = t[max(0, start - 48) : start]
-                take(start, last, "idnum" if _ID_CUE.search(before[before.rfind("\n") + 1 :]) else "phone")
+                before = t[_back(t, _line(t, start), start, 6) : start]
+                take(start, last, "idnum" if _ID_CUE.search(before) else "phone")
 
     def _house(self, t: str, m: re.Match, take) -> None:
-        begin = max(t.rfind("\n", 0, m.start()) + 1, m.start() - 70)
+        begin = _back(t, _line(t, m.start()), m.start(), 10)
         before = t[begin : m.start()]
         c = _CUE_STREET.search(before) or _OWN_STREET.search(before)
         if not c or _NO_STREET.match(c.group(1).split()[-1]):
@@ -413,7 +479,7 @@ class Finder:
                 m = _AFTER.match(t, z)
                 if m and (size := self._surname(t, low, m.start(1), m.end(1), a)):
                     start, end = a, m.start(1) + size
-                elif m := _SURNAME_BEFORE.search(t, max(done, a - 40), a):  # an unknown surname in front, set off by a comma
+                elif m := _SURNAME_BEFORE.search(t, max(done, _back(t, _line(t, a), a, 1)), a):  # an unknown surname in front, set off by a comma
                     f = fold(m.group(1))
                     if len(f) > 5 and f[-4:] in self.ending and (m.group(1)[0].isupper() or not t[a].isupper()):
                         start, end = m.start(1), z
@@ -423,7 +489,7 @@ class Finder:
                     start, end = a, m.end(1)
                     if tail := _INITIAL.match(t, end):
                         end = tail.end()
-                elif m := _INITIALS_BEFORE.search(t, max(done, a - 12), a):
+                elif m := _INITIALS_BEFORE.search(t, max(done, _back(t, _line(t, a), a, 3)), a):
                     start, end = m.start(), a + self._surname(t, low, a, z, None)
                 elif m := _INITIAL_AFTER.match(t, z):
                     start, end = a, m.end()
@@ -464,7 +530,7 @@ def find_personal(df: DataFrame, key: str = "doc_id", text: str = "text", names:
     """
     rows = df.select(key, text)
     if names is None:
-        every = checkpointed(disclosure(term_counts(df, text)).select("term", "role", "spellings"))
+        every = checkpointed(disclosure(checkpointed(term_counts(df, text))).select("term", "role", "spellings"))
         if every.count() > LIST_TERMS:
             own = _own_names(df, text, every)
             rows = df.select(key, text, F.sha2(F.col(text), 256).alias("text_id")).join(own, "text_id", "left").select(key, text, "names")

@@ -177,7 +177,7 @@ def test_common_subsequence():
     assert leaks.common(np.array([1, 2, 3, 4]), np.array([2, 9, 3, 4])) == 3 and leaks.common(np.array([1]), np.array([2])) == 0
 
 
-NAMES = {"given": {"jiri": ["jiří", "jiri"], "nora": ["nora"]}, "surname": {"novotny": ["novotný", "novotny"], "quarlby": ["quarlby"]}, "ending": {"ecek": []}}
+NAMES = {"given": {"jiri": ["jiří", "jiri"], "nora": ["nora"]}, "surname": {"novotny": ["novotný", "novotny"], "quarlby": ["quarlby"]}, "ending": {"ecek": []}, "street": {"parade": ["parade"]}, "phone": {"call": ["call"]}}
 
 
 @pytest.mark.parametrize(
@@ -205,6 +205,14 @@ NAMES = {"given": {"jiri": ["jiří", "jiri"], "nora": ["nora"]}, "surname": {"n
         ("Sraz v sále 52 v 10:30, Veltora Desk 24", []),
         ("Volal Jiří Novotný, Nora knows best. N. Quarlby sent it, Novotný, Jiří a Nora D. QUARLBY's headset", [("name", "Jiří Novotný"), ("name", "N. Quarlby"), ("name", "Novotný, Jiří"), ("name", "Nora D. QUARLBY")]),
         ("volal jiri novotny kvuli nahravce", [("name", "jiri novotny")]),
+        ("Write to john at company dot com or anna dot lee at mail dot example dot org today", [("email", "john at company dot com"), ("email", "anna dot lee at mail dot example dot org")]),
+        ("We met at noon. The dot was red at two", []),
+        ("Pišt " + "x" * 130 + "@firma.example ano", [("email", "x" * 130 + "@firma.example")]),
+        ("to " + "ab dot " * 60 + "z at firma dot example", [("email", "ab dot " * 60 + "z at firma dot example")]),
+        ("Bydlí na adrese ul. " + "Dlouhá" * 20 + " 53a, Mlýnec", [("address", "ul. " + "Dlouhá" * 20 + " 53a")]),
+        ("She lives at 143 " + "Fennel" * 20 + " Close, Quarl", [("address", "143 " + "Fennel" * 20 + " Close")]),
+        ("Moved to 12 Kings Parade, Bath. The parade of 12 long parade", [("address", "12 Kings Parade")]),
+        ("Please call 1234567 now, ticket 1234567", [("phone", "1234567")]),
         ("", []),
         (None, []),
     ],
@@ -238,6 +246,22 @@ def test_rare_names_of_a_large_corpus(spark):
     assert {(r.term, r.role) for r in pii.disclosure(df).collect()} == {("petr", "given"), ("hruska", "surname"), ("vzacny", "surname")}
 
 
+def test_cues_from_the_corpus(spark):
+    """Words that stand where streets and phone numbers are certain find those that nothing else tells."""
+    rows = [(i, f"She lives at {i} Kings Parade, Bath. Ring +44 7700 90008{i % 10} soon." + " nobody found the old map after lunch" * 9) for i in range(9)] + [(50, "Seen at 7 Queens Parade, then ring 5551234 or order 5551234")]
+    got = {r.doc_id: [(f.kind, f.found) for f in r.found] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == [("address", "7 Queens Parade"), ("phone", "5551234")]
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    finder, began = pii.Finder(NAMES), time.time()
+    for t in ("a@b " * 20_000, "x dot " * 20_000 + "at y", "nora " * 30_000, "adresa " * 20_000, "12 a b road " * 10_000, "x" * 100_000 + "@y.z", "1 2 3 " * 20_000, " at a dot b" * 10_000):
+        finder.find(t)
+    assert time.time() - began < 60
+
+
 def test_a_long_list_of_names_is_joined(spark, monkeypatch):
     rows = [(i, f"**Jiří Novotný{i % 7}x** [00:0{i % 10}]\n**Nora Weiß** [00:01]\nvolal Petr Hruška, NORA WEISS's stůl a Jiří Hruška²; Novotný, J.\n**Petr Hruška** [00:30]\nPetr Bezruška i Jiří Malecek." + " po obědě nikdo nenašel starou mapu" * 9) for i in range(20)]
     rows += [(90, None), (91, ""), (92, "nikdo"), (None, rows[3][1]), (3, rows[3][1])]
