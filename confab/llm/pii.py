@@ -55,8 +55,9 @@ _ANCHORS = re.compile(
 )
 
 
-_CODED = re.compile(rf"({_L}+)[.:]?{_H}\(?\+\d")
-_HOUSED = re.compile(rf"\b(?:lives at|deliver to|waits outside|address(?: is)?:?){_H}(?:(?:flat|apartment|apt\.?|unit){_H}\d+\w?,{_H})?\d{{1,4}}[a-z]?{_H}(?:{_L}+['’]?{_L}*{_H}){{1,3}}?({_L}+)(?=[,.;]|{_H}?$)", re.I | re.M)
+_CODED, _WORD_BEFORE = re.compile(r"\+\d"), re.compile(rf"({_L}+)[.:]?{_H}\(?$")
+_STREET_CUES = ("lives at ", "deliver to ", "waits outside ", "address ", "address: ")
+_HOUSED = re.compile(rf"\b(?:lives at|deliver to|waits outside|address(?: is)?:?){_H}(?:(?:flat|apartment|apt\.?|unit){_H}\d+\w?,{_H})?\d{{1,4}}[a-z]?{_H}(?:{_L}+['’]?{_L}*{_H}){{1,3}}?({_L}+)(?=[,.;]|{_H}?$)", re.M)
 _COUNTS = ("times", "as_first", "as_last", "as_street", "as_phone")
 
 
@@ -106,13 +107,17 @@ def term_counts(df: DataFrame, text: str = "text") -> DataFrame:
             for t in b.column(0).to_pylist():
                 if t:
                     t, _ = composed(t)
-                    times.update(_WORD.findall(t.lower()))
+                    low = t.lower()
+                    times.update(_WORD.findall(low))
                     for m in _ANCHORS.finditer(t):
                         a, z = (x for x in m.groups() if x)
                         first[a.lower()] += 1
                         last[z.lower()] += 1
-                    phone.update(w.lower() for w in _CODED.findall(t))
-                    street.update(w.lower() for w in _HOUSED.findall(t))
+                    for m in _CODED.finditer(low):
+                        if w := _WORD_BEFORE.search(low[_back(low, _line(low, m.start()), m.start(), 1) : m.start()]):
+                            phone[w.group(1)] += 1
+                    if any(cue in low for cue in _STREET_CUES):
+                        street.update(_HOUSED.findall(low))
             if len(times) > 200_000:
                 yield flush()
         if times:
