@@ -25,16 +25,7 @@ def _batch(batch: pa.RecordBatch, state: tuple | None):
         first[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
     same = state is not None and key[0].as_py() == state[0]
     first[0] = not same
-    group = np.cumsum(first)
-    # A running maximum per entity: entities are lifted above each other, so one accumulate serves all.
-    low = int(min(end.min(), state[2])) if same else int(end.min())
-    lift = int(max(end.max(), state[2]) if same else end.max()) - low + 1
-    assert lift * (int(group[-1]) + 1) < 2**62, "times span too much for one batch"
-    raised = end - low + group * lift
-    before = np.empty(n, np.int64)
-    before[0] = (state[2] - low + group[0] * lift) if same else 0
-    before[1:] = raised[:-1]
-    before = np.maximum.accumulate(before) - group * lift + low
+    before = rangescan.furthest_before(end, first, state[2] if same else None)
     opens = first | (start > before)
     last = int(np.flatnonzero(opens)[-1]) if opens.any() else None
     label = int(start[last]) if last is not None else state[1]

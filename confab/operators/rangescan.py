@@ -2,7 +2,7 @@
 
 A window function puts all rows of one key into one task, which fails for a key
 that holds a third of the table. Here rows are range-partitioned on
-(key, order), so a hot key spreads over as many partitions as its size asks for:
+(key, order), so a hot key spreads over as many partitions as its rows ask for:
 
 1. ``sort_globally``: one range shuffle, sorted within partitions, checkpointed;
 2. ``summaries``: every partition yields one small record (the state at its end
@@ -17,10 +17,12 @@ Scans stream over Arrow batches and hold one batch and the state at a time.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,9 +35,25 @@ Summary = Callable[[Iterator[pa.RecordBatch]], Any]
 Scan = Callable[[Iterator[pa.RecordBatch], Any, Any], Iterator[pa.RecordBatch]]
 
 
+#: Bytes of input (as Catalyst estimates them) that one partition of a global order holds at most.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(df: DataFrame) -> int | None:
+    """How many partitions `df` needs for PARTITION_BYTES each; None if the session's shuffle partitions do (AQE may then join small ones)."""
+    need = math.ceil(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / PARTITION_BYTES)
+    return need if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < need < 1_000_000 else None
+
+
 def sort_globally(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` in global order of `keys`; equal keys are never split between partitions."""
-    return checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    """`df` in global order of `keys`; equal keys are never split between partitions.
+
+    As many partitions as the session's shuffle partitions, or as the size of `df`
+    asks for if those are more.
+    """
+    n = partitions_for(df)
+    by = df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+    return checkpointed(by.sortWithinPartitions(*keys))
 
 
 def summaries(sorted_df: DataFrame, summary: Summary) -> list[tuple[int, Any]]:
@@ -56,6 +74,29 @@ def summaries(sorted_df: DataFrame, summary: Summary) -> list[tuple[int, Any]]:
     return sorted((r["pid"], pickle.loads(bytes(r["state"]))) for r in rows)
 
 
+def furthest_before(end: np.ndarray, first: np.ndarray, carried: int | None) -> np.ndarray:
+    """The greatest of the values before each row since the last row with `first`; `carried` stands before row 0.
+
+    Values of rows with `first`, and of row 0 without `carried`, are undefined. Groups
+    are lifted above each other, so that one running maximum serves all of them.
+    """
+    group = np.cumsum(first)
+    low, high = int(end.min()), int(end.max())
+    if carried is not None:
+        low, high = min(low, carried), max(high, carried)
+    lift = high - low + 1
+    before = np.empty(len(end), np.int64)
+    if lift * (int(group[-1]) + 1) < 2**62:
+        raised = end - low + group * lift
+        before[0] = carried - low + group[0] * lift if carried is not None else 0
+        before[1:] = raised[:-1]
+        return np.maximum.accumulate(before) - group * lift + low
+    for a, z in zip(np.flatnonzero(np.diff(group, prepend=-1)), [*np.flatnonzero(np.diff(group)) + 1, len(end)]):  # values too far apart for that
+        before[a] = carried if a == 0 and carried is not None else end[a]
+        before[a + 1 : z] = np.maximum.accumulate(np.append(before[a], end[a : z - 1]) if a == 0 and carried is not None else end[a : z - 1])[-(z - a - 1) or z :]
+    return before
+
+
 def rescan(sorted_df: DataFrame, scan: Scan, around: dict[int, tuple[Any, Any]], schema: str) -> DataFrame:
     """`scan` over each partition with (state before, row after) of `around`.
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions import formats
 from confab.functions.text import is_blank, utrim
+from confab.operators import rangescan
 from confab.operators.ordered import HOUR, with_order
 
 PAUSE_MS = 800
@@ -23,35 +31,180 @@ def segment_text(words: Column, text: Column) -> Column:
     return F.when(F.size(F.coalesce(words, F.array().cast("array<struct<start:double,end:double,text:string,lead_space:boolean>>"))) > 0, join_words(words)).otherwise(utrim(text))
 
 
-def distinct_segments(segments: DataFrame) -> DataFrame:
-    """One row per (call_id, seq) with text, in milliseconds; energy is the greatest of the repeats (AGG-5, PRJ-12)."""
-    s = segments.where(~is_blank("text") & F.col("call_id").isNotNull() & F.col("seq").isNotNull())
-    s = s.select("call_id", "seq", "speaker", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.round(F.col("end") * 1000).cast("long").alias("end_ms"), segment_text(F.col("words"), F.col("text")).alias("text"), "energy")
-    same = [c for c in s.columns if c not in ("call_id", "seq", "energy")]
-    return s.groupBy("call_id", "seq").agg(*(F.first(c).alias(c) for c in same), F.max("energy").alias("energy"))
+def spoken_segments(segments: DataFrame) -> DataFrame:
+    """Segments with text, in milliseconds; repeats stay, ``turn_rows`` counts them once (PRJ-12)."""
+    s = segments.where(~is_blank("text") & F.col("call_id").isNotNull() & F.col("seq").isNotNull() & F.col("start").isNotNull())
+    return s.select("call_id", "seq", "speaker", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.round(F.coalesce("end", "start") * 1000).cast("long").alias("end_ms"), segment_text(F.col("words"), F.col("text")).alias("text"), "energy")
 
 
-def merge_turns(segments: DataFrame, pause_ms: int = PAUSE_MS, width: int = HOUR) -> DataFrame:
-    """Segments of each call merged into chronological blocks (GRP-1, AGG-4).
+class _Turns:
+    """The scan behind ``merge_turns``: which rows open a block, batch by batch.
 
-    `segments` as of ``distinct_segments``. With two or more speakers in a call a
-    block ends where the speaker changes; with one, where the silence before a
-    segment exceeds `pause_ms`. Returns call_id, block_no (from 1), speaker,
-    start_ms, end_ms (the furthest), energy (the greatest known), segments, text.
-    Null speakers are one speaker. Ties in start go by seq. No rows for no segments.
+    State: call, many (speakers), speaker, seq and furthest end of the last row,
+    number and end of the open block; None for what is not known.
+    """
 
-    Plan: windows over (call, hour) and over one row per hour; a hot call is spread
-    over its hours. Only a block's own segments come together in a task.
+    FIELDS = ("call", "many", "speaker", "reach", "seq", "no", "end")
+
+    def __init__(self, pause_ms: int, state: dict | None):
+        self.pause, self.state = pause_ms, dict(state) if state else dict.fromkeys(self.FIELDS)
+
+    def step(self, b: pa.RecordBatch) -> dict | None:
+        """Of a batch's rows (without heads): their places, what is new, and each block's first row, number and ends."""
+        st = self.state
+        call, kind, seq, end, start = b.column("call_id"), *(b.column(c).to_numpy() for c in ("kind", "seq", "end_ms", "start_ms"))
+        new = np.ones(len(seq), bool)
+        new[1:] = pc.not_equal(call[1:], call[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = call[0].as_py() != st["call"]
+        if new[0]:
+            st.update(dict.fromkeys(self.FIELDS), call=call[0].as_py())
+        group = np.cumsum(new) - new[0]
+        many = np.zeros(int(group[-1]) + 1, bool)
+        many[0] = bool(st["many"])
+        head = kind == 0
+        many[group[head]] = end[head] == 1
+        at = np.flatnonzero(~head)
+        last = call[len(seq) - 1].as_py()
+        if not len(at):
+            if last != st["call"]:
+                st.update(dict.fromkeys(self.FIELDS), call=last)
+            st["many"] = bool(many[-1])
+            return None
+        start, end, seq, group = start[at], end[at], seq[at], group[at]
+        speaker = pc.fill_null(b.column("speaker"), "\0").take(pa.array(at))
+        first = np.empty(len(at), bool)
+        first[1:] = group[1:] != group[:-1]
+        goes_on = st["seq"] is not None and group[0] == 0
+        first[0] = not goes_on
+        before = rangescan.furthest_before(end, first, st["reach"] if goes_on else None)
+        again, turned = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        again[1:], turned[1:] = seq[1:] == seq[:-1], pc.not_equal(speaker[1:], speaker[:-1]).to_numpy(zero_copy_only=False)
+        if goes_on:
+            again[0], turned[0] = seq[0] == st["seq"], speaker[0].as_py() != st["speaker"]
+        again &= ~first
+        opens = first | np.where(many[group], turned, start - before > self.pause)
+        count = np.cumsum(opens)
+        firsts = np.flatnonzero(first)
+        base = np.full(len(at), -(st["no"] or 0))
+        if len(firsts):
+            base[firsts[0] :] = np.repeat(count[firsts] - 1, np.diff(np.append(firsts, len(at))))
+        heads = np.flatnonzero(opens | (np.arange(len(at)) == 0))
+        ends = np.maximum.reduceat(end, heads)
+        if not opens[0]:
+            ends[0] = max(ends[0], st["end"] if st["end"] is not None else ends[0])
+        before_end = np.append(st["end"] if goes_on and st["end"] is not None else ends[0], ends[:-1])
+        interrupts = opens[heads] & ~first[heads] & (start[heads] < before_end)
+        no = count - base
+        own = end[firsts[-1] :].max() if len(firsts) else max(end.max(), st["reach"])
+        self.state = {"call": call[int(at[-1])].as_py(), "many": bool(many[group[-1]]), "speaker": speaker[len(at) - 1].as_py(), "reach": int(own), "seq": int(seq[-1]), "no": int(no[-1]), "end": int(ends[-1])}
+        if last != self.state["call"]:  # the batch ends with the head of another call
+            self.state = dict.fromkeys(self.FIELDS) | {"call": last, "many": bool(many[-1])}
+        return {"at": at, "first": first, "again": again, "opens": opens, "heads": heads, "no": no[heads], "ends": ends, "interrupts": interrupts, "speaker": speaker, "start": start, "seq": seq}
+
+
+def _ends(pause_ms: int, before: dict[int, dict] | None):
+    """Summary of a partition: whether one call that began before fills it, whether a block opens in it, its last state."""
+
+    def summary(batches: Iterator[pa.RecordBatch]):
+        t = _Turns(pause_ms, before.get(TaskContext.get().partitionId()) if before else None)
+        call, alone, opened = None, True, False
+        for b in batches:
+            if b.num_rows:
+                if call is None:
+                    call, alone = b.column("call_id")[0].as_py(), b.column("kind")[0].as_py() != 0
+                got = t.step(b)
+                opened |= got is not None and bool(got["opens"].any())
+        return call and (call, alone and t.state["call"] == call, opened, t.state)
+
+    return summary
+
+
+def _carried(found: list, complete: bool) -> dict[int, dict]:
+    """Prefix fold: the state before each partition. Numbers and ends of blocks hold once `complete`."""
+    out, state = {}, None
+    for pid, (call, alone, opened, own) in found:
+        if state:
+            out[pid] = state
+        if state and alone and call == state["call"]:
+            merged = own | {"many": state["many"], "reach": max(r for r in (own["reach"], state["reach"]) if r is not None) if own["seq"] is not None or state["reach"] is not None else None}
+            if own["seq"] is None:
+                merged = state
+            state = merged if not complete else own
+        else:
+            state = own
+    return out
+
+
+_PART = "call_id {}, block_no long, speaker string, start_ms long, end_ms long, energy double, segments long, seq long, text string, interrupting boolean"
+
+
+def turn_rows(segments: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
+    """Segments of each call merged into chronological blocks, with interruptions (GRP-1, GRP-2, AGG-4, AGG-5).
+
+    `segments`: call_id, seq, speaker, start_ms, end_ms, text, energy. With two or
+    more speakers in a call a block ends where the speaker changes; with one, where
+    the silence before a segment exceeds `pause_ms`. Returns call_id, block_no (from
+    1), speaker, start_ms, end_ms (the furthest), energy (the greatest known),
+    segments, text, and whether the block starts before the one before it has ended
+    (``interrupting``). Null speakers are one speaker. Ties in start go by seq. Rows
+    that repeat a (call_id, seq) at the same start count once, their energy is the
+    greatest. Rows without call_id, seq or start are left out; a null end is the
+    start. No rows for no segments; other columns are not read.
+
+    Plan: one small aggregate (whether a call has several speakers) whose rows are
+    sorted in before their call's, one range shuffle on (call_id, start_ms, seq), and
+    one shuffle of blocks, whose parts from different batches are put together. A hot
+    call is spread over its times.
     """
-    many = segments.groupBy("call_id").agg((F.max(F.coalesce("speaker", F.lit(""))) != F.min(F.coalesce("speaker", F.lit("")))).alias("many"))
-    s = with_order(segments.join(many, "call_id"), "call_id", ["start_ms", "seq"], width, lag={"prev_speaker": "speaker", "prev_seq": "seq"}, reach={"reach": "end_ms"})
-    opens = F.col("prev_seq").isNull() | F.when(F.col("many"), ~F.col("speaker").eqNullSafe(F.col("prev_speaker"))).otherwise(F.col("start_ms") - F.col("reach") > pause_ms)
-    s = with_order(s.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("long")), "call_id", ["start_ms", "seq"], width, total={"block_no": "opens"})
-    parts = F.array_sort(F.collect_list(F.struct("start_ms", "seq", "text")))
-    return s.groupBy("call_id", "block_no").agg(
-        F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("energy").alias("energy"), F.count(F.lit(1)).alias("segments"),
-        F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"),
-    )
+    s = segments.where("call_id is not null and seq is not null and start_ms is not null")
+    said = F.coalesce("speaker", F.lit("\0"))
+    several = s.groupBy("call_id").agg((F.max(said) != F.min(said)).cast("long").alias("end_ms"))
+    rows = s.select("call_id", F.lit(1).cast("byte").alias("kind"), "start_ms", F.col("seq").cast("long").alias("seq"), F.coalesce("end_ms", "start_ms").alias("end_ms"), "speaker", "text", F.col("energy").cast("double").alias("energy"))
+    heads = several.select("call_id", F.lit(0).cast("byte").alias("kind"), F.lit(0).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("seq"), "end_ms")
+    ordered = rangescan.sort_globally(rows.unionByName(heads, allowMissingColumns=True), "call_id", "kind", "start_ms", "seq")
+    narrow = ordered.select("call_id", "kind", "start_ms", "seq", "end_ms", "speaker")
+    # ends and speakers first, then, knowing what precedes each partition, numbers and ends of blocks
+    before = _carried(rangescan.summaries(narrow, _ends(pause_ms, None)), False)
+    counted = rangescan.summaries(narrow, _ends(pause_ms, before))
+    state = None
+    for i, (pid, (call, alone, opened, own)) in enumerate(counted):
+        had = before.get(pid)
+        if had and state and had["call"] == state["call"]:
+            before[pid] = had | {"no": state["no"], "end": state["end"]}
+        if alone and state and state["call"] == call and own["seq"] is not None:
+            own = own | {"no": own["no"] + (state["no"] or 0), "end": own["end"] if opened else max(own["end"], state["end"])}
+        state = own
+
+    def scan(batches: Iterator[pa.RecordBatch], state: dict | None, _: object) -> Iterator[pa.RecordBatch]:
+        t = _Turns(pause_ms, state)
+        for b in batches:
+            got = t.step(b) if b.num_rows else None
+            if got is None:
+                continue
+            at, heads, keep = pa.array(got["at"]), got["heads"], ~got["again"]
+            texts = b.column("text").take(at).to_pylist()
+            energy = np.fmax.reduceat(b.column("energy").take(at).to_numpy(zero_copy_only=False).astype(float), heads)
+            edges = [*heads.tolist(), len(texts)]
+            said = [" ".join(x for x, k in zip(texts[a:z], keep[a:z]) if k and x is not None) for a, z in zip(edges, edges[1:])]
+            first = pa.array(heads)
+            named = b.column("speaker").take(at).take(first)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("call_id").take(at).take(first), pa.array(got["no"], pa.int64()), named, pa.array(got["start"][heads]), pa.array(got["ends"]), pa.array(energy, from_pandas=True), pa.array(np.add.reduceat(keep.astype(np.int64), heads)), pa.array(got["seq"][heads]), pa.array(said, pa.string()), pa.array(got["interrupts"])],
+                ["call_id", "block_no", "speaker", "start_ms", "end_ms", "energy", "segments", "seq", "text", "interrupting"],
+            )
+
+    parts = rangescan.rescan(ordered, scan, {pid: (st, None) for pid, st in before.items()}, _PART.format(segments.schema["call_id"].dataType.simpleString()))
+    whole = parts.groupBy("call_id", "block_no").agg(
+        F.min_by("speaker", F.struct("start_ms", "seq")).alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("energy").alias("energy"), F.sum("segments").alias("segments"),
+        F.array_sort(F.collect_list(F.struct("start_ms", "seq", "text", "segments"))).alias("p"), F.max("interrupting").alias("interrupting"),
+    )
+    text = F.array_join(F.transform(F.filter("p", lambda p: p["segments"] > 0), lambda p: p["text"]), " ")
+    return whole.select("call_id", "block_no", "speaker", "start_ms", "end_ms", "energy", "segments", text.alias("text"), "interrupting")
+
+
+def merge_turns(segments: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
+    """``turn_rows`` without the flag."""
+    return turn_rows(segments, pause_ms).drop("interrupting")
 
 
 def flag_interruptions(blocks: DataFrame, width: int = HOUR) -> DataFrame:
@@ -125,15 +278,23 @@ def pack_regions(periods: DataFrame, max_len: int, merge_gap: int, width: int =
     p = p.withColumn("opens", F.coalesce((F.col("start_ms") - F.col("prev_end") > merge_gap).cast("long"), F.lit(1)))
     p = with_order(p, "call_id", ["start_ms"], width, total={"island": "opens"})
     rows = p.groupBy("call_id", "island").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("r"))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint>>"
+    packed = rows.select("call_id", F.explode(_packed(max_len)(F.transform("r", lambda x: x["start_ms"]), F.transform("r", lambda x: x["end_ms"]))).alias("c"))
+    return packed.select("call_id", F.col("c")[0].alias("start_ms"), F.col("c")[1].alias("end_ms"))
+
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))))
-        return F.when((F.size(done) > 0) & (x["end_ms"] - F.coalesce(F.try_element_at(done, F.lit(-1))["start_ms"], x["start_ms"]) <= max_len), joined).otherwise(F.concat(done, F.array(x)))
+def _packed(max_len: int):
+    """UDF: chunks as [start, end] of neighbouring periods, each as long as `max_len` allows."""
 
-    packed = F.aggregate("r", F.array().cast(kind), lambda done, x: F.when(F.size(done) == 0, F.array(x)).otherwise(step(done, x)))
-    return rows.select("call_id", F.explode(packed).alias("c")).select("call_id", "c.start_ms", "c.end_ms")
+    def fold(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        out: list[list[int]] = []
+        for a, z in zip(starts.tolist(), ends.tolist()):
+            if out and z - out[-1][0] <= max_len:
+                out[-1][1] = z
+            else:
+                out.append([a, z])
+        return out
+
+    return F.pandas_udf(lambda a, z: pd.Series([fold(x, y) for x, y in zip(a, z)]), "array<array<bigint>>")
 
 
 def pack_lines(df: DataFrame, key: str, text: str = "text", limit: int = 6000) -> DataFrame:
@@ -141,13 +302,21 @@ def pack_lines(df: DataFrame, key: str, text: str = "text", limit: int = 6000) -
 
     A line is never split, so a chunk may be longer than the limit. Null and empty texts give none.
     """
-    lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n$", ""), "\n")
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
-
-    def step(s: Column, line: Column) -> Column:
-        full = (F.char_length(s["buf"]) > 0) & (F.char_length(s["buf"]) + F.char_length(line) + 1 > limit)
-        grown = F.when(F.char_length(s["buf"]) > 0, F.concat(s["buf"], F.lit("\n"), line)).otherwise(line)
-        return F.struct(F.when(full, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]).alias("done"), F.when(full, line).otherwise(grown).alias("buf"))
-
-    chunks = F.aggregate(lines, state, step, lambda s: F.when(F.char_length(s["buf"]) > 0, F.concat(s["done"], F.array(s["buf"]))).otherwise(s["done"]))
-    return df.where(F.char_length(text) > 0).select(key, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return df.where(F.char_length(text) > 0).select(key, F.posexplode(_packed_lines(limit)(text)).alias("chunk_no", "chunk"))
+
+
+def _packed_lines(limit: int):
+    def one(text: str) -> list[str]:
+        lines = text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n")
+        out, begun, size = [], 0, 0
+        for i, line in enumerate(lines):
+            if size and size + len(line) + 1 > limit:
+                out.append("\n".join(lines[begun:i]))
+                begun, size = i, len(line)
+            elif size:
+                size += len(line) + 1
+            else:
+                begun, size = i, len(line)  # empty lines in front of a chunk are dropped
+        return [*out, "\n".join(lines[begun:])] if size else out
+
+    return F.pandas_udf(lambda texts: texts.map(one), "array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import formats
 from confab.functions.text import is_blank, match_key, millis, utrim
-from confab.session import spread
+from confab.session import checkpointed, spread
 from confab.operators import catalog, commitlog, echo, edits, evaluate, history, intervals, signals, turns, words
 
 
@@ -35,7 +35,7 @@ def p1_interrupting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.distinct_segments(table(spark, folder, "segments"))
+    return turns.spoken_segments(table(spark, folder, "segments"))
 
 
 def turn_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +43,7 @@ def turn_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turn_interruptions(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.flag_interruptions(turn_blocks(spark, folder)).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
+    return turns.turn_rows(_segments(spark, folder)).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
 
 
 def pause_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pause_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turn_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.markdown(turns.flag_interruptions(turn_blocks(spark, folder)))
+    return turns.markdown(turns.turn_rows(_segments(spark, folder)))
 
 
 def lane_payload(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +86,7 @@ def echo_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 def echo_drop(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks without echoes, flags computed again."""
-    return turns.flag_interruptions(echo.drop_echoes(turn_blocks(spark, folder))).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
+    return turns.flag_interruptions(echo.drop_echoes(checkpointed(turn_blocks(spark, folder)))).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "interrupting")
 
 
 # ---- words ----
