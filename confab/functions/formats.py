@@ -65,16 +65,11 @@ def polish_seconds(audio_seconds: Column | str, enabled: Column | bool = True) -
     return F.when(on & (x != 0), F.lit(POLISH_BASE) + x * POLISH_FACTOR).otherwise(0.0)
 
 
-def polish_share(transcribe: Column | str, polish: Column | str) -> Column:
-    """Share of the clean-up pass in the whole, kept within its limits; 0 without one (FMT-8)."""
-    t, p = _c(transcribe), _c(polish)
-    share = F.least(F.lit(SHARE_MAX), F.greatest(F.lit(SHARE_MIN), F.try_divide(p, t + p)))
-    return F.when((p <= 0) | p.isNull(), 0.0).otherwise(F.coalesce(share, F.lit(SHARE_MIN)))
-
-
-def progress(done: Column | str, total: Column | str) -> Column:
-    """Finished share, from 0 to 1; 0 if the total is unknown (FMT-9, AGG-14)."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(_c(done), _c(total)))), F.lit(0.0))
+def polish_share(transcribe: Column | str, polish: Column | str, enabled: Column | bool = True) -> Column:
+    """Share of the clean-up pass in the whole, kept within its limits; 0 if it is off or nothing is estimated (FMT-8)."""
+    t, p = F.coalesce(_c(transcribe), F.lit(0.0)), F.coalesce(_c(polish), F.lit(0.0))
+    on = enabled if isinstance(enabled, Column) else F.lit(enabled)
+    return F.when(on & (t + p > 0), F.greatest(F.lit(SHARE_MIN), F.least(F.lit(SHARE_MAX), F.try_divide(p, t + p)))).otherwise(0.0)
 
 
 def unit_key(idx: Column | str) -> Column:

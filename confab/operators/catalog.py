@@ -27,10 +27,13 @@ def labelled(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
     return df.join(names, F.col(key) == F.col("_id"), "left").withColumn(out, F.coalesce("_label", key)).drop("_id", "_label")
 
 
+#: How recogniser ids tell their make.
+PARAKEET, GROQ, ELEVENLABS = "parakeet", "groq:", "elevenlabs:"
+
+
 def family(model: Column) -> Column:
-    """Kind of a recogniser by its id: hosted or local, and of which make (PRJ-11)."""
-    m = F.lower(model)
-    return F.when(F.startswith(m, F.lit("cloud:")), "hosted").when(F.contains(m, F.lit("-tdt-")), "transducer").otherwise("encoder-decoder")
+    """Which recogniser an id is sent to (PRJ-11): by the hosts' prefixes, then by a name anywhere in it, else whisper."""
+    return F.when(F.startswith(model, F.lit(GROQ)), "groq").when(F.startswith(model, F.lit(ELEVENLABS)), "elevenlabs").when(F.contains(F.lower(model), F.lit(PARAKEET)), "parakeet").otherwise("whisper")
 
 
 def put(options: Column, key: Column, value: Column, default: Column) -> Column:
@@ -52,7 +55,7 @@ def include(selected: Column, idx: Column, on: Column) -> Column:
 
 def remember(recent: Column, name: Column, most: int = 12) -> Column:
     """The name in front of those used lately, each once; default-looking names are not remembered (ARR-2)."""
-    return F.when(is_blank(name) | name.rlike(r"^(Speaker|Track) \d+$"), recent).otherwise(F.slice(F.array_distinct(F.concat(F.array(name), recent)), 1, most))
+    return F.when(name.isNull() | (name == "") | name.rlike(r"^Speaker \d+$"), recent).otherwise(F.slice(F.array_distinct(F.concat(F.array(name), recent)), 1, most))
 
 
 def place_of(streams: Column, idx: Column) -> Column:
@@ -74,19 +77,40 @@ def needed(pending: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def unhandled(warnings: DataFrame, selected: DataFrame, subtractions: DataFrame) -> DataFrame:
-    """Warnings of which both tracks are selected and none is taken out of the other yet (PRJ-15)."""
+    """Warnings of which both tracks are selected and the component is not taken out of the mix yet (PRJ-15).
+
+    Two takes of one voice stay unhandled whatever is subtracted. `subtractions`:
+    call_id, idx, subtract.
+    """
     s = selected.select("call_id", "idx").distinct()
     w = warnings.join(s.withColumnRenamed("idx", "mix_idx"), ["call_id", "mix_idx"], "left_semi").join(s.withColumnRenamed("idx", "component_idx"), ["call_id", "component_idx"], "left_semi")
-    done = subtractions.select("call_id", F.col("idx").alias("mix_idx"), F.explode("subtract").alias("component_idx"))
-    return w.join(done, ["call_id", "mix_idx", "component_idx"], "left_anti")
+    done = subtractions.select("call_id", F.col("idx").alias("mix_idx"), F.explode("subtract").alias("component_idx")).withColumn("kind", F.lit("contains"))
+    return w.join(done, ["call_id", "mix_idx", "component_idx", "kind"], "left_anti")
 
 
-def track_states(tracks: DataFrame, plan: DataFrame, warnings: DataFrame) -> DataFrame:
-    """State of each track, the first that fits: excluded, skipped_dup, isolated, conflict, clean (PRJ-14)."""
-    both = warnings.select("call_id", F.explode(F.array("mix_idx", "component_idx")).alias("idx")).distinct().withColumn("_w", F.lit(True))
-    p = plan.select("call_id", "idx", "action", "subtract")
-    j = tracks.join(p, ["call_id", "idx"], "left").join(both, ["call_id", "idx"], "left")
-    return j.withColumn("state", F.when(F.col("action").isNull(), "excluded").when(F.col("action") == "drop", "skipped_dup").when(F.size("subtract") > 0, "isolated").when(F.col("_w"), "conflict").otherwise("clean")).drop("_w")
+def _partners(warnings: DataFrame) -> DataFrame:
+    """call_id, idx, other: each end of a warning with the other one."""
+    ends = F.array(F.struct(F.col("mix_idx").alias("idx"), F.col("component_idx").alias("other")), F.struct(F.col("component_idx").alias("idx"), F.col("mix_idx").alias("other")))
+    return warnings.select("call_id", "kind", F.explode(ends).alias("e")).select("call_id", "kind", "e.*")
+
+
+def track_states(tracks: DataFrame, selected: DataFrame, subtractions: DataFrame, warnings: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """State of each track, the first that fits (PRJ-14).
+
+    Of tracks not selected: skipped_dup if it is an exact copy (`duplicates`: call_id,
+    idx, duplicate_of) or another take of a selected one, else excluded. Of the
+    others: conflict if a warning is unhandled, isolated if something is taken out of
+    it, else clean.
+    """
+    keys = ["call_id", "idx"]
+    sel = selected.select(*keys).distinct()
+    take = _partners(warnings).where("kind = 'duplicate'").join(sel.withColumnRenamed("idx", "other"), ["call_id", "other"], "left_semi").select(*keys)
+    twin = take.union(duplicates.where("duplicate_of is not null").select(*keys)).distinct().withColumn("_twin", F.lit(True))
+    open_ = _partners(unhandled(warnings, selected, subtractions)).select(*keys).distinct().withColumn("_open", F.lit(True))
+    less = subtractions.where(F.size("subtract") > 0).select(*keys).distinct().withColumn("_less", F.lit(True))
+    j = tracks.join(sel.withColumn("_sel", F.lit(True)), keys, "left").join(twin, keys, "left").join(open_, keys, "left").join(less, keys, "left")
+    state = F.when(F.col("_sel").isNull(), F.when(F.col("_twin"), "skipped_dup").otherwise("excluded")).when(F.col("_open"), "conflict").when(F.col("_less"), "isolated").otherwise("clean")
+    return j.withColumn("state", state).drop("_sel", "_twin", "_open", "_less")
 
 
 def file_parts(path: Column) -> tuple[Column, Column]:
@@ -103,9 +127,12 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     stem get the free numbers in order of seq.
     """
     w = wanted.withColumn("_k", F.row_number().over(Window.partitionBy("folder", "stem", "suffix").orderBy("seq")))
-    many = w.groupBy("folder", "stem", "suffix").agg(F.max("_k").alias("_n"))
-    used = taken.groupBy("folder").agg(F.count(F.lit(1)).alias("_t"))
-    slots = many.join(used, "folder", "left").select("folder", "stem", "suffix", F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_t", F.lit(0)))).alias("_s"))
+    stems = ["folder", "stem", "suffix"]
+    # of the names in use only those that this stem could get: the stem alone or with a number
+    many = w.groupBy(*stems).agg(F.max("_k").alias("_n"))
+    t = taken.select("folder", "name").distinct().select("folder", "name", F.regexp_extract("name", r"^(.*?)(?: \((?:[2-9]|[1-9]\d+)\))?(\.[^.]*)?$", 1).alias("_b"), F.regexp_extract("name", r"^.*?(?: \((?:[2-9]|[1-9]\d+)\))?(\.[^.]*)?$", 1).alias("suffix"))
+    used = t.groupBy("folder", F.col("_b").alias("stem"), "suffix").agg(F.count(F.lit(1)).alias("_t"))
+    slots = many.join(used, stems, "left").select(*stems, F.explode(F.sequence(F.lit(1), F.col("_n") + F.coalesce("_t", F.lit(0)))).alias("_s"))
     slots = slots.withColumn("name", F.concat("stem", F.when(F.col("_s") > 1, F.concat(F.lit(" ("), F.col("_s").cast("string"), F.lit(")"))).otherwise(""), "suffix"))
     free = slots.join(taken.select("folder", "name"), ["folder", "name"], "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy("folder", "stem", "suffix").orderBy("_s")))
     return w.join(free.select("folder", "stem", "suffix", "_k", "name"), ["folder", "stem", "suffix", "_k"]).drop("_k")

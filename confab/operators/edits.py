@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -32,9 +32,12 @@ def tokens(folded: Column, least: int = 1) -> Column:
 
 
 def contained(raw: Column, edited: Column) -> Column:
-    """Share of the edited tokens that the raw ones hold; 1 if there are none (TXT-10)."""
-    n = F.size(edited)
-    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(edited, lambda w: F.array_contains(raw, w))) / F.greatest(n, F.lit(1)))
+    """Share of the edited tokens that the raw ones hold; 1 if there are none (TXT-10).
+
+    The words that are new are found by hash first, so that no word is looked for in all others.
+    """
+    n, new = F.size(edited), F.array_except(edited, raw)
+    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(edited, lambda w: ~F.array_contains(new, w))) / F.greatest(n, F.lit(1)))
 
 
 def strip_fences(text: Column) -> Column:
@@ -68,13 +71,13 @@ def drift(df: DataFrame, raw: str = "raw", edited: str = "edited") -> DataFrame:
     d = df.withColumn("_r", fold(raw)).withColumn("_e", fold(edited))
     retention = contained(tokens(F.col("_r")), tokens(F.col("_e")))
     novel = F.array_except(tokens(F.col("_e"), 3), tokens(F.col("_r"), 3))
-    old = numbers(F.col(raw))
+    new = F.array_except(numbers(F.col(edited)), numbers(F.col(raw)))
     return d.select(
         *df.columns,
         (F.char_length(edited) / F.greatest(F.char_length(raw), F.lit(1))).alias("length_ratio"),
         retention.alias("retention"),
         novel.alias("novel_words"),
-        F.filter(numbers(F.col(edited)), lambda n: ~F.array_contains(old, n)).alias("novel_numbers"),
+        F.filter(numbers(F.col(edited)), lambda n: F.array_contains(new, n)).alias("novel_numbers"),
     ).drop("_r", "_e")
 
 
@@ -106,20 +109,33 @@ def compression(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else len(t) / max(1, len(zlib.compress(t.encode()))))
 
 
-def gated(raw: str, edited: str) -> str:
-    """The edited text, but stretches that bring in a word of three letters or more are as before (TXT-15)."""
-    a, b = raw.split(), edited.split()
-    known = {re.sub(r"[\W_]", "", _plain(w)) for w in a}
-    out: list[str] = []
-    for kind, i, j, k, m in SequenceMatcher(None, [_plain(w) for w in a], [_plain(w) for w in b], autojunk=False).get_opcodes():
-        new = b[k:m]
-        novel = any(len(w) >= 3 and w not in known for w in (re.sub(r"[\W_]", "", _plain(x)) for x in new))
-        out += a[i:j] if kind != "equal" and novel else new
-    return " ".join(out)
+def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with chars, words, repeat_5gram (4 places), compression (3 places) and hits (TXT-12)."""
+    t = F.coalesce(text, F.lit(""))
+    n, share = repetition(t)
+    return df.withColumns({"chars": F.char_length(t), "words": n, "repeat_5gram": F.bround(share, 4), "compression": F.bround(compression(t), 3), "hits": phrase_hits(t)})
 
 
 def _plain(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+    """Letters and digits of a word in small letters without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalnum())
+
+
+def gated(raw: str, edited: str) -> str:
+    """The edited text without stretches that bring in a word of three letters or more (TXT-15).
+
+    Such stretches are as before; words taken out stay out. A text of more than
+    LENGTH_LIMIT times the length, or of which nothing is left, is as before as a whole.
+    """
+    if len(edited) > LENGTH_LIMIT * max(1, len(raw)):
+        return raw
+    old, new = raw.split(), edited.split()
+    known = {w for w in map(_plain, old) if len(w) >= 3}
+    strange = [len(p := _plain(w)) >= 3 and p not in known for w in new]
+    pieces = (
+        old[i:j] if kind in ("replace", "insert") and any(strange[k:m]) else new[k:m] for kind, i, j, k, m in SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
+    )
+    return " ".join(w for piece in pieces for w in piece) or raw
 
 
 @F.pandas_udf(T.StringType())
@@ -128,6 +144,56 @@ def gate_edits(raw: pd.Series, edited: pd.Series) -> pd.Series:
     return pd.Series([r if e is None or r is None else gated(r, e) for r, e in zip(raw, edited)])
 
 
+def edits_of(old: list[str], new: list[str]) -> dict[tuple[int, bool], tuple[str, ...]]:
+    """What an edit puts at each place (TXT-16): (i, True) in the gap before word i, (i, False) instead of word i.
+
+    Places that are not listed stay as they are; a replacement stands at its first word, the others are empty.
+    """
+    out: dict[tuple[int, bool], tuple[str, ...]] = {}
+    for kind, i, j, k, m in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+        if kind == "insert":
+            out[i, True] = tuple(new[k:m])
+        elif kind != "equal":
+            out.update({(p, False): () for p in range(i, j)})
+            out[i, False] = tuple(new[k:m])
+    return out
+
+
+def agreed(raw: str, candidates: list[str], need: int = 2) -> str:
+    """The raw text with those edits that at least `need` candidates make alike (TXT-16)."""
+    old = raw.split()
+    votes = [edits_of(old, c.split()) for c in candidates]
+
+    def at(i: int, gap: bool, otherwise: tuple[str, ...]) -> tuple[str, ...]:
+        (value, n), *_ = Counter(v.get((i, gap), otherwise if not gap else ()) for v in votes).most_common(1)
+        return value if n >= need else otherwise
+
+    words = [w for i, own in enumerate(old) for w in (*at(i, True, ()), *at(i, False, (own,)))]
+    return " ".join([*words, *at(len(old), True, ())]) or raw
+
+
+def ensemble(need: int = 2):
+    """UDF (raw, candidates ARRAY<STRING>): `agreed`; null candidates are left out, without any the raw text stays."""
+
+    def one(raw: str | None, candidates) -> str | None:
+        given = [c for c in (candidates if candidates is not None else []) if c is not None]
+        return agreed(raw, given, need) if raw and given else raw
+
+    return F.pandas_udf(lambda r, c: pd.Series([one(x, y) for x, y in zip(r, c)]), T.StringType())
+
+
+def judge_payload(pairs: DataFrame, *keys: str, order: str = "block_no", labels: tuple[str, str] = ("RAW", "EDITED")) -> DataFrame:
+    """Per group one text with its raw and edited texts side by side, numbered from 1 (TXT-18)."""
+    parts = F.array_sort(F.collect_list(F.struct(order, "raw", "edited")))
+    line = F.transform("p", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit(f"] {labels[0]}: "), x["raw"], F.lit("\n["), (i + 1).cast("string"), F.lit(f"] {labels[1]}: "), x["edited"]))
+    return pairs.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.array_join(line, "\n\n").alias("payload"))
+
+
+def looks_failed(df: DataFrame, *keys: str, raw: str = "raw", edited: str = "edited", least: int = 120) -> DataFrame:
+    """Per group, whether a long text came back as it was, which is what a failed request leaves (SNK-13)."""
+    return df.groupBy(*keys).agg(F.bool_or((F.char_length(raw) > least) & (F.col(raw) == F.col(edited))).alias("failed"))
+
+
 def vote(df: DataFrame, keys: list[str], value: str, order: str, need: int = 2) -> DataFrame:
     """The value with most votes in each group, if at least `need`; the first seen among equals (AGG-10, TXT-16)."""
     n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("votes"), F.min(order).alias("_first"))

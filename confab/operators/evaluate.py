@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def metrics(runs: DataFrame, duration: str = "duration", elapsed: str = "elapsed") -> DataFrame:
@@ -19,20 +20,55 @@ def fastest_first(runs: DataFrame, seconds: str = "elapsed") -> DataFrame:
     return runs.withColumn("place", F.row_number().over(w)).withColumn("fastest", F.coalesce(good["id"] == F.col("id"), F.lit(False)))
 
 
-def judged(scores: DataFrame, keys: list[str], counts: list[str], means: list[str]) -> DataFrame:
-    """Judges' runs per variant: medians of counts, means of scores, their spread (AGG-9, AGG-15).
+def judged(scores: DataFrame, keys: list[str], counts: list[str], means: list[str], examples: list[str] = [], order: str = "run") -> DataFrame:
+    """Judges' runs per variant (AGG-9, AGG-15): medians of counts with their spread, means of scores, to two places, and examples.
 
-    Values that are no numbers are left out.
+    Columns that are not numeric have no value here: a text "3" is no number. Halves
+    go to the even digit. `examples` are arrays; the first three of each of the first
+    two runs (by `order`) are kept.
     """
+    numeric = {f.name for f in scores.schema if isinstance(f.dataType, NumericType)}
+    value = lambda c: F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
     aggs = [F.count(F.lit(1)).alias("runs")]
     for c in counts:
-        aggs.append(F.median(F.col(c).try_cast("double")).alias(f"{c}_median"))
-    for c in means:
-        v = F.col(c).try_cast("double")
-        aggs += [F.avg(v).alias(f"{c}_mean"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max")]
+        aggs += [F.bround(F.median(value(c)), 2).alias(f"{c}_median"), F.min(value(c)).alias(f"{c}_min"), F.max(value(c)).alias(f"{c}_max")]
+    aggs += [F.bround(F.avg(value(c)), 2).alias(f"{c}_mean") for c in means]
+    for c in examples:
+        two = F.slice(F.array_sort(F.collect_list(F.struct(order, F.slice(F.coalesce(c, F.array()), 1, 3).alias("x")))), 1, 2)
+        aggs.append(F.flatten(F.transform(two, lambda r: r["x"])).alias(f"{c}_examples"))
     return scores.groupBy(*keys).agg(*aggs)
 
 
+def gate_of(fabricated: Column, hallucinations: Column) -> Column:
+    """Whether a variant made something up: a number, or at the median a claim (AGG-15)."""
+    return (F.size(F.coalesce(fabricated, F.array())) > 0) | (F.coalesce(hallucinations, F.lit(0.0)) > 0)
+
+
+def keep_first(configs: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """Of rows that agree in `keys` the first by `order` (PRJ-17); null keys are equal."""
+    rest = [c for c in configs.columns if c not in keys]
+    g = configs.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return g.select(*(F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in configs.columns))
+
+
+def excerpt(blocks: DataFrame, key: str = "call_id", before: int = 22, after: int = 1) -> DataFrame:
+    """The stretch around the longest block of each group, the first of equals (PRJ-16). `blocks`: key, block_no (running), text."""
+    top = blocks.groupBy(key).agg(F.max_by("block_no", F.struct(F.char_length("text"), -F.col("block_no"))).alias("_top"))
+    return blocks.join(top, key).where(F.col("block_no").between(F.col("_top") - before, F.col("_top") + after)).drop("_top")
+
+
+def judge_bundle(runs: DataFrame) -> DataFrame:
+    """Per track its candidates under letters: track, body, key (SNK-17). `runs`: track, config, text, note.
+
+    Letters go on from Z as they are numbered: AA, AB and so on.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("config", "text", "note")))
+    letter = lambda i: F.concat(F.when(i >= 26, F.char(F.lit(64) + F.floor(i / 26))).otherwise(""), F.char(F.lit(65) + i % 26))
+    body = F.transform("p", lambda x, i: F.concat(F.lit("\n\n===== CANDIDATE "), letter(i), F.lit(" =====\n"), F.trim(x["text"])))
+    key = F.transform("p", lambda x, i: F.concat(letter(i), F.lit(" = "), x["config"], F.lit("  ("), x["note"], F.lit(")")))
+    return runs.groupBy("track").agg(parts.alias("p")).select("track", F.array_join(body, "").alias("body"), F.array_join(key, "\n").alias("key"))
+
+
 def quality(*axes: str) -> Column:
     """Mean of the axes that are known; 0 if none is."""
     known = F.array_compact(F.array(*axes))

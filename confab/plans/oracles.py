@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the same rows as the query of that name."""
 
+from confab.plans import signal_oracles
+
 _WS = r"[\s\x0b\x{85}\p{Z}]"
 _NOT_BLANK = r"regexp_matches({}, '[^\s\x0b\x{{85}}\p{{Z}}]')"
 
@@ -72,16 +74,6 @@ def _clock(x: str, lead: str) -> str:
     return f"CASE WHEN {x} >= 3600 THEN printf('{lead}:%02d:%02d', {x} // 3600, {x} % 3600 // 60, {x} % 60) ELSE printf('{lead}:%02d', {x} // 60, {x} % 60) END"
 
 
-_TRACK = """
-  v AS (SELECT vec_id // 3 AS call_id, CAST(vec_id % 3 AS INT) AS idx, CAST(embedding AS DOUBLE[]) AS samples FROM embeddings),
-  t AS (
-    SELECT * FROM v UNION ALL
-    SELECT a.call_id, 3, list_transform(a.samples, lambda x, i: x + b.samples[i]) FROM v a JOIN v b ON a.call_id = b.call_id AND a.idx = 0 AND b.idx = 1),
-  act AS (
-    SELECT *, sqrt(list_dot_product(samples, samples) / len(samples)) AS rms,
-      list_transform(range(1, len(samples) - 6, 4), lambda s: sqrt(list_dot_product(samples[s:s + 7], samples[s:s + 7]) / 8) > 0.9 * (sqrt(list_dot_product(samples, samples) / len(samples)) + 1e-12)) AS act
-    FROM t)"""
-
 SQL = {
     "p1_found": f"""WITH {_PERIODS}
         SELECT call_id, 'period' AS kind, start_ms, end_ms FROM period
@@ -193,22 +185,11 @@ SQL = {
         SELECT doc_id, CAST(len(w) AS INT) AS words, CASE WHEN len(w) >= 5 THEN round(1.0 - len(list_distinct(g)) / len(g), 6) ELSE 0.0 END AS repeated FROM g""",
     "phrase_hits": """SELECT doc_id, array_to_string(list_filter(['titulky', 'amara.org', 'děkuji za pozornost', 'thank you for watching', 'přepis', 'www.', '.cz/titulky', 'produkce', 'český rozhlas'], lambda p: contains(lower(text), p)), '|') AS hits
         FROM documents WHERE text IS NOT NULL""",
-    "track_levels": f"WITH {_TRACK} SELECT call_id, idx, round(rms, 6) AS rms, CAST(len(list_filter(act, lambda x: x)) AS INT) AS active, CAST(len(act) AS INT) AS windows FROM act",
-    "pair_corr_gain": f"""WITH {_TRACK},
-        p AS (SELECT a.call_id, a.idx AS a_idx, b.idx AS b_idx, a.samples AS x, b.samples AS y, a.act AS p, b.act AS q FROM act a JOIN act b ON a.call_id = b.call_id AND a.idx < b.idx),
-        m AS (SELECT *, len(x) AS n, list_avg(x) AS mx, list_avg(y) AS my, len(list_filter(p, lambda u: u)) AS own, len(list_filter(p, lambda u, i: u AND q[i])) AS shared FROM p)
-        SELECT call_id, a_idx, b_idx, round((list_dot_product(x, y) - n * mx * my) / sqrt((list_dot_product(x, x) - n * mx * mx) * (list_dot_product(y, y) - n * my * my)), 6) AS corr,
-          round(list_dot_product(x, y) / (list_dot_product(y, y) + 1e-12), 6) AS gain, CASE WHEN own = 0 THEN 0.0 ELSE round(shared / own, 6) END AS inside FROM m""",
-    "envelope": f"""WITH {_TRACK}, e AS (SELECT call_id, idx, list_transform(range(0, 16), lambda i: sqrt(list_dot_product(samples[i * 4 + 1:i * 4 + 4], samples[i * 4 + 1:i * 4 + 4]) / 4)) AS e FROM t)
-        SELECT call_id, idx, CAST(b AS INT) AS bucket, round(least(1.0, e[b + 1] / list_max(e)), 6) AS level FROM (SELECT *, unnest(range(0, 16)) AS b FROM e)""",
-    "isolate_residual": f"""WITH {_TRACK},
-        p AS (SELECT m.call_id, m.samples AS m, r.samples AS r, list_dot_product(m.samples, r.samples) / list_dot_product(r.samples, r.samples) AS g FROM t m JOIN t r ON m.call_id = r.call_id AND m.idx = 3 AND r.idx = 0)
-        SELECT call_id, round(sqrt(greatest(0, (list_dot_product(m, m) - 2 * g * list_dot_product(m, r) + g * g * list_dot_product(r, r)) / len(m))), 6) AS rms FROM p""",
     "track_names": f"""WITH d AS (SELECT DISTINCT call_id, idx, title FROM tracks), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY call_id ORDER BY idx) AS INT) AS position, count(*) OVER (PARTITION BY call_id) > 1 AS several FROM d)
         SELECT call_id, idx, position, several, CASE WHEN {_NOT_BLANK.format("title")} THEN title ELSE 'Speaker ' || position END AS name, 'track' || idx AS unit FROM n""",
     "file_catalog": rf"""WITH {_HIST}, f AS (SELECT id, model, regexp_extract(source_path, '([^/]*)$', 1) AS name FROM h)
         SELECT id, CASE WHEN name LIKE '_%.%' THEN regexp_extract(name, '^(.+)\.[^.]*$', 1) ELSE name END AS stem, lower(regexp_extract(name, '^.+(\.[^.]+)$', 1)) AS suffix,
-          CASE WHEN lower(model) LIKE 'cloud:%' THEN 'hosted' WHEN lower(model) LIKE '%-tdt-%' THEN 'transducer' ELSE 'encoder-decoder' END AS family FROM f""",
+          CASE WHEN model LIKE 'groq:%' THEN 'groq' WHEN model LIKE 'elevenlabs:%' THEN 'elevenlabs' WHEN lower(model) LIKE '%parakeet%' THEN 'parakeet' ELSE 'whisper' END AS family FROM f""",
     "name_suffix": rf"""WITH {_HIST},
         w AS (SELECT id AS seq, regexp_extract(source_path, '^(.*)/', 1) AS folder, regexp_extract(source_path, '([^/]+)\.[^./]*$', 1) AS stem FROM h),
         k AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY seq) + CASE WHEN bool_or(seq % 10 = 0) OVER (PARTITION BY folder, stem) THEN 1 ELSE 0 END AS n FROM w)
@@ -216,3 +197,5 @@ SQL = {
     "front_matter": f"""WITH {_HIST} SELECT id, '---' || chr(10) || 'source: ' || source_path || chr(10) || 'model: ' || model || chr(10) || 'language: ' || coalesce(nullif(language, ''), 'auto') || chr(10) || 'transcribed_at: ' || started_at || chr(10)
           || 'elapsed_seconds: ' || CAST(round_even(elapsed_seconds, 0) AS BIGINT) || chr(10) || '---' || chr(10) AS head FROM h WHERE elapsed_seconds IS NOT NULL""",
 }
+
+SQL |= signal_oracles.SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from confab.functions import formats
 from confab.functions.text import is_blank, match_key, millis, utrim
 from confab.session import checkpointed, spread
-from confab.operators import catalog, commitlog, echo, edits, evaluate, history, intervals, signals, turns, words
+from confab.operators import bleed, catalog, commitlog, echo, edits, evaluate, history, intervals, separation, signals, turns, words
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -287,56 +287,137 @@ def edit_gate(spark: SparkSession, folder: str) -> DataFrame:
 # ---- signals ----
 
 
-def _tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors as tracks, three to a call, and a fourth that is the sum of the first two."""
-    v = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("call_id"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.col("embedding").cast("array<double>").alias("samples"))
-    a, b = v.where("idx = 0").select("call_id", F.col("samples").alias("x")), v.where("idx = 1").select("call_id", F.col("samples").alias("y"))
-    mix = a.join(b, "call_id").select("call_id", F.lit(3).alias("idx"), F.zip_with("x", "y", lambda p, q: p + q).alias("samples"))
-    return v.unionByName(mix)
+#: Samples a second of the tracks made of vectors: a vector of 64 is a chunk of 125 ms.
+RATE = 512
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as tracks of 8 s, three to a call, silent at times; a fourth is the sum of the first two, a fifth another take of the third."""
+    n = F.col("vec_id")
+    quiet = F.when((F.floor(n / 12) + n % 3) % 3 == 0, 0.02).otherwise(1.0)
+    v = table(spark, folder, "embeddings").select(F.floor(n / 192).alias("call_id"), (n % 3).cast("int").alias("idx"), (F.floor(n / 3) % 64).alias("chunk"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * quiet).alias("samples"))
+    a, b = v.where("idx = 0").select("call_id", "chunk", F.col("samples").alias("x")), v.where("idx = 1").select("call_id", "chunk", F.col("samples").alias("y"))
+    mix = a.join(b, ["call_id", "chunk"]).select("call_id", F.lit(3).alias("idx"), "chunk", F.zip_with("x", "y", lambda p, q: p + q).alias("samples"))
+    take = v.where("idx = 2").select("call_id", F.lit(4).alias("idx"), "chunk", F.transform("samples", lambda x: x * 0.97).alias("samples"))
+    return v.unionByName(mix).unionByName(take)
 
 
 def track_levels(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tracks(spark, folder)
-    on = signals.active(F.col("samples"), 8, 4, 0.9)
-    return t.select("call_id", "idx", F.round(signals.rms(F.col("samples")), 6).alias("rms"), F.size(F.filter(on, lambda x: x)).alias("active"), F.size(on).alias("windows"))
+    c = _chunks(spark, folder)
+    on = signals.activity(c, signals.hop(RATE)).groupBy("call_id", "idx").agg(F.count_if("active").cast("int").alias("active"), F.count(F.lit(1)).cast("int").alias("windows"))
+    return signals.levels(c).join(on, ["call_id", "idx"]).select("call_id", "idx", F.round("rms", 6).alias("rms"), "active", "windows")
 
 
 def pair_corr_gain(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tracks(spark, folder).withColumn("on", signals.active(F.col("samples"), 8, 4, 0.9))  # once a track, not once a pair
-    a, b = t.select("call_id", F.col("idx").alias("a_idx"), F.col("samples").alias("a"), F.col("on").alias("x")), t.select(F.col("call_id").alias("c"), F.col("idx").alias("b_idx"), F.col("samples").alias("b"), F.col("on").alias("y"))
-    p = a.join(b, (F.col("call_id") == F.col("c")) & (F.col("a_idx") < F.col("b_idx")))
-    return p.select("call_id", "a_idx", "b_idx", F.round(signals.correlation(F.col("a"), F.col("b")), 6).alias("corr"), F.round(signals.gain(F.col("a"), F.col("b")), 6).alias("gain"), F.round(signals.containment(F.col("x"), F.col("y")), 6).alias("inside"))
+    s = signals.pair_stats(_chunks(spark, folder), signals.hop(RATE))
+    return s.select("call_id", "a_idx", "b_idx", *(F.round(c, 6).alias(c) for c in ("corr", "g_b_in_a", "g_a_in_b", "resid", "a_given_b", "b_given_a")))
 
 
 def envelope(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tracks(spark, folder)
-    return t.select("call_id", "idx", F.posexplode(signals.envelope(F.col("samples"), 16)).alias("bucket", "level")).withColumn("level", F.round("level", 6))
+    e = signals.envelope(_chunks(spark, folder), 16, signals.hop(RATE))
+    return e.select("call_id", "idx", F.col("bucket").cast("int").alias("bucket"), F.round("level", 6).alias("level"))
+
+
+def _warnings(spark: SparkSession, folder: str) -> DataFrame:
+    return signals.shared_voices(signals.pair_stats(_chunks(spark, folder), signals.hop(RATE)))
 
 
 def shared_voice(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.shared_voices(signals.pair_stats(_tracks(spark, folder), 32, 16, 8, 4))
+    return _warnings(spark, folder).withColumn("drop_db", F.round("drop_db", 4))
+
+
+def _selected(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunks(spark, folder).select("call_id", "idx").distinct()
+
+
+def _plan(spark: SparkSession, folder: str) -> DataFrame:
+    return separation.resolve(_selected(spark, folder), checkpointed(_warnings(spark, folder)))
+
+
+def _listed(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
 
 
 def resolve_plan(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tracks(spark, folder)
-    return signals.resolve(t, shared_voice(spark, folder))
+    return _plan(spark, folder).select("call_id", "idx", "action", _listed("subtract"))
+
+
+def _given_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """Warnings made up for every call of the tracks table: the second track holds the first, the third is a take of the second."""
+    t = catalog.named_tracks(table(spark, folder, "tracks")).select("call_id", "idx", "position")
+    first = t.where("position = 1").select("call_id", F.col("idx").alias("one"))
+    pair = t.where("position in (2, 3)").join(t.select("call_id", (F.col("position") + 1).alias("position"), F.col("idx").alias("before")), ["call_id", "position"]).join(first, "call_id")
+    holds = F.col("position") == 2
+    return pair.select("call_id", F.col("idx").alias("mix_idx"), F.when(holds, F.col("one")).otherwise(F.col("before")).alias("component_idx"), F.when(holds, "contains").otherwise("duplicate").alias("kind"), F.lit(0.0).alias("drop_db"))
+
+
+def given_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Plans of real calls over made-up warnings, where every fifth call's user has chosen and every seventh has a saved plan."""
+    sel = table(spark, folder, "tracks").select("call_id", "idx").distinct()
+    detected = separation.resolve(sel, _given_warnings(spark, folder))
+    no = F.regexp_extract("call_id", r"(\d+)$", 1).try_cast("int")
+    saved = detected.where(no % 7 == 0).select("call_id", "idx", F.lit("keep").alias("action"), F.array().cast("array<int>").alias("subtract"))
+    chosen = sel.where(no % 5 == 0).select("call_id", "idx", F.array("idx").alias("subtract"))
+    return separation.applied(sel, saved, chosen, detected).select("call_id", "idx", "action", _listed("subtract"), "origin")
+
+
+def track_roster(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(spark, folder, "tracks")
+    plan = separation.resolve(t.select("call_id", "idx").distinct(), _given_warnings(spark, folder))
+    return separation.roster(t, plan).select("call_id", "idx", "audio", "place", "name", "lane", "ghost", _listed("removes"), "set_aside", "start")
+
+
+def track_states(spark: SparkSession, folder: str) -> DataFrame:
+    """States under the made-up warnings where nothing is subtracted in every second call and the last track of every third is off."""
+    t = catalog.named_tracks(table(spark, folder, "tracks"))
+    no, w = F.coalesce(F.regexp_extract("call_id", r"(\d+)$", 1).try_cast("int"), F.lit(0)), _given_warnings(spark, folder)
+    last = t.groupBy("call_id").agg(F.max("idx").alias("last"))
+    sel = t.join(last, "call_id").where(~((no % 3 == 0) & (F.col("idx") == F.col("last")) & F.col("several"))).select("call_id", "idx")
+    subs = separation.resolve(sel, w).where(no % 2 == 1).select("call_id", "idx", "subtract").where(F.size("subtract") > 0)
+    none = t.limit(0).select("call_id", "idx", F.col("idx").alias("duplicate_of"))
+    return catalog.track_states(t, sel, subs, w, none).select("call_id", "idx", "state")
 
 
 def track_roles(spark: SparkSession, folder: str) -> DataFrame:
-    return signals.classify(_tracks(spark, folder), 8, 4)
+    return signals.classify(_chunks(spark, folder), signals.hop(RATE)).select("call_id", "idx", "kind", _listed("refs"), "duplicate_of")
 
 
 def isolate_residual(spark: SparkSession, folder: str) -> DataFrame:
-    """The fourth track of each call without the first."""
-    t = _tracks(spark, folder)
-    m, r = t.where("idx = 3").select("call_id", F.col("samples").alias("m")), t.where("idx = 0").select("call_id", F.col("samples").alias("r"))
-    left = m.join(r, "call_id").withColumn("rest", signals.isolate("m", F.array("r")))
-    return left.select("call_id", F.round(signals.rms(F.col("rest")), 6).alias("rms"))
+    """The fourth track of each call without the first, level of what is left."""
+    c = _chunks(spark, folder)
+    plan = c.select("call_id").distinct().select("call_id", F.lit(3).alias("idx"), F.array(F.lit(0)).alias("refs"))
+    return signals.levels(signals.isolate(c, plan)).select("call_id", F.round("rms", 6).alias("rms"))
 
 
 def first_speech(spark: SparkSession, folder: str) -> DataFrame:
-    t = _tracks(spark, folder)
-    return t.select("call_id", "idx", F.round(signals.first_speech(F.transform("samples", lambda x: F.abs(x))), 6).alias("at"))
+    h = signals.half_seconds(_chunks(spark, folder))
+    return h.select("call_id", "idx", F.round(signals.first_speech(F.col("levels")), 6).alias("at"))
+
+
+def segment_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of stretches of a second and a bit from each track."""
+    t = _selected(spark, folder)
+    s = t.select("call_id", "idx", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("call_id", "idx", "k", (F.col("k") * 1.03).alias("start"), (F.col("k") * 1.03 + 1.21).alias("end"))
+    return signals.segment_energy(s, _chunks(spark, folder), RATE).select("call_id", "idx", "k", F.round("energy", 6).alias("energy"))
+
+
+def envelope_twins(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracks whose envelope an earlier one has too."""
+    e = signals.envelope(_chunks(spark, folder), 16, signals.hop(RATE))
+    levels = e.groupBy("call_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels"))
+    return separation.twins(levels.withColumn("channel", F.lit(0)))
+
+
+def bleed_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on each pair of tracks."""
+    d = bleed.decide(bleed.analyse(checkpointed(bleed.window_lags(_chunks(spark, folder), RATE)), RATE))
+    return d.select("call_id", "a_idx", "b_idx", F.round("rho", 6).alias("rho"), "lag", "direction", F.round("consistency", 6).alias("consistency"), F.round("symmetry", 6).alias("symmetry"), "n_active", "verdict", "tier")
+
+
+def bleed_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of the verdicts per pair of positions."""
+    s = bleed.sweep(bleed_verdicts(spark, folder), "a_idx", "b_idx")
+    return s.select("a_idx", "b_idx", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "max")), "auto_clean", "ask", "refuse", "tier", "sure")
 
 
 # ---- catalogue ----
@@ -372,7 +453,7 @@ QUERIES = {
         p1_found, p1_interrupting, turn_blocks, turn_interruptions, pause_blocks, turn_markdown, lane_payload, batch5, context_window, region_pack, line_pack, echo_candidates, echo_drop,
         spacing_tokens, word_coalesce, token_words, word_bucket, segment_times, realign, eta_by_model_language, history_latest200, recent_success60, latest_turns, stored_turns, resumable_jobs,
         committed_log, format_all, bench_metrics, judge_aggregate, gated_rank, majority_vote, rating_upsert, norm_text, fold_text, containment_accept, drift_metrics, drift_report, repetition_5gram,
-        phrase_hits, compression_ratio, edit_gate, track_levels, pair_corr_gain, envelope, shared_voice, resolve_plan, track_roles, isolate_residual, first_speech, track_names, file_catalog,
+        phrase_hits, compression_ratio, edit_gate, track_levels, pair_corr_gain, envelope, shared_voice, resolve_plan, given_plan, track_roster, track_states, track_roles, isolate_residual, first_speech, segment_levels, envelope_twins, bleed_verdicts, bleed_sweep, track_names, file_catalog,
         name_suffix, front_matter,
     )
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,22 +64,110 @@ def sample_range(samples: Column, rate: int, start: float = 0.0, seconds: float
     return F.slice(samples, begin + 1, int(seconds * rate) if seconds is not None else F.greatest(F.size(samples) - begin, F.lit(0)))
 
 
-TURN = r"(?s)\*\*(.+?)\*\* \[(\d{1,2}:\d{2}(?::\d{2})?)\]( \(interrupting\))?\n(.+?)(?=\n\n\*\*|\z)"
+def _head(line: str) -> tuple[str, str, str] | None:
+    """Speaker, time and what follows, of a line that heads a turn: a name in two stars each side, a time in brackets."""
+    if not line.startswith("**"):
+        return None
+    name, stars, rest = line[2:].partition("**")
+    rest = rest.lstrip()
+    clock, bracket, tail = rest[1:].partition("]")
+    digits = clock.split(":")
+    timed = len(digits) in (2, 3) and all(d.isascii() and d.isdigit() for d in digits) and len(digits[0]) <= 2 and all(len(d) == 2 for d in digits[1:])
+    return (name.strip(), clock, tail) if stars and name and rest.startswith("[") and bracket and timed else None
+
+
+def _read_transcript(text: str) -> tuple[str, list[tuple]]:
+    """Front matter, and (speaker, ts, tail, body) of each turn of a written transcript, read line by line."""
+    lines = text.splitlines()
+    front, at = [], 0
+    if text.startswith("---"):
+        end = next((i for i, line in enumerate(lines[1:], 1) if line.startswith("---")), None)
+        if end is not None:
+            front, at = lines[: end + 1], end + 1
+    turns: list[tuple] = []
+    for line in lines[at:]:
+        if head := _head(line.strip()):
+            turns.append((*head, []))
+        elif turns:
+            turns[-1][3].append(line)
+    return "\n".join(front), [(s, c, tail, "\n".join(b).strip()) for s, c, tail, b in turns]
+
+
+_TURN = "array<struct<speaker:string,ts:string,tail:string,body:string>>"
+
+
+def parsed_transcripts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, front, turns of written transcripts (SRC-16). Null texts have an empty front and no turns."""
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in pages:
+            read = [_read_transcript(t or "") for t in p[text]]
+            yield pd.DataFrame({key: p[key], "front": [f for f, _ in read], "turns": [[dict(zip(("speaker", "ts", "tail", "body"), t)) for t in ts] for _, ts in read]})
+
+    return docs.select(key, text).mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, front string, turns {_TURN}")
 
 
 def transcript_turns(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Turns of written transcripts: key, turn_no, speaker, ts, interrupting, text (SRC-15).
 
-    A front matter is skipped. A text without turns gives its paragraphs, with empty speaker and time.
+    A front matter is skipped, and so are turns without text. A text without turns
+    gives its paragraphs, with empty speaker and time; blank texts give none.
     """
-    body = F.when(F.startswith(text, F.lit("---")), F.regexp_replace(text, r"(?s)\A---.*?---", "")).otherwise(F.col(text))
-    d = docs.where(~is_blank(text)).select(key, body.alias("body"))
-    heads = lambda g: F.regexp_extract_all("body", F.lit(TURN), F.lit(g))
-    d = d.select(key, "body", F.arrays_zip(heads(1).alias("speaker"), heads(2).alias("ts"), heads(3).alias("mark"), heads(4).alias("said")).alias("t"))
-    paragraphs = F.filter(F.transform(F.split(utrim("body"), "\n\n"), lambda p: utrim(p)), lambda p: p != "")
-    plain = F.transform(paragraphs, lambda p: F.struct(F.lit("").alias("speaker"), F.lit("").alias("ts"), F.lit("").alias("mark"), p.alias("said")))
-    d = d.select(key, F.posexplode(F.when(F.size("t") > 0, F.col("t")).otherwise(plain)).alias("turn_no", "t"))
-    return d.select(key, "turn_no", "t.speaker", "t.ts", (F.col("t.mark") != "").alias("interrupting"), utrim("t.said").alias("text"))
+    d = parsed_transcripts(docs.where(~is_blank(text)), key, text)
+    own = docs.where(~is_blank(text)).select(F.col(key).alias("_k"), F.col(text).alias("_t")).distinct()
+    said = F.filter("turns", lambda t: t["body"] != "")
+    with_turns = d.where(F.size(said) > 0).select(key, F.posexplode(said).alias("turn_no", "t"))
+    with_turns = with_turns.select(key, "turn_no", "t.speaker", "t.ts", F.startswith(F.col("t.tail"), F.lit(" (interrupting)")).alias("interrupting"), F.col("t.body").alias("text"))
+    # of the others the paragraphs behind the front matter
+    body = F.when(F.startswith("_t", F.lit("---")), F.regexp_replace("_t", r"(?s)\A---.*?---", "")).otherwise(F.col("_t"))
+    plain = own.join(d.where(F.size(said) > 0).select(F.col(key).alias("_k")), "_k", "left_anti").select(F.col("_k").alias(key), F.split(utrim(body), "\n\n").alias("p"))
+    plain = plain.select(key, F.posexplode(F.filter(F.transform("p", lambda x: utrim(x)), lambda x: x != "")).alias("turn_no", "text"))
+    return with_turns.unionByName(plain.select(key, "turn_no", F.lit("").alias("speaker"), F.lit("").alias("ts"), F.lit(False).alias("interrupting"), "text"))
+
+
+def reassembled(parsed: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
+    """key and text: transcripts with their heads and new bodies (SNK-14).
+
+    `parsed` as of ``parsed_transcripts``, `bodies`: key, bodies ARRAY<STRING>. A
+    different number of bodies and turns is an error, not a silent loss.
+    """
+    j = parsed.join(bodies.select(key, "bodies"), key)
+    same = F.assert_true(F.size("turns") == F.size("bodies"), F.concat(F.lit("bodies "), F.size("bodies").cast("string"), F.lit(" != blocks "), F.size("turns").cast("string")))
+    part = F.zip_with("turns", "bodies", lambda t, b: F.concat(F.lit("**"), t["speaker"], F.lit("** ["), t["ts"], F.lit("]"), t["tail"], F.lit("\n"), utrim(b), F.lit("\n")))
+    head = F.when(F.col("front") != "", F.concat(F.regexp_replace("front", r"\n+$", ""), F.lit("\n\n"))).otherwise("")
+    return j.withColumn("_ok", same).where("_ok is null").select(key, F.concat(utrim(F.concat(head, F.array_join(part, "\n"))), F.lit("\n")).alias("text"))
+
+
+RESULTS = "struct<audio_duration_seconds:double,runs:map<string,struct<label:string,elapsed_seconds:double,load_seconds:double,error:string,rating:int,notes:string,transcript_file:string>>>"
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of a results file: id and the fields of each; no file, and one that is no JSON, has none (SRC-17)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "id string, label string, elapsed_seconds double, load_seconds double, error string, rating int, notes string, transcript_file string, duration double")
+    text = spark.read.text(path, wholetext=True).where(F.expr("try_parse_json(value)").isNotNull())
+    r = text.select(F.from_json("value", RESULTS).alias("r")).select("r.audio_duration_seconds", F.explode("r.runs").alias("id", "run"))
+    return r.select("id", "run.*", F.col("audio_duration_seconds").alias("duration"))
+
+
+def with_transcripts(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`runs` with the text of their transcript_file; '' if there is no such file, null where none is named (SRC-18). `texts`: file, text."""
+    t = texts.select(F.col("file").alias("_f"), F.col("text").alias("_t"))
+    named = F.coalesce("transcript_file", F.lit("")) != ""
+    return runs.join(t, F.col("transcript_file") == F.col("_f"), "left").withColumn("transcript_text", F.when(named, F.coalesce("_t", F.lit("")))).drop("_f", "_t")
+
+
+def middle(duration: Column, clip: float) -> Column:
+    """Where a clip of so many seconds from the middle of a recording begins (SNK-17)."""
+    return F.greatest(F.lit(0.0), duration / 2 - clip / 2)
+
+
+def plain_text(segments: DataFrame, key: str = "call_id", order: tuple[str, ...] = ("start_ms", "seq")) -> DataFrame:
+    """key and text: the transcript of a recording with one track, its segments joined by blanks; a line break ends what is not empty (TXT-14)."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
+    joined = utrim(F.array_join(F.transform(parts, lambda p: p["text"]), " "))
+    return segments.groupBy(key).agg(joined.alias("text")).withColumn("text", F.when(F.col("text") != "", F.concat("text", F.lit("\n"))).otherwise(""))
 
 
 def settings(text: str) -> dict[str, str]:

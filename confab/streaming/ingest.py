@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from confab.operators.commitlog import LINE
 
@@ -51,3 +52,19 @@ def live_turns(stream: DataFrame, pause: str = "1 second", lateness: str = "1 ho
     """
     s = stream.withWatermark("at", lateness).groupBy("key", "speaker", F.session_window("at", pause).alias("w"))
     return s.agg(F.count(F.lit(1)).alias("segments"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+class Progress(StreamingQueryListener):
+    """Tells a callable how far a stream is: (batches done, rows of the last one) after each commit (UDF-6)."""
+
+    def __init__(self, told: Callable[[int, int], None]):
+        self.told = told
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.told(event.progress.batchId + 1, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...

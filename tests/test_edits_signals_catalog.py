@@ -1,12 +1,9 @@
-import io
 import json
-import wave
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from confab.functions import formats
-from confab.operators import catalog, edits, evaluate, polish, signals
+from confab.operators import catalog, edits, evaluate, polish
 from confab.sources import files
 
 
@@ -55,48 +52,6 @@ def test_polish_batches(spark):
     assert polish.parse_reply('["a", 1]', 2) == ["a", None] and polish.parse_reply('["a"]', 2) == [None, None] and polish.parse_object('x {"a": 1} y') == {"a": 1}
 
 
-def voice(seed, n=4000, on=0.5):
-    r = np.random.default_rng(seed)
-    gate = np.repeat(r.random(n // 100) < on, 100)
-    return (r.standard_normal(n) * gate).round(6)
-
-
-def test_shared_voice_and_plan(spark):
-    a, b = voice(1), voice(2)
-    rows = [("c", 1, (a + b).tolist()), ("c", 2, a.tolist()), ("d", 0, a.tolist()), ("d", 1, b.tolist())]
-    t = spark.createDataFrame(rows, "call_id string, idx int, samples array<double>")
-    w = signals.shared_voices(signals.pair_stats(t, 400, 200, 50, 25))
-    assert [(r.call_id, r.mix_idx, r.component_idx, r.kind) for r in w.collect()] == [("c", 1, 2, "contains")]
-    plan = {(r.call_id, r.idx): (r.action, r.subtract) for r in signals.resolve(t, w).collect()}
-    assert plan[("c", 1)] == ("subtract", [2]) and plan[("c", 2)] == ("keep", []) and plan[("d", 0)] == ("keep", [])
-    roles = {(r.call_id, r.idx): (r.kind, r.refs) for r in signals.classify(t.union(spark.createDataFrame([("c", 3, (a + b).tolist())], t.schema)), 50, 25).collect()}
-    assert roles[("c", 1)] == ("isolate", [2]) and roles[("c", 3)][0] == "duplicate" and roles[("c", 2)][0] == "keep"
-
-
-def test_plan_never_drops_all(spark):
-    sel = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3)], "call_id string, idx int")
-    w = lambda rows: spark.createDataFrame([("c", *r, 0.0) for r in rows], "call_id string, mix_idx int, component_idx int, kind string, drop_db double")
-    do = lambda rows: {r.idx: r.action for r in signals.resolve(sel, w(rows)).collect()}
-    assert do([(1, 3, "contains"), (2, 1, "duplicate"), (3, 2, "duplicate")]) == {1: "subtract", 2: "drop", 3: "keep"}
-    assert "keep" in do([(2, 1, "duplicate"), (3, 2, "duplicate"), (3, 1, "duplicate")]).values()
-
-
-def test_isolation_levels_and_wav(spark):
-    a, c = voice(1), voice(2)
-    d = spark.createDataFrame([((a + c).tolist(), [c.tolist()])], "m array<double>, r array<array<double>>").select(signals.isolate("m", "r").alias("x"), signals.normalised(F.col("m")).alias("n"), signals.wav(16000)("m").alias("w")).collect()[0]
-    assert abs(np.corrcoef(d.x, a)[0, 1]) > 0.9 and abs(np.corrcoef(d.x, c)[0, 1]) < 0.2 and abs(max(map(abs, d.n)) - 0.9) < 1e-9
-    with wave.open(io.BytesIO(bytes(d.w))) as w:
-        assert w.getnframes() == 4000 and w.getframerate() == 16000
-    back = spark.createDataFrame([(bytes(d.w),)], "b binary").select(files.wav_samples("b").alias("x")).collect()[0].x
-    assert abs(back[10] - np.clip(a + c, -1, 1)[10]) < 1e-3
-
-
-def test_correlation_cases(spark):
-    rows = [([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ([1.0, 1.0], [1.0, 2.0]), ([], [])]
-    got = spark.createDataFrame(rows, "a array<double>, b array<double>").select(signals.correlation(F.col("a"), F.col("b")).alias("c")).collect()
-    assert [round(r.c, 9) for r in got] == [1.0, 0.0, 0.0]
-
-
 def test_bench_and_ratings(spark):
     runs = spark.createDataFrame([("a", 10.0, 5.0), ("b", 0.0, 5.0), ("c", 10.0, 0.0)], "id string, duration double, elapsed double")
     assert [(r.rtf, r.speedup) for r in evaluate.metrics(runs).orderBy("id").collect()] == [(0.5, 2.0), (None, None), (None, None)]
