@@ -119,19 +119,16 @@ def _ends(pause_ms: int, before: dict[int, dict] | None):
     return summary
 
 
-def _carried(found: list, complete: bool) -> dict[int, dict]:
-    """Prefix fold: the state before each partition. Numbers and ends of blocks hold once `complete`."""
+def _carried(found: list) -> dict[int, dict]:
+    """Prefix fold: the call, speakers and furthest end before each partition."""
     out, state = {}, None
-    for pid, (call, alone, opened, own) in found:
+    for pid, (call, alone, _, own) in found:
         if state:
             out[pid] = state
         if state and alone and call == state["call"]:
-            merged = own | {"many": state["many"], "reach": max(r for r in (own["reach"], state["reach"]) if r is not None) if own["seq"] is not None or state["reach"] is not None else None}
-            if own["seq"] is None:
-                merged = state
-            state = merged if not complete else own
-        else:
-            state = own
+            reach = [r for r in (own["reach"], state["reach"]) if r is not None]
+            own = (own if own["seq"] is not None else state) | {"many": state["many"], "reach": max(reach, default=None)}
+        state = own
     return out
 
 
@@ -164,8 +161,8 @@ def turn_rows(segments: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
     ordered = rangescan.sort_globally(rows.unionByName(heads, allowMissingColumns=True), "call_id", "kind", "start_ms", "seq")
     narrow = ordered.select("call_id", "kind", "start_ms", "seq", "end_ms", "speaker")
     # ends and speakers first, then, knowing what precedes each partition, numbers and ends of blocks
-    before = _carried(rangescan.summaries(narrow, _ends(pause_ms, None)), False)
-    counted = rangescan.summaries(narrow, _ends(pause_ms, before))
+    before = _carried(rangescan.summaries(narrow, _ends(pause_ms, None)))
+    counted = rangescan.summaries(narrow, _ends(pause_ms, {pid: st | {"no": 0, "end": None} for pid, st in before.items()}))
     state = None
     for i, (pid, (call, alone, opened, own)) in enumerate(counted):
         had = before.get(pid)

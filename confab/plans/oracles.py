@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the same rows as the query of that name."""
 
-from confab.plans import signal_oracles
+from confab.plans import job_oracles, signal_oracles
 
 _WS = r"[\s\x0b\x{85}\p{Z}]"
 _NOT_BLANK = r"regexp_matches({}, '[^\s\x0b\x{{85}}\p{{Z}}]')"
@@ -47,7 +47,7 @@ _HIST = "h AS (SELECT DISTINCT ON (id) * FROM transcriptions)"
 _WORDED = """sw AS (SELECT call_id AS key, seq, any_value(start) AS start, any_value("end") AS "end", any_value(text) AS text, any_value(words) AS words FROM segments WHERE len(words) > 0 GROUP BY ALL)"""
 _W = f"""{_WORDED},
   w AS (
-    SELECT key, seq * 1000 + k - 1 AS seq, CAST(round(words[k].start * 1000) AS BIGINT) AS start_ms, CAST(round(words[k]."end" * 1000) AS BIGINT) AS end_ms, {_trim("words[k].text")} AS text, coalesce(words[k].lead_space, true) AS lead_space
+    SELECT key, seq * 1000000 + k - 1 AS seq, CAST(round(words[k].start * 1000) AS BIGINT) AS start_ms, CAST(round(words[k]."end" * 1000) AS BIGINT) AS end_ms, {_trim("words[k].text")} AS text, coalesce(words[k].lead_space, true) AS lead_space
     FROM (SELECT *, unnest(range(1, len(words) + 1)) AS k FROM sw))"""
 _PAIR = """
   b AS (SELECT call_id, block_no, min(text) AS raw FROM blocks GROUP BY ALL),
@@ -198,4 +198,5 @@ SQL = {
           || 'elapsed_seconds: ' || CAST(round_even(elapsed_seconds, 0) AS BIGINT) || chr(10) || '---' || chr(10) AS head FROM h WHERE elapsed_seconds IS NOT NULL""",
 }
 
-SQL |= signal_oracles.SQL
+SQL["turn_objects"] = f"{_BLK} SELECT call_id, block_no, speaker, start_ms, interrupting FROM flagged"
+SQL |= signal_oracles.SQL | job_oracles.SQL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import formats
 from confab.functions.text import is_blank, match_key, millis, utrim
+from confab.plans import job_queries
 from confab.session import checkpointed, spread
 from confab.operators import bleed, catalog, commitlog, echo, edits, evaluate, history, intervals, separation, signals, turns, words
 
@@ -108,8 +109,8 @@ def _words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _token_no() -> Column:
-    """The number of a token (two a word), as the SQL has it; no order: it runs into the next segment's after 1000 words."""
-    return (F.col("seq") * 2000 + F.col("pos")).alias("seq")
+    """One number for a token (two a word), by segment and place; up to 1,000,000 words a segment it is unique."""
+    return (F.col("seq") * 2_000_000 + F.col("pos")).alias("seq")
 
 
 def spacing_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -457,3 +458,4 @@ QUERIES = {
         name_suffix, front_matter,
     )
 }
+QUERIES |= job_queries.QUERIES
