@@ -16,18 +16,29 @@ from confab.session import checkpointed
 MAX_GAP_MS, SIMILARITY, MIN_CHARS = 1500, 0.60, 12
 
 
+def in_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each letter of `a` and a step for each of `b`."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        if m := free & at.get(c, 0):
+            free = (free + m | free - m) & full
+    return len(a) - free.bit_count()
+
+
 def similar(threshold: float):
     """UDF: whether the Ratcliff-Obershelp ratio of two strings, in this order, reaches the threshold (TXT-2).
 
-    Empty strings are like nothing. Two upper bounds of the ratio, by length and by
-    letters, spare most pairs the comparison itself.
+    Empty strings are like nothing. What the ratio counts is a common subsequence, so
+    the longest one bounds it from above; that spares most pairs the comparison itself.
     """
 
     def one(x: str | None, y: str | None) -> bool:
-        if not x or not y:
+        if not x or not y or 2 * min(len(x), len(y)) < threshold * (len(x) + len(y)) or 2 * in_common(x, y) < threshold * (len(x) + len(y)):
             return False
-        m = SequenceMatcher(None, x, y)
-        return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+        return SequenceMatcher(None, x, y).ratio() >= threshold
 
     return F.pandas_udf(lambda a, b: pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
 
@@ -40,7 +51,7 @@ def candidates(blocks: DataFrame, max_gap: int = MAX_GAP_MS, min_chars: int = MI
     one starts. Pairs are few, as blocks of one call hardly overlap.
     """
     bucket = 60_000
-    b = blocks.where(F.char_length(utrim("text")) >= min_chars).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "energy", "text")
+    b = blocks.where(F.char_length(utrim("text")) >= min_chars).select("call_id", "block_no", "speaker", "start_ms", "end_ms", "energy", "text", *(["key"] if "key" in blocks.columns else []))
     left = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns), F.explode(F.sequence(F.floor(F.col("start_ms") / bucket), F.floor((F.greatest("start_ms", "end_ms") + max_gap) / bucket))).alias("slot"))
     right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns), F.floor(F.col("start_ms") / bucket).alias("slot2"))
     later = F.struct("a_start_ms", "a_end_ms", "a_block_no") < F.struct(F.col("b_start_ms").alias("a_start_ms"), F.col("b_end_ms").alias("a_end_ms"), F.col("b_block_no").alias("a_block_no"))
@@ -60,7 +71,7 @@ def echo_pairs(blocks: DataFrame, threshold: float = SIMILARITY, **limits: int)
 
     Cheap conditions come first; the text comparison runs on what they leave.
     """
-    c = candidates(blocks, **limits).withColumn("a_key", match_key("a_text")).withColumn("b_key", match_key("b_text"))
+    c = candidates(blocks.withColumn("key", match_key("text")), **limits)  # a key is made once a block, not once a pair
     a, b = F.char_length("a_key"), F.char_length("b_key")
     c = c.where(2 * F.least(a, b) >= threshold * (a + b)).withColumn("same", similar(threshold)("a_key", "b_key"))
     return c.where("same").select("call_id", F.struct("a_start_ms", "a_end_ms", "a_block_no").alias("a"), F.struct("b_start_ms", "b_end_ms", "b_block_no").alias("b"), loser_is_a().alias("a_loses"))

@@ -114,6 +114,6 @@ SQL = {
         SELECT call_id, regexp_replace('---' || chr(10) || 'model: x' || chr(10) || '---' || chr(10) || chr(10) || string_agg('**S' || block_no % 3 || '** [00:01]' || chr(10) || trim(coalesce(text, '')), chr(10) || chr(10) ORDER BY block_no), '\s+$', '') AS text FROM b GROUP BY 1""",
     "runs_with_texts": f"""WITH {_H}, t AS (SELECT output_path, min(model) AS text FROM h WHERE id % 2 = 0 AND output_path IS NOT NULL GROUP BY 1)
         SELECT id, CASE WHEN id % 3 <> 0 AND coalesce(h.output_path, '') <> '' THEN coalesce(t.text, '') END AS transcript_text FROM h LEFT JOIN t USING (output_path)""",
-    "middle_clips": f"""WITH {_H} SELECT id, round(greatest(0.0, audio_duration_seconds / 2 - 210), 3) AS start,
-        round(CASE WHEN coalesce(audio_duration_seconds, 0) > 0 THEN greatest(0, CASE WHEN audio_duration_seconds * CAST(0.35 AS DOUBLE) + 90 > audio_duration_seconds THEN audio_duration_seconds - 90 ELSE audio_duration_seconds * CAST(0.35 AS DOUBLE) END) ELSE CAST(0 AS DOUBLE) END, 3) AS analysis FROM h""",
+    "middle_clips": f"""WITH {_H} SELECT id, greatest(CAST(0 AS DOUBLE), audio_duration_seconds / 2 - 210) AS start, CASE WHEN NOT coalesce(audio_duration_seconds, 0) > 0 THEN CAST(0 AS DOUBLE)
+        WHEN audio_duration_seconds * CAST(0.35 AS DOUBLE) + 90 > audio_duration_seconds THEN greatest(CAST(0 AS DOUBLE), audio_duration_seconds - 90) ELSE audio_duration_seconds * CAST(0.35 AS DOUBLE) END AS analysis FROM h""",
 }

@@ -274,11 +274,11 @@ def runs_with_texts(spark: SparkSession, folder: str) -> DataFrame:
     h = _history(spark, folder)
     runs = h.select("id", F.when(F.col("id") % 3 != 0, F.col("output_path")).alias("transcript_file"))
     texts = h.where("id % 2 = 0 and output_path is not null").groupBy(F.col("output_path").alias("file")).agg(F.min("model").alias("text"))
-    return files.with_transcripts(runs, texts).select("id", "transcript_text", )
+    return files.with_transcripts(runs, texts).select("id", "transcript_text")
 
 
 def middle_clips(spark: SparkSession, folder: str) -> DataFrame:
-    return _history(spark, folder).select("id", F.round(files.middle(F.col("audio_duration_seconds"), 420.0), 3).alias("start"), F.round(_analysis("audio_duration_seconds"), 3).alias("analysis"))
+    return _history(spark, folder).select("id", files.middle(F.col("audio_duration_seconds"), 420.0).alias("start"), _analysis("audio_duration_seconds").alias("analysis"))
 
 
 def _analysis(c: str) -> Column:

@@ -160,8 +160,8 @@ SQL = {
           CASE WHEN coalesce(audio_duration_seconds, 0) = 0 THEN 0.0 ELSE round(8.0 + audio_duration_seconds * 0.05, 6) END AS polish FROM t""",
     "bench_metrics": f"""WITH {_HIST}, r AS (SELECT id, elapsed_seconds / nullif(audio_duration_seconds, 0) AS x, elapsed_seconds FROM h)
         SELECT id, x IS NULL OR elapsed_seconds = 0 AS no_rtf, CASE WHEN elapsed_seconds <> 0 THEN round_even(x, 4) END AS rtf FROM r""",
-    "judge_aggregate": f"""WITH {_HIST} SELECT model, count(*) AS runs, median(elapsed_seconds) AS elapsed_seconds_median, round(avg(audio_duration_seconds), 4) AS audio_duration_seconds_mean,
-          min(audio_duration_seconds) AS audio_duration_seconds_min, max(audio_duration_seconds) AS audio_duration_seconds_max FROM h GROUP BY 1""",
+    "judge_aggregate": f"""WITH {_HIST} SELECT model, count(*) AS runs, round_even(median(elapsed_seconds), 2) AS elapsed_seconds_median, min(elapsed_seconds) AS elapsed_seconds_min, max(elapsed_seconds) AS elapsed_seconds_max,
+          round_even(avg(audio_duration_seconds), 2) AS audio_duration_seconds_mean FROM h GROUP BY 1""",
     "gated_rank": f"""WITH {_HIST},
         v AS (SELECT coalesce(language, 'auto') AS language, model AS name, avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN status = 'error' THEN 1.0 ELSE 0.0 END) AS bad FROM h GROUP BY 1, 2)
         SELECT language, name, bad > 0.1 AS gated, CAST(row_number() OVER (PARTITION BY language ORDER BY bad > 0.1, good DESC, (good + 1 - bad) / 2 DESC, name) AS INT) AS place, round((good + 1 - bad) / 2, 6) AS quality FROM v""",
@@ -195,7 +195,7 @@ SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY seq) + CASE WHEN bool_or(seq % 10 = 0) OVER (PARTITION BY folder, stem) THEN 1 ELSE 0 END AS n FROM w)
         SELECT seq, folder, stem || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.md' AS name FROM k""",
     "front_matter": f"""WITH {_HIST} SELECT id, '---' || chr(10) || 'source: ' || source_path || chr(10) || 'model: ' || model || chr(10) || 'language: ' || coalesce(nullif(language, ''), 'auto') || chr(10) || 'transcribed_at: ' || started_at || chr(10)
-          || 'elapsed_seconds: ' || CAST(round_even(elapsed_seconds, 0) AS BIGINT) || chr(10) || '---' || chr(10) AS head FROM h WHERE elapsed_seconds IS NOT NULL""",
+          || coalesce('elapsed_seconds: ' || CAST(round_even(elapsed_seconds, 0) AS BIGINT) || chr(10), '') || '---' || chr(10) AS head FROM h""",
 }
 
 SQL["turn_objects"] = f"{_BLK} SELECT call_id, block_no, speaker, start_ms, interrupting FROM flagged"

@@ -213,8 +213,8 @@ def bench_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def judge_aggregate(spark: SparkSession, folder: str) -> DataFrame:
-    j = evaluate.judged(_history(spark, folder), ["model"], ["elapsed_seconds"], ["audio_duration_seconds"])
-    return j.withColumn("audio_duration_seconds_mean", F.round("audio_duration_seconds_mean", 4))
+    """Run times as counts, audio lengths as scores, per model."""
+    return evaluate.judged(_history(spark, folder), ["model"], ["elapsed_seconds"], ["audio_duration_seconds"])
 
 
 def gated_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,7 +443,7 @@ def name_suffix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def front_matter(spark: SparkSession, folder: str) -> DataFrame:
-    h = _history(spark, folder).where("elapsed_seconds is not null")
+    h = _history(spark, folder)
     return h.select("id", catalog.front_matter(F.col("source_path"), F.col("model"), F.col("language"), F.col("started_at"), F.col("elapsed_seconds")).alias("head"))
 
 
