@@ -33,11 +33,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import labels
-from confab.session import checkpoint_dir
+from confab.session import checkpoint_dir, checkpointed
 
 WIDTH, RANK, BITS, SEED = 12, 16, 16, 7
 #: Items go to the executors in blocks of at most so many words; each block is a pass of its own.
@@ -399,20 +399,11 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
     has the size of the items' vocabulary.
     """
     spark = documents.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    weight = 0
-    for r in items.select("item_id", "ref_text").where("ref_text is not null").distinct().toLocalIterator():
-        n = len(words(r["ref_text"]))
-        if weight + n > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            weight = 0
-        blocks[-1].append((r["item_id"], r["ref_text"]))
-        weight += n
     kind = documents.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, passages long"
     out = None
-    for block in blocks:
+    for block in _blocks(items):
         own = Items(block, width)
         if not len(own.passages):
             continue
@@ -471,8 +462,29 @@ def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, share: fl
                     key = b.column(0).take(pa.array([i for i, _ in found], pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, pa.array([m for _, m in found]), pa.array(list(found.values()), pa.int64())], ["doc_id", "item_id", "passages"])
 
-        one = rows.mapInArrow(match, schema)
+        # the pairs are written, so that the ids, which are half the size of the texts, can go
+        one = checkpointed(rows.mapInArrow(match, schema).groupBy("doc_id", "item_id").agg(F.sum("passages").alias("passages")))
+        _delete(spark, place)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.sum("passages").alias("passages"))
+    return out.groupBy("doc_id", "item_id").agg(F.sum("passages").alias("passages"))  # texts of one item may be in two blocks
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most BLOCK_WORDS words, one of which is held at a time."""
+    block: list[tuple[int, str]] = []
+    weight = 0
+    for r in items.select("item_id", "ref_text").where("ref_text is not null").distinct().toLocalIterator():
+        n = len(words(r["ref_text"]))
+        if weight + n > BLOCK_WORDS and block:
+            yield block
+            block, weight = [], 0
+        block.append((r["item_id"], r["ref_text"]))
+        weight += n
+    yield block
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -49,6 +49,20 @@ def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merged(s, ["model"]), ["model"], QS)
 
 
+def p4_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each percentile against the ranks of all values: n, and whether it keeps its bound."""
+    t = _run_times(spark, folder)
+    p = p4_percentiles(spark, folder)
+    v = t.select("model", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("elapsed_seconds", "audio_duration_seconds")))).alias("x")).select("model", "x.*").where("v is not null and not isnan(v)")
+    # distinct values with their counts first: a model with a third of all runs comes down to as many rows as it has values
+    counts = v.groupBy("model", "metric", "v").agg(F.count(F.lit(1)).alias("c"))
+    j = p.join(counts.withColumnsRenamed({"model": "m", "metric": "k"}), F.col("model").eqNullSafe(F.col("m")) & (F.col("metric") == F.col("k")))
+    g = j.groupBy("model", "metric", "q", "n", "value", "max_rank_error").agg(F.sum(F.when(F.col("v") < F.col("value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto"), F.sum("c").alias("all"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - 1e-9))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - rank, rank - F.col("upto"))
+    return g.select("model", "metric", "q", "n", ((off <= F.col("max_rank_error")) & (F.col("all") == F.col("n"))).alias("kept"))
+
+
 def p4_merged_months(spark: SparkSession, folder: str) -> DataFrame:
     """The same from sketches kept per month, merged afterwards."""
     runs_ = _run_times(spark, folder).withColumn("month", F.substring("started_at", 1, 7))
@@ -105,4 +119,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "f.kind", "f.found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p5_found, p5_turns, p6_ids, p6_decoded, p7_found, p7_leaks, p7_near, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p4_ranks, p5_found, p5_turns, p6_ids, p6_decoded, p7_found, p7_leaks, p7_near, p8_found, p8_clean)}
