@@ -28,3 +28,9 @@ def match_key(x: Column | str) -> Column:
 def millis(x: Column | str) -> Column:
     """Seconds as whole milliseconds, halves away from zero."""
     return F.round(_c(x) * F.lit(1000.0)).cast("long")
+
+
+def zip_shorter(a: Column | str, b: Column | str, left: str = "a", right: str = "b") -> Column:
+    """Two arrays side by side, as long as the shorter one (JON-3)."""
+    n = F.least(F.size(_c(a)), F.size(_c(b)))
+    return F.arrays_zip(F.slice(_c(a), 1, n).alias(left), F.slice(_c(b), 1, n).alias(right))

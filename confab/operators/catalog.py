@@ -21,6 +21,11 @@ def override(own: Column, key: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(F.try_element_at(own, key), F.lit("")), default)
 
 
+def effective_name(overrides: Column, names: Column, idx: Column) -> Column:
+    """Name of a track: the override (number to name), else the default one (the same), else Speaker <number> (PRJ-21)."""
+    return F.coalesce(F.nullif(F.try_element_at(overrides, idx), F.lit("")), F.try_element_at(names, idx), F.concat(F.lit("Speaker "), idx.cast("string")))
+
+
 def labelled(df: DataFrame, labels: DataFrame, key: str, out: str) -> DataFrame:
     """`df` with the label of a key, or the key itself (PRJ-10, JON-6)."""
     names = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
@@ -48,6 +53,23 @@ def request_options(raw: Column) -> Column:
     return F.when(F.size(m) > 0, m)
 
 
+def asked_for(jobs: DataFrame, options: DataFrame) -> DataFrame:
+    """`jobs` (id, track_names, selected_track_indices, track_subtractions, ...) as a request's options change them (MAP-2).
+
+    `options`: id, names and subtractions (maps keyed by text), speakers (list). Names
+    and speakers count if there are any; subtractions if they are given at all, without
+    their empty lists.
+    """
+    o = options.select(F.col("id").alias("_id"), F.col("names").alias("_n"), F.col("speakers").alias("_s"), F.col("subtractions").alias("_x"))
+    j = jobs.join(o, F.col("id") == F.col("_id"), "left")
+    new = {
+        "track_names": F.when(F.size("_n") > 0, F.transform_keys("_n", lambda k, v: k.cast("int"))).otherwise(F.col("track_names")),
+        "selected_track_indices": F.when(F.size("_s") > 0, F.array_sort(F.array_distinct("_s"))).otherwise(F.col("selected_track_indices")),
+        "track_subtractions": F.when(F.col("_x").isNotNull(), request_options(F.col("_x"))).otherwise(F.col("track_subtractions")),
+    }
+    return j.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns))
+
+
 def include(selected: Column, idx: Column, on: Column) -> Column:
     """The set with or without an index; the last one stays (ARR-1)."""
     return F.when(on, F.array_union(selected, F.array(idx))).when(F.size(selected) > 1, F.array_remove(selected, idx)).otherwise(selected)
@@ -138,14 +160,23 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return w.join(free.select("folder", "stem", "suffix", "_k", "name"), ["folder", "stem", "suffix", "_k"]).drop("_k")
 
 
-def front_matter(source: Column, model: Column, language: Column, at: Column, elapsed: Column, speakers: Column | None = None, polished: Column | None = None) -> Column:
+def front_matter(source: Column, model: Column, language: Column, at: Column, elapsed: Column, speakers: Column | None = None, diarization: Column | None = None, polished: Column | None = None) -> Column:
     """Header of a written transcript; fields that are not set are left out (SNK-1)."""
-    lines = [
-        F.lit("---"), F.concat(F.lit("source: "), source), F.concat(F.lit("model: "), model), F.concat(F.lit("language: "), F.coalesce(F.nullif(language, F.lit("")), F.lit("auto"))),
-        F.concat(F.lit("transcribed_at: "), at), F.concat(F.lit("elapsed_seconds: "), F.bround(elapsed, 0).cast("long").cast("string")),
-    ]
-    if speakers is not None:
-        lines.append(F.concat(F.lit("speakers: "), speakers.cast("string")))
-    if polished is not None:
-        lines.append(F.when(polished.isNotNull(), F.concat(F.lit("polished: "), polished.cast("string"))))
-    return F.concat(F.concat_ws("\n", F.array_compact(F.array(*lines))), F.lit("\n---\n"))
+    fields = {"source": source, "model": model, "language": F.coalesce(F.nullif(language, F.lit("")), F.lit("auto")), "transcribed_at": at, "elapsed_seconds": F.bround(elapsed, 0).cast("long"), "speakers": speakers, "diarization": diarization, "polished": polished}
+    lines = [F.lit("---"), *(F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in fields.items() if v is not None)]
+    return F.concat(F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n---\n"))
+
+
+def transcript_files(runs: DataFrame, taken: DataFrame) -> DataFrame:
+    """id, folder, name, text of the files to be written for each run: the transcript, and next to a cleaned one the raw text (SNK-1, SNK-2).
+
+    `runs`: id, folder, source_path, model, language, at, elapsed, speakers,
+    diarization, text, raw (null if it was not cleaned). `taken`: folder, name.
+    """
+    stem, _ = file_parts(F.col("source_path"))
+    names = free_names(runs.select("folder", stem.alias("stem"), F.lit(".md").alias("suffix"), F.col("id").alias("seq")), taken).select(F.col("seq").alias("id"), "name")
+    j = runs.join(names, "id")
+    clean = F.col("raw").isNotNull()
+    head = lambda polished: front_matter(*(F.col(c) for c in ("source_path", "model", "language", "at", "elapsed", "speakers", "diarization")), F.when(clean, polished))
+    both = F.array(F.struct("name", F.concat(head("true"), F.lit("\n"), "text").alias("text")), F.when(clean, F.struct(F.concat(F.regexp_replace("name", r"\.md$", ""), F.lit(".raw.md")).alias("name"), F.concat(head("false"), F.lit("\n"), "raw").alias("text"))))
+    return j.select("id", "folder", F.explode(F.array_compact(both)).alias("f")).select("id", "folder", "f.name", "f.text")

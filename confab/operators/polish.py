@@ -46,9 +46,12 @@ def parse_object(reply: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def polish_blocks(blocks: DataFrame, model: Callable[[str], str | None], size: int = SIZE) -> DataFrame:
+def polish_blocks(blocks: DataFrame, model: Callable[[str], str | None], size: int = SIZE, at_once: int | None = None) -> DataFrame:
     """Blocks (call_id, block_no, text) with ``polished``; whatever fails a guard stays as it was (UDF-3, UDF-4).
 
+    At most `at_once` requests are under way at a time, whatever the cluster has cores;
+    without it as many as there are tasks. Order is that of the block numbers (STR-7).
+
     `model` gets the JSON array of up to `size` neighbouring texts and returns one of
     the same length, or None. Batches without a text of LEAST characters are not sent.
     """
@@ -65,7 +68,8 @@ def polish_blocks(blocks: DataFrame, model: Callable[[str], str | None], size: i
 
     from confab.operators.turns import batches
 
-    answered = batches(blocks, size).mapInPandas(run, "call_id string, block_no long, raw string, edited string")
+    asked = batches(blocks, size)
+    answered = (asked.repartition(at_once) if at_once else asked).mapInPandas(run, "call_id string, block_no long, raw string, edited string")
     return edits.accept(answered, out="polished").select("call_id", "block_no", F.col("raw").alias("text"), "polished")
 
 

@@ -116,4 +116,17 @@ SQL = {
         SELECT id, CASE WHEN id % 3 <> 0 AND coalesce(h.output_path, '') <> '' THEN coalesce(t.text, '') END AS transcript_text FROM h LEFT JOIN t USING (output_path)""",
     "middle_clips": f"""WITH {_H} SELECT id, greatest(CAST(0 AS DOUBLE), audio_duration_seconds / 2 - 210) AS start, CASE WHEN NOT coalesce(audio_duration_seconds, 0) > 0 THEN CAST(0 AS DOUBLE)
         WHEN audio_duration_seconds * CAST(0.35 AS DOUBLE) + 90 > audio_duration_seconds THEN greatest(CAST(0 AS DOUBLE), audio_duration_seconds - 90) ELSE audio_duration_seconds * CAST(0.35 AS DOUBLE) END AS analysis FROM h""",
+    "transcripts_written": f"""WITH {_H}, r AS (SELECT *, id % 2 = 0 AS two FROM h WHERE source_path IS NOT NULL),
+        x AS (SELECT *, unnest(CASE WHEN two THEN [false, true] ELSE [false] END) AS raw FROM r)
+        SELECT id, raw, concat_ws(chr(10), '---', 'source: ' || source_path, 'model: ' || model, 'language: ' || coalesce(nullif(language, ''), 'auto'), 'transcribed_at: ' || started_at, 'elapsed_seconds: ' || CAST(round_even(elapsed_seconds, 0) AS BIGINT), 'speakers: 2',
+          CASE WHEN two THEN 'polished: ' || CASE WHEN raw THEN 'false' ELSE 'true' END END, '---', '', CASE WHEN raw THEN 'raw' ELSE 'said' END) AS text FROM x""",
+    "requested_jobs": f"""WITH {_H} SELECT id, CASE WHEN id % 2 = 0 THEN '2=' || id ELSE '1=' || model END AS track_names, CASE WHEN id % 3 = 0 THEN '1,3' ELSE '7' END AS speakers, CASE WHEN id % 10 = 0 THEN NULL WHEN id % 5 = 0 THEN '4=[5]' ELSE '1=[2]' END AS track_subtractions FROM h""",
+    "effective_names": f"WITH {_NAMED} SELECT call_id, idx, CASE WHEN idx = 1 THEN 'Host' ELSE name END AS name FROM named UNION ALL SELECT DISTINCT call_id, 99, 'Speaker 99' FROM named",
+    "zipped_texts": "WITH s AS (SELECT DISTINCT call_id, seq, speaker FROM segments), n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY call_id) AS n FROM s) SELECT call_id, seq, speaker FROM n WHERE k < n",
+    "streamed_log": "SELECT DISTINCT call_id AS key, lower(speaker) AS unit, CAST(floor(round(start * 1000) / 30000) AS INT) AS chunk, seq AS line_no, round(start, 3) AS start FROM segments",
+    "live_stretches": """WITH s AS (SELECT DISTINCT call_id AS key, coalesce(speaker, '') AS speaker, seq, CAST(round(start * 1000) AS BIGINT) AS ms FROM segments WHERE start IS NOT NULL),
+        l AS (SELECT *, sum(CASE WHEN ms - before <= 1000 THEN 0 ELSE 1 END) OVER (PARTITION BY key, speaker ORDER BY ms, seq ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT *, lag(ms) OVER (PARTITION BY key, speaker ORDER BY ms, seq) AS before FROM s))
+        SELECT key, speaker, count(*) AS segments, min(ms) AS start_ms FROM l GROUP BY key, speaker, part""",
+    "voted_edits": rf"""WITH {_PAIR}, w AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(coalesce(edited, raw), '{_WS}+'), lambda x: x <> ''), ' ') AS words FROM p)
+        SELECT call_id, block_no, CASE WHEN raw = '' OR raw IS NULL THEN raw ELSE coalesce(nullif(words, ''), raw) END AS text FROM w""",
 }

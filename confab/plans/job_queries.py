@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.functions import formats
-from confab.functions.text import millis
-from confab.operators import catalog, commitlog, edits, evaluate, history, jobs, recognise, turns
+from confab.functions.text import millis, utrim, zip_shorter
+from confab.operators import catalog, commitlog, edits, evaluate, history, jobs, polish, recognise, turns
+from confab.session import checkpoint_dir
 from confab.sources import files
+from confab.streaming import ingest
 
 STATES = ("ready", "queued", "converting", "loading model", "transcribing", "polishing", "done", "error", "stopped")
 
@@ -295,11 +300,96 @@ def turn_objects(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("call_id", "block_no", back["speaker"].alias("speaker"), back["start"].alias("start_ms"), back["interrupting"].alias("interrupting"))
 
 
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of turns, texts trimmed."""
+    return turns.merge_turns(turns.spoken_segments(table(spark, folder, "segments"))).select("call_id", "block_no", utrim("text").alias("text"))
+
+
+def _exclaim(request: str) -> str | None:
+    """A model for tests: every text with an exclamation mark."""
+    return json.dumps([t + "!" for t in json.loads(request)]) if request.startswith("[") else request + "!"
+
+
+def polished_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return polish.polish_blocks(_numbered(spark, folder), _exclaim)
+
+
+def cleaned_alone(spark: SparkSession, folder: str) -> DataFrame:
+    return polish.cleaned(_numbered(spark, folder).withColumn("text", F.regexp_replace("text", "[\\[`]", "")), "isolated", _exclaim)
+
+
+def cleaned_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return polish.cleaned(_numbered(spark, folder), "batch_small", _exclaim)
+
+
+def voted_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks with the next block's text proposed by two of three, which is then agreed."""
+    p = _pairs(spark, folder)
+    return p.select("call_id", "block_no", edits.ensemble()("raw", F.array("edited", "raw", "edited")).alias("text"))
+
+
+def packed_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks packed by characters: which pack each is in."""
+    p = polish.packs(_numbered(spark, folder), max_chars=1500)
+    return p.select("call_id", F.col("pack").cast("long").alias("pack"), F.explode("blocks").alias("b")).select("call_id", "pack", "b.block_no")
+
+
+def transcripts_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of runs: those with an even id were cleaned and have a raw text too."""
+    h = _history(spark, folder).where("source_path is not null")
+    r = h.select("id", F.regexp_extract("source_path", r"^(.*)/", 1).alias("folder"), "source_path", "model", "language", F.col("started_at").alias("at"), F.col("elapsed_seconds").alias("elapsed"), F.lit(2).alias("speakers"), F.lit(None).cast("string").alias("diarization"), F.lit("said").alias("text"), F.when(F.col("id") % 2 == 0, "raw").alias("raw"))
+    f = catalog.transcript_files(r, r.limit(0).select("folder", F.col("text").alias("name")))
+    return f.select("id", F.endswith("name", F.lit(".raw.md")).alias("raw"), "text")
+
+
+def requested_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs changed by requests: names for every second, speakers for every third, subtractions for every fifth, empty ones for the tenth."""
+    i, n = F.col("id"), F.col("id").cast("string")
+    text_map, lists = "map<string,string>", "map<string,array<int>>"
+    h = _history(spark, folder)
+    j = h.select("id", F.create_map(F.lit(1), "model").alias("track_names"), F.array(F.lit(7)).alias("selected_track_indices"), F.create_map(F.lit(1), F.array(F.lit(2))).alias("track_subtractions"))
+    o = h.select("id", F.when(i % 2 == 0, F.create_map(F.lit("2"), n)).otherwise(F.create_map().cast(text_map)).alias("names"), F.when(i % 3 == 0, F.array(F.lit(3), F.lit(1), F.lit(3))).alias("speakers"), F.when(i % 10 == 0, F.create_map(F.lit("4"), F.array().cast("array<int>"))).when(i % 5 == 0, F.create_map(F.lit("4"), F.array(F.lit(5)))).cast(lists).alias("subtractions"))
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return catalog.asked_for(j, o).select("id", flat("track_names"), F.array_join("selected_track_indices", ",").alias("speakers"), flat("track_subtractions"))
+
+
+def effective_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of tracks by override, default and number; and of one that is not there."""
+    t = _named(spark, folder)
+    own = t.groupBy("call_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "name")))).alias("names"))
+    asked = t.select("call_id", "idx").union(own.select("call_id", F.lit(99)))
+    return asked.join(own, "call_id").select("call_id", "idx", catalog.effective_name(F.create_map(F.lit(1), F.lit("Host"), F.lit(2), F.lit("")), F.col("names"), F.col("idx")).alias("name"))
+
+
+def zipped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of segments and their labels side by side, one text fewer than labels."""
+    s = table(spark, folder, "segments").select("call_id", "seq", "speaker").distinct()
+    g = s.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("seq", "speaker"))).alias("p"))
+    z = zip_shorter(F.transform("p", lambda x: x["seq"]), F.slice(F.transform("p", lambda x: x["speaker"]), 1, F.size("p") - 1))
+    return g.where(F.size("p") > 1).select("call_id", F.explode(z).alias("z")).select("call_id", F.col("z.a").alias("seq"), F.col("z.b").alias("speaker"))
+
+
+def streamed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments written as chunk files, streamed, committed once and read back."""
+    place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}"
+    s = table(spark, folder, "segments").select(F.col("call_id").alias("key"), F.col("seq").alias("line_no"), F.lower("speaker").alias("unit"), F.floor(millis("start") / 30000).cast("int").alias("chunk"), "start", "end", "text", "speaker").distinct()
+    s.write.json(f"{place}/in")
+    ingest.follow(ingest.commit(ingest.chunk_stream(spark, f"{place}/in"), f"{place}/log", f"{place}/state"))
+    return ingest.read_log(spark, f"{place}/log").select("key", "unit", "chunk", "line_no", F.round("start", 3).alias("start"))
+
+
+def live_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Spoken stretches per call and label by session windows, in a batch: pauses of up to a second."""
+    s = table(spark, folder, "segments").where("start is not null").select(F.col("call_id").alias("key"), F.coalesce("speaker", F.lit("")).alias("speaker"), "seq", "start", "end").distinct()
+    s = s.withColumn("at", F.timestamp_millis(millis("start")))
+    return ingest.live_turns(s).select("key", "speaker", "segments", millis("start").alias("start_ms"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         job_payload, job_lines, job_panel, job_buttons, job_reset, jobs_in_flight, overall_progress, checkpoint_load, resumed_jobs, config_round_trip, settings_shown, chosen_tracks, needed_tracks, track_labels, recent_names,
         recogniser_tasks, recognised_texts, benchmark_cells, speech_progress, track_union, unit_log, judge_rounds, fastest_runs, score_table, first_configs, call_excerpt, judge_payload, failed_edits, candidate_bundle,
-        quality_figures, plain_transcript, transcripts_again, runs_with_texts, middle_clips, turn_objects,
+        quality_figures, plain_transcript, transcripts_again, runs_with_texts, middle_clips, turn_objects, polished_blocks, cleaned_alone, cleaned_batches, voted_edits, packed_chars, transcripts_written, requested_jobs, effective_names, zipped_texts, streamed_log, live_stretches,
     )
 }

@@ -158,8 +158,8 @@ SQL = {
           CASE WHEN coalesce(audio_duration_seconds, 0) = 0 THEN '' ELSE {_clock("d", "%d")} END AS length,
           coalesce(strftime(TRY_CAST(started_at AS TIMESTAMP), '%b %-d'), '') AS day,
           CASE WHEN coalesce(audio_duration_seconds, 0) = 0 THEN 0.0 ELSE round(8.0 + audio_duration_seconds * 0.05, 6) END AS polish FROM t""",
-    "bench_metrics": f"""WITH {_HIST}, r AS (SELECT id, elapsed_seconds / nullif(audio_duration_seconds, 0) AS x, elapsed_seconds FROM h)
-        SELECT id, x IS NULL OR elapsed_seconds = 0 AS no_rtf, CASE WHEN elapsed_seconds <> 0 THEN round_even(x, 4) END AS rtf FROM r""",
+    "bench_metrics": f"""WITH {_HIST}, r AS (SELECT id, elapsed_seconds / nullif(audio_duration_seconds, 0) AS x, elapsed_seconds, nullif(audio_duration_seconds, 0) AS audio_duration_seconds FROM h)
+        SELECT id, x IS NULL OR elapsed_seconds = 0 AS no_rtf, CASE WHEN elapsed_seconds <> 0 THEN round_even(x, 4) END AS rtf, round_even(audio_duration_seconds / nullif(elapsed_seconds, 0), 2) AS speedup FROM r""",
     "judge_aggregate": f"""WITH {_HIST} SELECT model, count(*) AS runs, round_even(median(elapsed_seconds), 2) AS elapsed_seconds_median, min(elapsed_seconds) AS elapsed_seconds_min, max(elapsed_seconds) AS elapsed_seconds_max,
           round_even(avg(audio_duration_seconds), 2) AS audio_duration_seconds_mean FROM h GROUP BY 1""",
     "gated_rank": f"""WITH {_HIST},
@@ -199,4 +199,14 @@ SQL = {
 }
 
 SQL["turn_objects"] = f"{_BLK} SELECT call_id, block_no, speaker, start_ms, interrupting FROM flagged"
+_TEXTS = f"{_BLK}, t AS (SELECT call_id, block_no, {_trim('text')} AS text FROM blk)"
+SQL["polished_blocks"] = f"""{_TEXTS}, g AS (SELECT *, max(length(text)) OVER (PARTITION BY call_id, (block_no - 1) // 5) >= 12 AS asked FROM t)
+        SELECT call_id, block_no, text, CASE WHEN asked AND text <> '' AND length(text) + 1 <= 1.4 * length(text) THEN text || '!' ELSE text END AS polished FROM g"""
+SQL["cleaned_alone"] = f"{_TEXTS}, u AS (SELECT call_id, block_no, regexp_replace(text, '[\\[`]', '', 'g') AS raw FROM t) SELECT call_id, block_no, raw, CASE WHEN length({_trim('raw')}) >= 12 THEN {_trim('raw')} || '!' ELSE raw END AS edited FROM u"
+SQL["cleaned_batches"] = f"""{_TEXTS}, g AS (SELECT *, max(length(text)) OVER (PARTITION BY call_id, (block_no - 1) // 5) >= 12 AS asked FROM t)
+        SELECT call_id, block_no, text AS raw, CASE WHEN asked THEN text || '!' ELSE text END AS edited FROM g"""
+SQL["packed_chars"] = f"""{_TEXTS.replace('WITH', 'WITH RECURSIVE', 1)}, n AS (SELECT call_id, block_no, length(text) AS n FROM t),
+        f AS (SELECT call_id, block_no, n, CAST(0 AS BIGINT) AS pack, n AS size FROM n WHERE block_no = 1
+          UNION ALL SELECT n.call_id, n.block_no, n.n, CASE WHEN f.size + n.n > 1500 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.size + n.n > 1500 THEN n.n ELSE f.size + n.n END FROM f JOIN n ON n.call_id = f.call_id AND n.block_no = f.block_no + 1)
+        SELECT call_id, pack, block_no FROM f"""
 SQL |= signal_oracles.SQL | job_oracles.SQL

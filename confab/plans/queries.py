@@ -209,7 +209,7 @@ def format_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def bench_metrics(spark: SparkSession, folder: str) -> DataFrame:
     h = _history(spark, folder)
-    return evaluate.metrics(h, "audio_duration_seconds", "elapsed_seconds").select("id", (F.col("rtf").isNull()).alias("no_rtf"), "rtf")
+    return evaluate.metrics(h, "audio_duration_seconds", "elapsed_seconds").select("id", (F.col("rtf").isNull()).alias("no_rtf"), "rtf", "speedup")
 
 
 def judge_aggregate(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,6 +35,20 @@ def commit(stream: DataFrame, log: str, state: str, per_batch: Callable[[DataFra
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
+def follow(query: StreamingQuery, stopping: Callable[[], bool] = lambda: False, poll: float = 0.2) -> bool:
+    """Wait for a stream; True if it came to its end, False if it was stopped. A stream that died raises its error (STR-2).
+
+    What was committed before a stop stays, and a stream started again goes on behind it.
+    """
+    while not query.awaitTermination(poll):
+        if stopping():
+            query.stop()
+            return False
+    if query.exception() is not None:
+        raise RuntimeError(f"the stream ended unexpectedly: {query.exception()}")
+    return True
+
+
 def read_log(spark: SparkSession, log: str) -> DataFrame:
     """The log's rows, each once per (key, unit, chunk, line)."""
     return spark.read.parquet(log).drop("batch").dropDuplicates(["key", "unit", "chunk", "line_no"])
