@@ -43,9 +43,9 @@ def heads(ordered: DataFrame, tracks: DataFrame) -> dict[int, dict[str, list]]:
 
     calls = dict(rangescan.summaries(ordered, first))
     known: dict[str, list] = {}
-    wanted = sorted(set(calls.values()))
-    for i in range(0, len(wanted), 500):  # at most one call for each partition
-        for r in tracks.where(F.col("call_id").isin(wanted[i : i + 500])).select("call_id", "idx", "title").distinct().collect():
+    if calls:  # at most one call for each partition, looked up in one pass
+        wanted = tracks.sparkSession.createDataFrame([(c,) for c in sorted(set(calls.values()))], "call_id string")
+        for r in tracks.join(F.broadcast(wanted), "call_id", "left_semi").select("call_id", "idx", "title").distinct().collect():
             known.setdefault(r[0], []).append((r[1], r[2]))
     return {pid: {c: known.get(c, [])} for pid, c in calls.items()}
 

@@ -24,4 +24,5 @@ SQL = {
         a AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
         b AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
         SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
+    "p3_joined": "SELECT call_id, block_no, min(text) AS text, true AS fits, true AS laps FROM blocks WHERE length(text) > 1600 GROUP BY 1, 2",
 }

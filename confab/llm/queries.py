@@ -35,6 +35,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).where("piece_no = 0").select("call_id", "block_no", "cut")
 
 
+def p3_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces put together without their overlaps: the text again; the longest piece and overlap in bounds."""
+    part = F.substr("piece", F.col("overlap") + 1)
+    g = p3_pieces(spark, folder).groupBy("call_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("piece_no", part.alias("t")))).alias("p"), F.max(F.char_length("piece")).alias("longest"), F.max("overlap").alias("most"))
+    return g.select("call_id", "block_no", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"), (F.col("longest") <= 1600).alias("fits"), (F.col("most") <= 120).alias("laps"))
+
+
 QS = [0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999]
 
 
@@ -119,4 +126,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "f.kind", "f.found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p4_percentiles, p4_merged_months, p4_ranks, p5_found, p5_turns, p6_ids, p6_decoded, p7_found, p7_leaks, p7_near, p8_found, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p3_found, p3_pieces, p3_joined, p4_percentiles, p4_merged_months, p4_ranks, p5_found, p5_turns, p6_ids, p6_decoded, p7_found, p7_leaks, p7_near, p8_found, p8_clean)}
