@@ -37,6 +37,13 @@ def spoken_segments(segments: DataFrame) -> DataFrame:
     return s.select("call_id", "seq", "speaker", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), F.round(F.coalesce("end", "start") * 1000).cast("long").alias("end_ms"), segment_text(F.col("words"), F.col("text")).alias("text"), "energy")
 
 
+def distinct_segments(segments: DataFrame) -> DataFrame:
+    """``spoken_segments`` with one row per (call_id, seq); energy is the greatest of the repeats (AGG-5)."""
+    s = spoken_segments(segments)
+    same = [c for c in s.columns if c not in ("call_id", "seq", "energy")]
+    return s.groupBy("call_id", "seq").agg(*(F.first(c).alias(c) for c in same), F.max("energy").alias("energy"))
+
+
 class _Turns:
     """The scan behind ``merge_turns``: which rows open a block, batch by batch.
 

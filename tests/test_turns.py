@@ -21,9 +21,13 @@ def test_two_speakers_merge_whatever_the_pause(spark):
     assert merged(spark, [("P", 0, 2000, "a", None), ("P", 5000, 6000, "b", None), ("Q", 6500, 7000, "c", None)]) == [("P", 0, 6000, "a b"), ("Q", 6500, 7000, "c")]
 
 
-def test_chunks_do_not_change_the_result(spark):
+def test_chunks_do_not_change_the_result(small_batches):
+    """The stretches of the scan are partitions and batches now: of five rows, or one of all."""
     rows = [("PQ"[i * i % 5 > 2], i * 700, i * 700 + 900, str(i), None) for i in range(60)]
-    assert merged(spark, rows, width=1500) == merged(spark, rows)
+    cut = merged(small_batches, rows)
+    small_batches.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches.conf.set("spark.sql.shuffle.partitions", "1")
+    assert cut == merged(small_batches, rows) and len(cut) > 20
 
 
 def test_out_of_order_and_interruption(spark):
