@@ -41,7 +41,7 @@ def heads(ordered: DataFrame, tracks: DataFrame) -> dict[int, dict[str, list]]:
                 got = b.column(0)[0].as_py()
         return got
 
-    calls = dict(rangescan.summaries(ordered, first))
+    calls = dict(rangescan.summaries(ordered.select("call_id"), first))
     known: dict[str, list] = {}
     if calls:  # at most one call for each partition, looked up in one pass
         wanted = tracks.sparkSession.createDataFrame([(c,) for c in sorted(set(calls.values()))], "call_id string")

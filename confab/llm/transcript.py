@@ -31,8 +31,8 @@ GRAMMAR = Grammar(
     r"""
     Block     <- _Lead* Tag? _Item*
     _Lead     <- _Space / Stamp
-    _Item     <- _Plain / Stamp / Sound / Aside / Hesitation / _Word / _Any
-    Stamp     <- _Marked _After? / _Cue _After? / _Clock _After?
+    _Item     <- _Plain / Hesitation / Stamp / Sound / Aside / _Word / _Any
+    Stamp     <- /(?=[\[<(\d])/ (_Marked _After? / _Cue _After? / _Clock _After?)
     _Marked   <- '[' _Space? _Time _Range? _Space? ']' / '<' _Space? _Time _Range? _Space? '>' / '(' _Space? _Time _Range? _Space? ')'
     _Cue      <- _Long _Arrow _Long
     _Clock    <- !/(?<![^\W_])(?<=\w)/ _Long
@@ -41,9 +41,9 @@ GRAMMAR = Grammar(
     _Time     <- /\d{1,5}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?/ !/[\d:]/
     _Long     <- /\d{1,4}:\d\d:\d\d(?:[.,]\d{1,3})?/ !/[\d:]/
     _After    <- /[^\S\r\n]+[-–](?=\s|$)/
-    Tag       <- /[-–•][^\S\r\n]+/? (/\*\*/ Name /:?\*\*:?/ / Name /:(?=\s|$)|[^\S\r\n]*>>+/)
+    Tag       <- /(?=[-–•*]|[^\W_])/ /[-–•][^\S\r\n]+/? (/\*\*/ Name /:?\*\*:?/ / Name /:(?=\s|$)|[^\S\r\n]*>>+/)
     Name      <- /[^\W_][^\r\n:*<>\[\]{}|♪.!?]*?(?=:?\*\*|:(?:\s|$)|(?<![^\S\r\n])[^\S\r\n]*+>>)/
-    Sound     <- _Double / _Square / _Angle / _Curly / _Starred / _Heard / /[♪♫♬♩]+/
+    Sound     <- /(?=[(\[<{*♪♫♬♩])/ (_Double / _Square / _Angle / _Curly / _Starred / _Heard / /[♪♫♬♩]+/)
     _Double   <- /\(\((?s:.)*?\)\)/
     _Square   <- '[' !/\s*(?:speaker|track)\s*\d/ (_Square / /[^\[\]\r\n]/)+ ']'
     _Angle    <- '<' !/\s*\// (_Angle / /[^<>\r\n]/)+ '>'
@@ -291,7 +291,7 @@ def clean_blocks(blocks: DataFrame, tracks: DataFrame, with_text: bool = True) -
         return first and (first, call, len(keys) == 1, state)
 
     around, state = {}, None
-    for pid, (first, call, uniform, own) in rangescan.summaries(ordered, summary):
+    for pid, (first, call, uniform, own) in rangescan.summaries(ordered.select("call_id", "kind", "row", "label", "tag", "said"), summary):
         around[pid] = (state, None)
         if state and first == call == state[0] and (own is None or (uniform and own[1] == state[1])):
             continue  # the turn carried in is still open
