@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,8 @@ def zip_shorter(a: Column | str, b: Column | str, left: str = "a", right: str =
     """Two arrays side by side, as long as the shorter one (JON-3)."""
     n = F.least(F.size(_c(a)), F.size(_c(b)))
     return F.arrays_zip(F.slice(_c(a), 1, n).alias(left), F.slice(_c(b), 1, n).alias(right))
+
+
+def plain(text: str) -> str:
+    """Small letters without accents, for what runs in Python (TXT-5)."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections import Counter
 from difflib import SequenceMatcher
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from confab.functions.text import utrim
+from confab.functions.text import plain, utrim
 
 LENGTH_LIMIT, CONTAINED, FEW_WORDS = 1.4, 0.6, 6
 #: Phrases that recognisers invent over silence.
@@ -22,7 +21,7 @@ PHRASES = ("titulky", "amara.org", "děkuji za pozornost", "thank you for watchi
 @F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Small letters without accents (TXT-5)."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
+    return text.map(lambda t: None if t is None else plain(t))
 
 
 def tokens(folded: Column, least: int = 1) -> Column:
@@ -118,7 +117,7 @@ def quality_metrics(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _plain(word: str) -> str:
     """Letters and digits of a word in small letters without accents."""
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if c.isalnum())
+    return "".join(filter(str.isalnum, plain(word)))
 
 
 def gated(raw: str, edited: str) -> str:

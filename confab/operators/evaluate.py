@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from confab.operators.ordered import with_order
+
 
 def metrics(runs: DataFrame, duration: str = "duration", elapsed: str = "elapsed") -> DataFrame:
     """`runs` with rtf (4 places) and speedup (2 places); null where a number is missing or 0 (AGG-11)."""
@@ -14,10 +16,11 @@ def metrics(runs: DataFrame, duration: str = "duration", elapsed: str = "elapsed
 
 
 def fastest_first(runs: DataFrame, seconds: str = "elapsed") -> DataFrame:
-    """Place of each run by time, missing last, and whether it is the fastest without an error (SRT-3)."""
-    w = Window.orderBy(F.asc_nulls_last(seconds), "id")  # one row per back end: a small table
-    good = F.min(F.when(F.col("error").isNull(), F.struct(F.coalesce(F.col(seconds), F.lit(float("inf"))), "id"))).over(Window.partitionBy())
-    return runs.withColumn("place", F.row_number().over(w)).withColumn("fastest", F.coalesce(good["id"] == F.col("id"), F.lit(False)))
+    """Place of each run by time, missing last, and whether it is the fastest without an error (SRT-3). Equal times go by id."""
+    late = F.coalesce(F.col(seconds), F.lit(1e15))
+    r = with_order(runs.withColumns({"_all": F.lit(1), "_late": late, "_one": F.lit(1)}), "_all", ["_late", "id"], 3600, total={"place": "_one"})
+    best = runs.where(F.col("error").isNull()).select(F.min_by("id", F.struct(late, "id")).alias("_best"))
+    return r.join(F.broadcast(best)).select(*runs.columns, F.col("place").cast("int").alias("place"), F.coalesce(F.col("id") == F.col("_best"), F.lit(False)).alias("fastest"))  # one row
 
 
 def judged(scores: DataFrame, keys: list[str], counts: list[str], means: list[str], examples: list[str] = [], order: str = "run") -> DataFrame:

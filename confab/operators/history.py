@@ -69,9 +69,10 @@ def parsed_turns(turns_json):
     return F.when(F.expr(f"try_parse_json({turns_json})").isNotNull(), F.from_json(turns_json, TURNS))
 
 
-def recent(history: DataFrame, n: int = 60) -> DataFrame:
-    """Of the latest n runs those that succeeded: the limit comes before the filter (PRJ-4)."""
-    return latest(history, n).where("status = 'success'")
+def recent(history: DataFrame, n: int = 60, files: DataFrame | None = None) -> DataFrame:
+    """Of the latest n runs those that succeeded, and whose output is among `files` (path), if given: the limit comes before the filters (PRJ-4)."""
+    good = latest(history, n).where("status = 'success'")
+    return good if files is None else good.join(files.select(F.col("path").alias("output_path")).distinct(), "output_path", "left_semi").select(history.columns)
 
 
 def grid(history: DataFrame) -> DataFrame:

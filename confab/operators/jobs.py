@@ -222,6 +222,21 @@ def panel(jobs: DataFrame) -> DataFrame:
     return j.select("id", F.when(note.isNotNull(), F.concat(title, F.lit(" ("), note, F.lit(")"))).otherwise(title).alias("title"), detail.alias("detail"))
 
 
+def analysed(jobs: DataFrame, *results: DataFrame) -> DataFrame:
+    """`jobs` with what analyses of their files found (STR-11).
+
+    Each of `results` has id and columns of jobs or new ones; what it knows replaces
+    what was known, null changes nothing. Analyses are lazy and may be missing for
+    any job; nothing waits for them but the join.
+    """
+    for r in results:
+        found = [c for c in r.columns if c != "id"]
+        j = jobs.join(r.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in found)), F.col("id") == F.col("_id"), "left")
+        old = [F.coalesce(f"_{c}", c).alias(c) if c in found else F.col(c) for c in jobs.columns]
+        jobs = j.select(*old, *(F.col(f"_{c}").alias(c) for c in found if c not in jobs.columns))
+    return jobs
+
+
 def discard(spark: SparkSession, folder: str) -> bool:
     """Delete a job's folder with all it holds; whether there was one (SNK-7)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -78,7 +78,9 @@ def packs(blocks: DataFrame, max_turns: int | None = None, max_chars: int | None
 
     A pack ends before the block that would make it longer than `max_turns` blocks or
     `max_chars` characters; a block of its own may be longer. Without limits a call is
-    one pack, which is what one request for a whole call needs.
+    one pack, which is what one request for a whole call needs. Where a pack ends
+    depends on all packs before it, so by characters a call's blocks come together in
+    one row; by number alone they don't.
     """
     parts = F.array_sort(F.collect_list(F.struct("block_no", "text")))
     kind = f"array<array<struct<block_no:{blocks.schema['block_no'].dataType.simpleString()},text:string>>>"

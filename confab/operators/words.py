@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from confab.functions.text import utrim
+from confab.functions.text import plain, utrim
 from confab.operators.ordered import with_order
 
 WORD = "struct<start:double,end:double,text:string,lead_space:boolean>"
@@ -94,10 +93,6 @@ def word_times(words: Column, start: Column, end: Column) -> tuple[Column, Colum
     return F.coalesce(F.try_element_at(timed, F.lit(1))["start"], start), F.coalesce(F.try_element_at(timed, F.lit(-1))["end"], end)
 
 
-def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
-
-
 def retime(words: list[dict], text: str) -> list[dict]:
     """The words of an edited text with times from the words it was made of (TXT-17).
 
@@ -108,7 +103,7 @@ def retime(words: list[dict], text: str) -> list[dict]:
     new = text.split()
     times: list[tuple[float, float] | None] = [None] * len(new)
     if words:
-        same = SequenceMatcher(None, [_fold(w["text"]) for w in words], [_fold(t) for t in new], autojunk=False)
+        same = SequenceMatcher(None, [plain(w["text"]) for w in words], [plain(t) for t in new], autojunk=False)
         for kind, a, z, b, y in same.get_opcodes():
             if kind in ("equal", "replace"):
                 for k in range(b, y):

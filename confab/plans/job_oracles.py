@@ -129,4 +129,20 @@ SQL = {
         SELECT key, speaker, count(*) AS segments, min(ms) AS start_ms FROM l GROUP BY key, speaker, part""",
     "voted_edits": rf"""WITH {_PAIR}, w AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(coalesce(edited, raw), '{_WS}+'), lambda x: x <> ''), ' ') AS words FROM p)
         SELECT call_id, block_no, CASE WHEN raw = '' OR raw IS NULL THEN raw ELSE coalesce(nullif(words, ''), raw) END AS text FROM w""",
+    "probed_streams": """WITH t AS (SELECT DISTINCT call_id, idx, channels, title FROM tracks),
+        l AS (SELECT call_id, length(string_agg('{"index":' || idx || ',"codec_type":"audio","channels":' || channels || ',"tags":' || CASE WHEN title IS NULL THEN '{}' ELSE CAST(json_object('title', ' ' || title) AS VARCHAR) END || '}', ',')) AS n FROM t GROUP BY 1)
+        SELECT call_id, idx, channels, nullif(regexp_replace(title, '^[\\s\\x0b\\x{85}\\p{Z}]+|[\\s\\x0b\\x{85}\\p{Z}]+$', '', 'g'), '') AS title, CAST(12.5 AS DOUBLE) AS duration FROM t JOIN l USING (call_id) WHERE n % 6 <> 0""".replace("\\\\", "\\"),
+    "dropped_files": rf"""WITH {_H}, p AS (SELECT id, CASE WHEN id % 2 = 0 THEN upper(source_path) WHEN id % 5 = 0 THEN source_path || '.txt' ELSE source_path END AS path FROM h)
+        SELECT id, path FROM p WHERE regexp_matches(lower(path), '[^/]\.(mp3|wav|m4a|aac|flac|mp4|mov|m4v|mkv|webm)$')""",
+    "wav_again": "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(list_sum(list_transform(embedding, lambda x: trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(x AS DOUBLE) * 3)) * 32767))) AS BIGINT) AS total, 32 AS part FROM embeddings",
+    "playback_clocks": f"WITH {_H} SELECT model AS token, CAST(max(id) + 0.25 AS DOUBLE) AS seconds FROM h WHERE id % 3 <> 0 GROUP BY 1",
+    "track_sets": """WITH t AS (SELECT call_id, list(DISTINCT idx ORDER BY idx) AS a FROM tracks GROUP BY 1)
+        SELECT call_id, array_to_string(CASE WHEN len(a) > 1 THEN a[2:] ELSE a END, ',') AS less, array_to_string(list_append(a, 50), ',') AS more, CAST(len(a) - 1 AS INT) AS place, 0 AS none FROM t""",
+    "reply_objects": f"WITH {_H} SELECT id, CASE WHEN id % 7 = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS a, CASE WHEN id % 4 = 0 THEN 'none' ELSE 'x|' END AS parts FROM h",
+    "runs_upserted": f"""WITH {_H}, g AS (SELECT model AS id, min(id) AS n, CAST(count(*) AS DOUBLE) AS s FROM h GROUP BY 1), k AS (SELECT *, n % 5 <> 0 AS old, n % 2 = 0 OR n % 5 = 0 AS new, n % 3 = 0 AS bad FROM g)
+        SELECT id, CASE WHEN new AND NOT bad THEN s * 2 WHEN old THEN s END AS seconds, CASE WHEN new AND bad THEN 'boom' END AS error, CASE WHEN old THEN 4 END AS rating, CASE WHEN old THEN 'good' ELSE '' END AS notes FROM k WHERE old OR new""",
+    "log_compacted": "WITH l AS (SELECT DISTINCT call_id AS key, lower(speaker) AS unit, CAST(floor(round(start * 1000) / 30000) AS INT) AS chunk, seq FROM segments) SELECT * FROM l WHERE unit = 'track1' OR (unit = 'track2' AND chunk < 3)",
+    "history_recorded": f"WITH {_H} SELECT id, model, status, turns_json IS NOT NULL AND id % 2 = 1 AS turns FROM h WHERE id IS NOT NULL",
+    "jobs_analysed": f"WITH {_H} SELECT id, model, CASE WHEN id % 3 = 0 THEN CAST(id * 1.5 AS DOUBLE) ELSE audio_duration_seconds END AS audio_duration_seconds, CASE WHEN id % 4 = 0 THEN 2 END AS twin FROM h",
+    "recent_calls": f"WITH {_H} SELECT id, output_path FROM (SELECT * FROM h ORDER BY id DESC LIMIT 60) WHERE status = 'success' AND output_path IN (SELECT output_path FROM h WHERE id % 3 <> 0 AND output_path IS NOT NULL)",
 }

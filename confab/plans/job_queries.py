@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import formats
 from confab.functions.text import millis, utrim, zip_shorter
-from confab.operators import catalog, commitlog, edits, evaluate, history, jobs, polish, recognise, turns
+from confab.operators import catalog, commitlog, edits, evaluate, history, jobs, polish, recognise, rendering, turns
 from confab.session import checkpoint_dir
 from confab.sources import files
 from confab.streaming import ingest
@@ -107,6 +107,20 @@ def settings_shown(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.settings_view(s, q, "none", "cs")
 
 
+def jobs_analysed(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs with a duration found for every third, and twins for every fourth."""
+    h = _history(spark, folder)
+    lengths = h.where("id % 3 = 0").select("id", (F.col("id") * 1.5).alias("audio_duration_seconds"))
+    twins = h.where("id % 4 = 0").select("id", F.lit(2).alias("twin"))
+    return jobs.analysed(h.select("id", "model", "audio_duration_seconds"), lengths, twins)
+
+
+def recent_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the latest runs the good ones whose transcript is there; those of every third run are gone."""
+    h = _history(spark, folder)
+    return history.recent(h, 60, h.where("id % 3 <> 0").select(F.col("output_path").alias("path"))).select("id", "output_path")
+
+
 # ---- tracks, options ----
 
 
@@ -128,7 +142,7 @@ def needed_tracks(spark: SparkSession, folder: str) -> DataFrame:
 
 def track_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Names by an override, where there is one, and languages by a map; labels of unknown ones are themselves."""
-    t = _named(spark, folder)
+    t = _named(spark, folder).where("idx is not null")
     own = F.create_map(F.lit(1), F.lit("Host"), F.lit(2), F.lit(""))
     labels = t.select(F.col("name").alias("id")).where("id like 'Speaker %'").distinct().withColumn("label", F.upper("id"))
     out = catalog.labelled(t.withColumn("named", catalog.override(own, F.col("idx"), F.col("name"))), labels, "named", "label")
@@ -385,11 +399,84 @@ def live_stretches(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.live_turns(s).select("key", "speaker", "segments", millis("start").alias("start_ms"))
 
 
+# ---- sources and sinks ----
+
+
+def probed_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Tracks as probes in JSON, a video stream in front; every sixth call's is cut off."""
+    t = table(spark, folder, "tracks").select("call_id", "idx", "channels", "title").distinct()
+    audio = F.concat(F.lit('{"index":'), F.col("idx").cast("string"), F.lit(',"codec_type":"audio","channels":'), F.col("channels").cast("string"), F.lit(',"tags":'), F.to_json(F.struct(F.concat(F.lit(" "), "title").alias("title"))), F.lit("}"))
+    j = t.groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list(audio)), ",").alias("s"))
+    full = F.concat(F.lit('{"streams":[{"index":77,"codec_type":"video"},'), "s", F.lit('],"format":{"duration":"12.5"}}'))
+    m = j.select("call_id", F.when(F.char_length("s") % 6 == 0, F.substring(full, 1, 60)).otherwise(full).alias("json"))
+    return files.streams(m).select("call_id", "idx", "channels", "title", "duration")
+
+
+def dropped_files(spark: SparkSession, folder: str) -> DataFrame:
+    return files.dropped(_history(spark, folder).select("id", F.when(F.col("id") % 2 == 0, F.upper("source_path")).when(F.col("id") % 5 == 0, F.concat("source_path", F.lit(".txt"))).otherwise(F.col("source_path")).alias("path")))
+
+
+def wav_again(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors as WAV bytes of 16 bits and as samples again: number and sum of the whole numbers written."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3).alias("x"))
+    back = v.select("vec_id", files.wav_samples(rendering.wav(16000)("x")).alias("y"), files.wav_stretch(0.001, 0.002)(rendering.wav(16000)("x")).alias("part"))
+    return back.select("vec_id", F.size("y").alias("n"), F.aggregate("y", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 32768).cast("long")).alias("total"), F.size("part").alias("part"))
+
+
+def playback_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a player, made of the history; the last with a position counts."""
+    h = _history(spark, folder)
+    line = F.when(F.col("id") % 3 == 0, F.lit("nothing")).otherwise(F.concat(F.lit(" "), F.col("id").cast("string"), F.lit(".25 "), F.when(F.col("id") % 2 == 0, "M-A").otherwise("A-V"), F.lit(": 0.000 fd=0")))
+    return ingest.playback_clock(h.select(F.col("model").alias("token"), F.col("id").alias("line_no"), line.alias("line")))
+
+
+def track_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The set of a call's tracks without the first, with one more, and where the last stands among all."""
+    t = table(spark, folder, "tracks").where("idx is not null").select("call_id", "idx").distinct().groupBy("call_id").agg(F.array_sort(F.collect_set("idx")).alias("all"))
+    first, last = F.element_at("all", 1), F.element_at("all", -1)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return t.select("call_id", text(catalog.include(F.col("all"), first, F.lit(False))).alias("less"), text(catalog.include(F.col("all"), F.lit(50), F.lit(True))).alias("more"), catalog.place_of(F.col("all"), last).cast("int").alias("place"), catalog.place_of(F.col("all"), F.lit(51)).cast("int").alias("none"))
+
+
+def reply_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects and arrays in replies with words around them; every seventh is cut off, and so is every array of another length."""
+    i = F.col("id").cast("string")
+    r = _history(spark, folder).select("id", F.when(F.col("id") % 7 == 0, '{"a": ').otherwise(F.concat(F.lit('Sure: {"a": '), i, F.lit("} done"))).alias("o"), F.concat(F.lit('Here ["x", '), i, F.when(F.col("id") % 4 == 0, ', "z"').otherwise(""), F.lit("]")).alias("l"))
+    a = F.pandas_udf(lambda s: s.map(lambda t: str((polish.parse_object(t) or {}).get("a", ""))), "string")
+    n = F.pandas_udf(lambda s: s.map(lambda t: "|".join(polish.parse_array(t, 2) or ["none"])), "string")
+    return r.select("id", a("o").alias("a"), n("l").alias("parts"))
+
+
+def runs_upserted(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark rows of models, of which every second is run again, every third with an error, and new ones come in."""
+    h = _history(spark, folder).groupBy(F.col("model").alias("id")).agg(F.min("id").alias("n"), F.count(F.lit(1)).cast("double").alias("seconds"))
+    old = h.where("n % 5 <> 0").select("id", "seconds", F.lit(None).cast("string").alias("error"), F.lit(4).alias("rating"), F.lit("good").alias("notes"))
+    new = h.where("n % 2 = 0 or n % 5 = 0").select("id", F.when(F.col("n") % 3 != 0, F.col("seconds") * 2).alias("seconds"), F.when(F.col("n") % 3 == 0, "boom").alias("error"), F.lit(None).cast("int").alias("rating"), F.lit("").alias("notes"))
+    return evaluate.upsert_runs(old, new)
+
+
+def log_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The committed rows of a log, written to a new place and read from there."""
+    log = table(spark, folder, "segments").select(F.col("call_id").alias("key"), F.lower("speaker").alias("unit"), F.floor(millis("start") / 30000).cast("int").alias("chunk"), "seq").distinct()
+    points = log.select("key").distinct().select("key", F.array(F.lit("track1")).alias("completed_units"), F.lit("track2").alias("partial_unit"), F.lit(3).alias("partial_done_chunks"))
+    place = f"{checkpoint_dir(spark)}/log-{uuid.uuid4()}"
+    commitlog.compact(log, points, place)
+    return spark.read.parquet(place)
+
+
+def history_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs appended to a history in two goes, of which the first lacks columns of today."""
+    h, place = _history(spark, folder), f"{checkpoint_dir(spark)}/history-{uuid.uuid4()}"
+    history.record(h.where("id % 2 = 0").drop("turns_json"), place)
+    history.record(h.where("id % 2 = 1"), place)
+    return spark.read.parquet(place).select("id", "model", "status", F.col("turns_json").isNotNull().alias("turns"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        job_payload, job_lines, job_panel, job_buttons, job_reset, jobs_in_flight, overall_progress, checkpoint_load, resumed_jobs, config_round_trip, settings_shown, chosen_tracks, needed_tracks, track_labels, recent_names,
+        job_payload, job_lines, job_panel, job_buttons, job_reset, jobs_in_flight, overall_progress, checkpoint_load, resumed_jobs, config_round_trip, settings_shown, jobs_analysed, recent_calls, chosen_tracks, needed_tracks, track_labels, recent_names,
         recogniser_tasks, recognised_texts, benchmark_cells, speech_progress, track_union, unit_log, judge_rounds, fastest_runs, score_table, first_configs, call_excerpt, judge_payload, failed_edits, candidate_bundle,
-        quality_figures, plain_transcript, transcripts_again, runs_with_texts, middle_clips, turn_objects, polished_blocks, cleaned_alone, cleaned_batches, voted_edits, packed_chars, transcripts_written, requested_jobs, effective_names, zipped_texts, streamed_log, live_stretches,
+        quality_figures, plain_transcript, transcripts_again, runs_with_texts, middle_clips, turn_objects, polished_blocks, cleaned_alone, cleaned_batches, voted_edits, packed_chars, transcripts_written, requested_jobs, effective_names, zipped_texts, streamed_log, live_stretches, probed_streams, dropped_files, wav_again, playback_clocks, track_sets, reply_objects, runs_upserted, log_compacted, history_recorded,
     )
 }

@@ -29,6 +29,15 @@ def media(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES
     return files.select("path", "length").orderBy(F.split("path", "/"))
 
 
+#: The suffixes of files that may be dropped on the program.
+DROPPED = ("mp3", "wav", "m4a", "aac", "flac", "mp4", "mov", "m4v", "mkv", "webm")
+
+
+def dropped(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Of given paths those that are recordings by their suffix, whatever its case (SRC-3)."""
+    return paths.where(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)).isin(*DROPPED))
+
+
 def first_file(spark: SparkSession, folder: str) -> DataFrame:
     """The first file of a folder that does not begin with a dot (SRC-2)."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")

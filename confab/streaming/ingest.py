@@ -68,6 +68,26 @@ def live_turns(stream: DataFrame, pause: str = "1 second", lateness: str = "1 ho
     return s.agg(F.count(F.lit(1)).alias("segments"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
+def playback_clock(lines: DataFrame) -> DataFrame:
+    """token, seconds: the latest position that a player wrote for its current file (STR-8).
+
+    `lines`: token (of the file that was started), line_no, line. Positions stand in
+    front of a mark like A-V: or M-A:; lines without one tell nothing.
+    """
+    at = lines.select("token", "line_no", F.regexp_extract("line", r"(\d+\.\d+)\s+[AM]-[AV]:", 1).alias("at")).where("at <> ''")
+    return at.groupBy("token").agg(F.max_by("at", "line_no").cast("double").alias("seconds"))
+
+
+def tell(stream: DataFrame, told: Callable[[str], None], state: str) -> StreamingQuery:
+    """Hand every row of a stream of events to a callable on the driver, as JSON and in order of ``at``; one micro-batch at a time (SNK-15, STR-10)."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        for r in batch.orderBy("at").select(F.to_json(F.struct(*batch.columns)).alias("j")).toLocalIterator():
+            told(r["j"])
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 class Progress(StreamingQueryListener):
     """Tells a callable how far a stream is: (batches done, rows of the last one) after each commit (UDF-6)."""
 

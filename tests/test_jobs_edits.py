@@ -247,3 +247,31 @@ def test_turns_in_many_partitions(small_batches):
             want[call, i + 1] = (b[0][2], b[0][3], end, max(energy) if energy else None, len(b), " ".join(x[5] for x in b), bool(i) and b[0][3] < max(x[4] for x in blocks[i - 1]))
     assert got == want
     assert turns.turn_rows(df.limit(0)).collect() == []
+
+
+def test_player_and_events(spark, tmp_path):
+    from confab.streaming import ingest
+
+    rows = [("t", 1, " 3.50 M-A: 0"), ("t", 2, "noise"), ("t", 3, "10.25  A-V: 0"), ("u", 1, "x")]
+    assert [(r.token, r.seconds) for r in ingest.playback_clock(spark.createDataFrame(rows, "token string, line_no int, line string")).collect()] == [("t", 10.25)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"at": 2, "id": "b"}\n{"at": 1, "id": "a"}\n')
+    heard = []
+    assert ingest.follow(ingest.tell(spark.readStream.schema("at long, id string").json(str(tmp_path / "in")), heard.append, str(tmp_path / "state")))
+    assert [json.loads(h)["id"] for h in heard] == ["a", "b"]
+
+
+def test_streams_are_stopped_and_failures_told(spark, tmp_path):
+    from confab.streaming import ingest
+
+    slow = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "a")).start()
+    assert ingest.follow(slow, lambda: True) is False and not slow.isActive
+
+    def fail(batch, _):
+        raise ValueError("no")
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"at": 2}\n')
+    bad = spark.readStream.schema("at long").json(str(tmp_path / "in")).writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="no"):
+        ingest.follow(bad)
