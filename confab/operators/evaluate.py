@@ -60,6 +60,10 @@ def excerpt(blocks: DataFrame, key: str = "call_id", before: int = 22, after: in
     return blocks.join(top, key).where(F.col("block_no").between(F.col("_top") - before, F.col("_top") + after)).drop("_top")
 
 
+#: The line above each candidate of a bundle.
+CANDIDATE, RULE = "\n\n===== CANDIDATE ", " =====\n"
+
+
 def judge_bundle(runs: DataFrame) -> DataFrame:
     """Per track its candidates under letters: track, body, key (SNK-17). `runs`: track, config, text, note.
 
@@ -67,7 +71,7 @@ def judge_bundle(runs: DataFrame) -> DataFrame:
     """
     parts = F.array_sort(F.collect_list(F.struct("config", "text", "note")))
     letter = lambda i: F.concat(F.when(i >= 26, F.char(F.lit(64) + F.floor(i / 26))).otherwise(""), F.char(F.lit(65) + i % 26))
-    body = F.transform("p", lambda x, i: F.concat(F.lit("\n\n===== CANDIDATE "), letter(i), F.lit(" =====\n"), F.trim(x["text"])))
+    body = F.transform("p", lambda x, i: F.concat(F.lit(CANDIDATE), letter(i), F.lit(RULE), F.trim(x["text"])))
     key = F.transform("p", lambda x, i: F.concat(letter(i), F.lit(" = "), x["config"], F.lit("  ("), x["note"], F.lit(")")))
     return runs.groupBy("track").agg(parts.alias("p")).select("track", F.array_join(body, "").alias("body"), F.array_join(key, "\n").alias("key"))
 

@@ -16,6 +16,10 @@ from confab.functions import formats
 #: Sets of states.
 ACTIVE, TERMINAL, RESUMABLE = ("converting", "loading model", "transcribing", "polishing"), ("done", "error", "stopped"), ("running", "paused")
 CANCELABLE = ("queued", *ACTIVE)
+#: What is written of a job at each stage, and what stands between the parts.
+TRANSCRIBING, ESTIMATING, ESTIMATED, POLISHING, LOADING, DONE_IN, STOPPED = "Transcribing…", "Estimating…", "~ Estimated ", "Polishing…", "Loading model…", "done in ", "stopped"
+FIRST_GUESS, NOTHING, WAITING, RESUMING, PART, PANEL_PART = "estimating...", "-", "waiting...", "Resuming…", "  ·  ", "  •  "
+PANEL_LOADING, PANEL_UNKNOWN, PANEL_GUESS, PANEL_POLISHING = "Loading model into memory…", "Transcribing…  •  estimating progress", "Estimating progress", "Cleaning up the transcript"
 #: Maps of a configuration whose keys are track numbers.
 TRACK_MAPS = {"track_names": "string", "track_languages": "string", "track_denoise": "boolean", "track_subtractions": "array<int>", "selected_channel_by_track": "int"}
 CONFIG = (
@@ -87,7 +91,7 @@ def resumed(points: DataFrame, sources: DataFrame) -> DataFrame:
 def in_flight(jobs: DataFrame) -> DataFrame:
     """Rows for jobs that were queued again and are not finished: id, name, source, status, progress, detail (PRJ-18)."""
     name = F.regexp_replace(F.regexp_extract("source_path", r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
-    return jobs.where(~F.col("status").isin(*TERMINAL)).select("id", name.alias("name"), F.col("source_path").alias("source"), F.lit("working").alias("status"), percent("transcribe_fraction").alias("progress"), F.lit("Resuming…").alias("detail"))
+    return jobs.where(~F.col("status").isin(*TERMINAL)).select("id", name.alias("name"), F.col("source_path").alias("source"), F.lit("working").alias("status"), percent("transcribe_fraction").alias("progress"), F.lit(RESUMING).alias("detail"))
 
 
 def percent(fraction: Column | str) -> Column:
@@ -186,17 +190,17 @@ def lines(jobs: DataFrame) -> DataFrame:
     note = F.nullif("status_detail", F.lit(""))
     head = F.when(note.isNotNull(), F.concat(state, F.lit(" ("), note, F.lit(")"))).otherwise(state)
     parts = F.array_compact(F.array(note, F.col("timecode"), F.when(left.isNotNull(), F.concat(F.lit("~"), left, F.lit(" left")))))
-    measured = F.when(F.size(parts) > 0, F.array_join(parts, "  ·  ")).otherwise(F.concat(percent("fraction").cast("string"), F.lit("%")))
-    guessed = F.when(left.isNotNull(), F.concat(F.lit("~ Estimated "), left, F.lit(" left"))).otherwise("Estimating…")
+    measured = F.when(F.size(parts) > 0, F.array_join(parts, PART)).otherwise(F.concat(percent("fraction").cast("string"), F.lit("%")))
+    guessed = F.when(left.isNotNull(), F.concat(F.lit(ESTIMATED), left, F.lit(" left"))).otherwise(ESTIMATING)
     total = F.when(F.coalesce("estimated_seconds", F.lit(0.0)) != 0, formats.elapsed(F.col("estimated_seconds") + F.coalesce("estimated_polish_seconds", F.lit(0.0))))
     detail = (
-        F.when(status == "transcribing", F.when(F.col("fraction").isNull(), "Transcribing…").when(F.col("real"), measured).otherwise(guessed))
-        .when(status == "polishing", F.when(p_left.isNotNull(), F.concat(F.lit("Polishing…  ·  ~"), p_left, F.lit(" left"))).otherwise("Polishing…"))
-        .when(status == "loading model", "Loading model…")
-        .when(status == "done", F.concat(F.lit("done in "), formats.elapsed("elapsed")))
-        .when(status == "stopped", "stopped")
-        .when(status == "ready", F.when(total.isNotNull(), F.concat(F.lit("~"), total, F.lit(" estimated"))).when(F.col("audio_duration_seconds").isNull(), "estimating...").otherwise("-"))
-        .when(status == "queued", F.when(total.isNotNull(), F.concat(F.lit("waiting... (~"), total, F.lit(")"))).otherwise("waiting..."))
+        F.when(status == "transcribing", F.when(F.col("fraction").isNull(), TRANSCRIBING).when(F.col("real"), measured).otherwise(guessed))
+        .when(status == "polishing", F.when(p_left.isNotNull(), F.concat(F.lit(f"{POLISHING}{PART}~"), p_left, F.lit(" left"))).otherwise(POLISHING))
+        .when(status == "loading model", LOADING)
+        .when(status == "done", F.concat(F.lit(DONE_IN), formats.elapsed("elapsed")))
+        .when(status == "stopped", STOPPED)
+        .when(status == "ready", F.when(total.isNotNull(), F.concat(F.lit("~"), total, F.lit(" estimated"))).when(F.col("audio_duration_seconds").isNull(), FIRST_GUESS).otherwise(NOTHING))
+        .when(status == "queued", F.when(total.isNotNull(), F.concat(F.lit(f"{WAITING} (~"), total, F.lit(")"))).otherwise(WAITING))
         .otherwise(formats.elapsed("elapsed"))
     )
     bar = F.when(status == "transcribing", F.col("fraction") * 100).when(status == "polishing", F.col("p_fraction") * 100).when(status == "done", 100.0).when(status != "loading model", 0.0)
@@ -212,11 +216,11 @@ def panel(jobs: DataFrame) -> DataFrame:
     name, note = F.regexp_extract("source_path", r"([^/]*)/*$", 1), F.nullif("status_detail", F.lit(""))
     title = F.concat(F.upper(F.substring("status", 1, 1)), F.substr("status", F.lit(2)), F.lit(": "), name)
     about = lambda x: F.when(x.isNotNull(), F.concat(F.lit("about "), x, F.lit(" left")))
-    joined = lambda *x: F.array_join(F.array_compact(F.array(*x)), "  •  ")
+    joined = lambda *x: F.array_join(F.array_compact(F.array(*x)), PANEL_PART)
     detail = (
-        F.when(status == "loading model", "Loading model into memory…")
-        .when(status == "transcribing", F.when(F.col("fraction").isNull(), "Transcribing…  •  estimating progress").when(F.col("real"), joined(F.col("timecode"), F.concat(percent("fraction").cast("string"), F.lit("%")), about(left))).otherwise(joined(F.lit("Estimating progress"), about(left))))
-        .when(status == "polishing", joined(F.lit("Cleaning up the transcript"), about(p_left)))
+        F.when(status == "loading model", PANEL_LOADING)
+        .when(status == "transcribing", F.when(F.col("fraction").isNull(), PANEL_UNKNOWN).when(F.col("real"), joined(F.col("timecode"), F.concat(percent("fraction").cast("string"), F.lit("%")), about(left))).otherwise(joined(F.lit(PANEL_GUESS), about(left))))
+        .when(status == "polishing", joined(F.lit(PANEL_POLISHING), about(p_left)))
         .otherwise(F.concat(formats.elapsed(F.coalesce("elapsed", F.lit(0.0))), F.lit(" elapsed")))
     )
     return j.select("id", F.when(note.isNotNull(), F.concat(title, F.lit(" ("), note, F.lit(")"))).otherwise(title).alias("title"), detail.alias("detail"))
