@@ -33,10 +33,14 @@ def tokens(folded: Column, least: int = 1) -> Column:
 def contained(raw: Column, edited: Column) -> Column:
     """Share of the edited tokens that the raw ones hold; 1 if there are none (TXT-10).
 
-    The words that are new are found by hash first, so that no word is looked for in all others.
+    The words that are new are found by hash, once: they are the fold's state, since
+    what stands in a lambda is computed again for every element.
     """
-    n, new = F.size(edited), F.array_except(edited, raw)
-    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(edited, lambda w: ~F.array_contains(new, w))) / F.greatest(n, F.lit(1)))
+    n, new = F.size(edited), F.array_except(edited, F.coalesce(raw, F.array().cast("array<string>")))
+    known = F.aggregate(
+        edited, F.struct(F.lit(0).alias("n"), new.alias("new")), lambda s, w: F.struct((s["n"] + F.when(F.array_contains(s["new"], w), 0).otherwise(1)).alias("n"), s["new"].alias("new")), lambda s: s["n"]
+    )
+    return F.when(n == 0, 1.0).otherwise(known / F.greatest(n, F.lit(1)))
 
 
 def strip_fences(text: Column) -> Column:
@@ -70,13 +74,17 @@ def drift(df: DataFrame, raw: str = "raw", edited: str = "edited") -> DataFrame:
     d = df.withColumn("_r", fold(raw)).withColumn("_e", fold(edited))
     retention = contained(tokens(F.col("_r")), tokens(F.col("_e")))
     novel = F.array_except(tokens(F.col("_e"), 3), tokens(F.col("_r"), 3))
-    new = F.array_except(numbers(F.col(edited)), numbers(F.col(raw)))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.coalesce(numbers(F.col(raw)), none).alias("old"))
+    fabricated = F.aggregate(
+        numbers(F.col(edited)), start, lambda s, n: F.struct(F.when(F.array_contains(s["old"], n), s["out"]).otherwise(F.concat(s["out"], F.array(n))).alias("out"), s["old"].alias("old")), lambda s: s["out"]
+    )
     return d.select(
         *df.columns,
         (F.char_length(edited) / F.greatest(F.char_length(raw), F.lit(1))).alias("length_ratio"),
         retention.alias("retention"),
         novel.alias("novel_words"),
-        F.filter(numbers(F.col(edited)), lambda n: F.array_contains(new, n)).alias("novel_numbers"),
+        fabricated.alias("novel_numbers"),
     ).drop("_r", "_e")
 
 
