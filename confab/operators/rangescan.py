@@ -35,14 +35,21 @@ Summary = Callable[[Iterator[pa.RecordBatch]], Any]
 Scan = Callable[[Iterator[pa.RecordBatch], Any, Any], Iterator[pa.RecordBatch]]
 
 
-#: Bytes of input (as Catalyst estimates them) that one partition of a global order holds at most.
+#: Bytes of input, as it is stored, for one partition of a global order.
 PARTITION_BYTES = 128 << 20
 
 
 def partitions_for(df: DataFrame) -> int | None:
-    """How many partitions `df` needs for PARTITION_BYTES each; None if the session's shuffle partitions do (AQE may then join small ones)."""
-    need = math.ceil(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / PARTITION_BYTES)
-    return need if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < need < 1_000_000 else None
+    """How many partitions `df` needs for PARTITION_BYTES of its inputs each; None if the session's shuffle partitions do (AQE may then join small ones).
+
+    The sizes are those of what the plan reads: Catalyst's estimate of a join is the
+    product of its sides, which says nothing here. Sizes that are not known are
+    enormous and count as none.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    need = math.ceil(sum(b for b in sizes if b < 1 << 56) / PARTITION_BYTES)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def sort_globally(df: DataFrame, *keys: str) -> DataFrame:

@@ -47,3 +47,35 @@ def test_touching_nested_empty_and_extra_columns(spark):
 def test_longest_gap_is_inclusive(spark):
     df = spark.createDataFrame([("a", 0, 1), ("a", 11, 12), ("a", 23, 24)], "k string, s long, e long")
     assert {tuple(r)[2:] for r in periods_and_gaps(df, "k", "s", "e", 10).where("kind = 'gap'").collect()} == {(1, 11)}
+
+
+def test_partitions_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from confab.operators import rangescan
+
+    spark.range(4000).selectExpr("concat('e', id % 3) as e", "id * 10 as a", "id * 10 + 5 as z").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = sorted(periods_and_gaps(df, "e", "a", "z").collect())
+    assert rangescan.partitions_for(df) is None and rangescan.partitions_for(df.join(df.select("e"), "e").join(df.select("e"), "e")) is None
+    monkeypatch.setattr(rangescan, "PARTITION_BYTES", 1000)
+    assert rangescan.partitions_for(df) > 10 and rangescan.sort_globally(df, "e", "a").rdd.getNumPartitions() > 10
+    assert sorted(periods_and_gaps(df, "e", "a", "z").collect()) == want and len(want) == 7997
+
+
+def test_times_too_far_apart_for_one_running_maximum():
+    import numpy as np
+
+    from confab.operators.rangescan import furthest_before
+
+    rnd = np.random.default_rng(3)
+    for far in (10, 2**60):
+        for carried in (None, 3, far):
+            end = rnd.integers(0, far, 60)
+            first = rnd.random(60) < 0.2
+            first[0] = carried is None
+            got, best = furthest_before(end, first, carried), carried
+            for i in range(60):
+                if first[i]:
+                    best = None
+                elif best is not None:
+                    assert got[i] == best
+                best = int(end[i]) if best is None else max(best, int(end[i]))
